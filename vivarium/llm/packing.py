@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -31,36 +32,92 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_encoders: dict[str, tuple] = {}
+#: Signs at the end of a word that never merge with its letters: cut off before the word is looked up.
+TAIL = ".,!?;:"
 
 
-def _encoder(path: str) -> tuple:
-    if path not in _encoders:
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or (161 <= b <= 255 and b != 173)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder:
+    """Ids of texts by one tokenizer, as little-endian unsigned 32-bit numbers; words that occur again are looked up.
+
+    The tokenizer drops white space and merges within runs of letters only, so a text's ids are those of its words
+    between spaces, and a word's ids are those of its letters and of the signs behind them. Runs of letters go to the
+    tokenizer's model itself, without its slow splitting; anything else goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = Tokenizer.from_file(path), {}
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _core(self, core: str) -> bytes | None:
+        """Ids of a run of letters, if lower-casing leaves it one and it is in composed form."""
+        if core.isascii():
+            low = core.lower()
+        else:
+            low = "".join([c.lower() for c in core])
+            if not low.isalpha() or not unicodedata.is_normalized("NFC", core):
+                return None
+        found = self.cores.get(low)
+        if found is None:
+            spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            found = self.cores[low] = self._packed([t.id for t in self.model.tokenize(spelled)])
+        return found
+
+    def _learn(self, new: set[str]) -> None:
+        rest = []
+        for w in new:
+            core = w.rstrip(TAIL)
+            ids = self._core(core) if core.isalpha() else None
+            if ids is None:
+                rest.append(w)
+            else:
+                self.words[w] = ids if len(core) == len(w) else ids + self._tail(w[len(core) :])
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.words[w] = self._packed(e.ids)
+
+    def _tail(self, tail: str) -> bytes:
+        found = self.cores.get(tail)
+        if found is None:
+            found = self.cores[tail] = self._packed(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids and the end id."""
+        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        every = set().union(*words)
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = every
+        if len(self.cores) > REMEMBERED:
+            self.cores.clear()
+        self._learn(new)
+        end = END.to_bytes(4, "little")
+        return [b"".join(map(self.words.__getitem__, ws)) + end for ws in words]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids and the end id as little-endian unsigned 32-bit numbers.
-
-    The tokenizer drops white space and merges within words, so a text's ids are those of its pieces between spaces;
-    pieces that occur again are looked up.
-    """
-    tokenizer, known = _encoder(path)
-    words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    every = set().union(*words)
-    new = every.difference(known)
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = every
-    new = list(new)
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    end = END.to_bytes(4, "little")
-    return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:

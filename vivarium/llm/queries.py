@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vivarium.llm import decontaminate, language_id, near_dup, packing, pii
+from vivarium.llm import decontaminate, language_id, lm_score, media, near_dup, packing, pii, secret_scan, url_filter, warc
 from vivarium.llm.common import read
 
 
@@ -21,12 +21,67 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(read(spark, sf_dir, "documents")).drop("row_id")
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents")).drop("row_id", "n_links")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op3_decontamination, op4_near_duplicates, op7_language)}
-ORACLES: dict[str, str] = {}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_packing, op3_decontamination, op4_near_duplicates, op5_warc, op6_media, op7_language, op8_secrets, op9_lm_score, op10_urls)
+}
+
+SHINGLED = """w AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS words FROM src),
+s AS (SELECT id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5))"""
+
+ORACLES = {
+    "op3_decontamination": """WITH src AS (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT item_id * 2 + 1, text FROM benchmark),
+"""
+    + SHINGLED
+    + """, u AS (SELECT DISTINCT id, shingle FROM s),
+n AS (SELECT id, count(*) AS n FROM u WHERE id % 2 = 1 GROUP BY id)
+SELECT d.id // 2 AS doc_id, b.id // 2 AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item, count(*) / any_value(n.n) AS containment
+FROM u d JOIN u b ON d.shingle = b.shingle AND d.id % 2 = 0 AND b.id % 2 = 1 JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9""",
+    "op4_near_duplicates": """WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents),
+"""
+    + SHINGLED
+    + """, whole AS (SELECT id, array_to_string(words, ' ') AS body FROM w WHERE len(words) > 0),
+c AS (SELECT id, shingle, count(*) AS c FROM s GROUP BY ALL),
+n AS (SELECT id, sum(c) AS n FROM c GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS m FROM c a JOIN c b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+near AS (SELECT shared.a, shared.b FROM shared JOIN n x ON x.id = shared.a JOIN n y ON y.id = shared.b WHERE m >= 0.8 * (x.n + y.n - m)
+ UNION SELECT x.id, y.id FROM (SELECT body, min(id) AS id FROM whole GROUP BY body) x JOIN whole y ON x.body = y.body AND x.id < y.id),
+link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT id, id AS root FROM src UNION SELECT link.b, reach.root FROM reach JOIN link ON reach.id = link.a),
+class AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id)
+SELECT id AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, id = class_id AS is_kept FROM class""",
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, strlen(p.html) AS payload_bytes, sha256(p.html) AS payload_digest,
+ CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html""",
+    "op8_secrets": secret_scan.oracle(),
+}
