@@ -1,0 +1,367 @@
+"""Operators against brute force, exact round trips, held-out accuracy, and edge cases."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vivarium.llm import decontaminate, language_id, lm_score, media, near_dup, packing, pii, queries, secret_scan, shingles, url_filter, warc
+
+SF = "/root/testdata/sf0.001"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and a column with a clashing name."""
+    long = " ".join(WORDS[i % 397] for i in range(30_000))
+    rows = [(1, None, "en", "x"), (2, "", None, None), (None, "one two three four five six seven", "en", "x"), (3, " \n\t ", "en", "x"), (4, "one two", "fr", "x"), (4, "one two", "fr", "x"), (5, long, "en", None), (6, "x" * 20_000, None, "x"), (7, "àé!? 12 ---", "fr", "x"), (8, long + " end", "en", "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, band string").withColumn("rank", F.lit(1)).withColumn("key", F.lit("k"))
+
+
+def py_shingles(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+
+
+def py_similarity(a, b):
+    a, b = Counter(py_shingles(a)), Counter(py_shingles(b))
+    union = sum((a | b).values())
+    return sum((a & b).values()) / union if union else 0.0
+
+
+def test_shingles_are_those_of_python():
+    texts = ["One, two three-four five_six", "", None, "a b", "ÉÉ é é É é é", "1 2 3 4 5"]
+    s = shingles.shingle(texts)
+    seen = {}
+    for i, t in enumerate(texts):
+        own = s.shingles[s.first[i] : s.first[i + 1]].tolist()
+        assert len(own) == len(py_shingles(t))
+        assert all(seen.setdefault(h, p) == p for h, p in zip(own, py_shingles(t)))
+    assert shingles.content_keys(shingles.shingle(["A b.", "a  B", "b a", ""]))[0:2] == [shingles.content_keys(shingles.shingle(["a b"]))[0]] * 2
+
+
+def test_dart_signatures_estimate_weighted_jaccard():
+    rng = random.Random(1)
+    base = [rng.choice(WORDS) for _ in range(600)]
+    other = list(base)
+    for i in range(0, 600, 60):
+        other[i] = "new"
+    texts = [" ".join(base), " ".join(other)]
+    sig = near_dup.signatures(shingles.shingle(texts), 2000)
+    assert abs((sig[0] == sig[1]).mean() - py_similarity(*texts)) < 0.04
+    assert len(set(sig[0].tolist())) == 2000
+
+
+def test_near_duplicates_of_a_large_group_and_odd_rows(spark, odd):
+    rng = random.Random(2)
+    base = [rng.choice(WORDS) for _ in range(300)]
+    rows = [(100 + i, " ".join(w if rng.random() > 0.004 else "z" for w in base)) for i in range(150)] + [(300 + i, " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(30)] + [(400 + i, "copy " + " ".join(base[:50])) for i in range(20)]
+    got = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[100 + i].class_id for i in range(150)} == {100} and got[100].class_size == 150
+    assert all(got[300 + i].class_id == 300 + i for i in range(30))
+    assert {got[400 + i].class_id for i in range(20)} == {400}
+    assert sorted(r.doc_id for r in got.values() if r.is_kept and r.class_size > 1) == [100, 400]
+    found = near_dup.near_duplicates(odd).collect()
+    assert len(found) == odd.count()
+    by = defaultdict(list)
+    for r in found:
+        by[r.doc_id].append((r.class_id, r.class_size, r.is_kept))
+    assert by[1] == [(1, 1, True)] and by[2] == [(2, 1, True)] and by[4] == [(4, 2, True)] * 2 and by[8][0][:2] == (5, 2) and by[None] == [(None, 1, True)]
+    kept = near_dup.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "7", "None"])
+    assert near_dup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_decontamination_finds_scattered_items(spark, odd):
+    rng = random.Random(3)
+    item = [rng.choice(WORDS) for _ in range(40)]
+    noise = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    docs = {1: noise(5000) + item + noise(3000), 2: noise(4000) + item[:20] + noise(2000) + item[16:] + noise(100), 3: noise(9000), 4: noise(100) + item[:25]}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (None, " ".join(noise(30)))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items).collect()} == {(1, 7), (2, 7)}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, items).collect()) == [3, 4]
+    assert decontaminate.contaminated(df, items.limit(0)).count() == 0 and decontaminate.contaminated(odd, items).count() == 0
+    assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
+
+
+def test_best_fit_plan_is_best_fit_decreasing():
+    rng = random.Random(4)
+    for _ in range(60):
+        cap = rng.choice([10, 64, 100])
+        counts = {rng.randint(1, cap): rng.randint(1, 50) for _ in range(rng.randint(1, 20))}
+        held, ranks = defaultdict(list), defaultdict(list)
+        for size, a, b, first, offset in packing.plan(counts, cap):
+            for r in range(a, b):
+                held[first + r - a].append((offset, size))
+                ranks[size].append(r)
+        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+        for parts in held.values():
+            at = 0
+            for offset, size in sorted(parts):
+                assert offset == at
+                at += size
+            assert at <= cap
+        room = []
+        for size in sorted(counts, reverse=True):
+            for _ in range(counts[size]):
+                fit = [i for i, x in enumerate(room) if x >= size]
+                if fit:
+                    room[min(fit, key=lambda i: room[i])] -= size
+                else:
+                    room.append(cap - size)
+        assert len(room) == len(held)
+
+
+def test_packing_round_trip(spark, odd, documents):
+    path = packing.default_tokenizer()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aAbéÉ'sdtTm.,!?;: \n1٣ßİΣσǅ|<>-漢각 \x1c") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|>.", "É", "don't, l'été"]
+    for t, got in zip(texts, packing.encode(texts, path)):
+        assert np.frombuffer(got, np.uint32).tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
+    for df in (odd, documents):
+        got = packing.pack(df).collect()
+        want = sorted((zlib.crc32(np.array(x[i : i + 4096], np.uint32).tobytes()), i // 4096, i, len(x[i : i + 4096])) for r in df.collect() for x in [[*whole.encode(r.text or "", add_special_tokens=False).ids, 1]] for i in range(0, len(x), 4096))
+        assert sorted((r.ids_crc32, r.piece, r.start, r.length) for r in got) == want
+        held = defaultdict(list)
+        for r in got:
+            held[r.sequence_id].append((r.offset, r.length))
+        for parts in held.values():
+            assert [a for a, _ in sorted(parts)] == [0, *itertools.accumulate(n for _, n in sorted(parts))][:-1] and sum(n for _, n in parts) <= 4096
+    assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_language(spark, documents, odd):
+    model = language_id.train(documents)
+    held = language_id.identify(documents, model).join(documents.select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert held.count() > 20 and held.filter("lang_pred = lang").count() >= 0.98 * held.count()
+    by_lang = {r.lang: r.text for r in documents.filter("length(text) > 800 AND doc_id % 2 = 1").collect()}
+    mixed = by_lang["en"][:600] + " " + by_lang["de"][:300]
+    lang, share, every = language_id.predict([mixed], model)[0]
+    assert lang == "en" and 0.5 < share < 0.85 and "de:" in every
+    got = language_id.identify(odd, model).collect()
+    assert len(got) == odd.count() and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"} and all(0 <= r.score <= 1 for r in got)
+    assert language_id.identify(odd.limit(0)).count() == 0
+    assert {r.lang_pred for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    kept = language_id.keep_identified(documents.select("*", F.lit(1).alias("score")))
+    assert kept.count() == documents.filter("text rlike '\\\\p{L}'").count()
+
+
+EMAIL, IP, CARD, PHONE = (re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def plain_spans(x):
+    n = pii.digits_of
+    return {
+        "email": [m.span() for m in EMAIL.finditer(x)],
+        "ip": [m.span() for m in IP.finditer(x) if all(int(p) <= 255 for p in m.group().split("."))],
+        "card": [m.span() for m in CARD.finditer(x) if 13 <= len(n(m.group())) <= 19 and pii.luhn(n(m.group()))],
+        "phone": [m.span() for m in PHONE.finditer(x) if 9 <= len(n(m.group())) <= 15],
+    }
+
+
+def test_pii(spark, documents, odd):
+    rng = random.Random(7)
+    texts = [r.text for r in documents.collect()] + ["".join(rng.choice("a1.@-+ (2%_é") for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    assert all(pii.base_spans(t) == plain_spans(t) for t in texts)
+    model = pii.default_model()
+    rows = pii.labelled_table()
+    hits = sum({(k, a) for k, a, _ in spans} <= {(k, a) for k, a, _ in pii.find([t], model)[0][1]} for t, spans in rows)
+    assert hits >= 0.9 * len(rows)
+    assert [k for k, _, _ in pii.find(["Please mail kim (at) example (dot) org soon."], model)[0][1]] == ["email"]
+    assert pii.masked("call +1 (743) 555-3824 or a.b@c.de", pii.find(["call +1 (743) 555-3824 or a.b@c.de"], model)[0][1]) == "call [PHONE] or [EMAIL]"
+    got = pii.personal_data(odd, model).collect()
+    assert len(got) == odd.count() and next(r for r in got if r.doc_id == 1).base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.personal_data(odd.limit(0), model).count() == 0
+    clean = pii.mask_personal_data(odd, model)
+    assert clean.columns == odd.columns and clean.exceptAll(odd).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    model = pii.default_model()
+    w = pii.words_of(["Call (555) 010-7788 now ok", "tom (at) example"])
+    best = pii.viterbi(w, model)
+    for a, b in ((0, 5), (5, 8)):
+        def total(path, a=a, b=b):
+            s = model.start[path[0]]
+            for i, y in enumerate(path):
+                t = a + i
+                left, right = (w.shape[t - 1] if t > a else pii.SHAPES), (w.shape[t + 1] if t + 1 < b else pii.SHAPES)
+                s += model.own[w.shape[t], y] + model.before[left, y] + model.after[right, y] + (model.steps[path[i - 1], y] if i else 0)
+            return s
+        assert math.isclose(max(total(p) for p in itertools.product(range(pii.N), repeat=b - a)), total(best[a:b].tolist()), rel_tol=1e-4)
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "é" * 80
+    rows = [(3, "http://a/1\r\nX: y", big), (1, None, big), (2, "u", big), (4, "u", "x"), (5, "u", "x"), (6, "u", None), (None, "u", big), (7, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 30), (1, None, big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("path", F.lit("clash"))
+    index = warc.archive(pages, archive_bytes=200)
+    back = warc.read_records(index)
+    assert sorted((r.html or "") for r in back.filter("record_type = 'response'").collect()) == sorted([big, big, "x", "x", "", "\r\n\r\nWARC/1.1\r\n\r\n" * 30])
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages, 200).collect())
+    n = len(big.encode())
+    assert got == [(0, n, "revisit", 1), (1, n, "response", None), (1, n, "response", None), (2, n, "revisit", 1), (3, n, "revisit", 1), (4, 1, "response", None), (5, 1, "response", None), (6, 0, "response", None), (7, 480, "response", None)]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+    raw = [warc.record(i, "u", b"body %d" % i, hashlib.sha256(b"body %d" % i).hexdigest(), None) for i in range(5)]
+    import gzip
+
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(raw[:3])) + gzip.compress(b"".join(raw[3:])))
+    found = warc.normalise(str(tmp_path / "a.warc.gz"), str(tmp_path / "b.warc.gz"))
+    data = (tmp_path / "b.warc.gz").read_bytes()
+    assert [gzip.decompress(data[a : a + n]) for a, n, _ in found] == raw and (tmp_path / "b.warc.gz.idx").exists()
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(raw)[:-10]))
+    with pytest.raises(ValueError):
+        warc.normalise(str(tmp_path / "c.warc.gz"), str(tmp_path / "d.warc.gz"))
+
+
+def test_gear_hash_and_cuts():
+    data = bytes(random.Random(8).randrange(256) for _ in range(60_000))
+    h, want = 0, []
+    for b in data:
+        h = ((h << 1) + int(media.GEAR[b])) & 0xFFFFFFFF
+        want.append(h)
+    assert media.gear(np.frombuffer(data, np.uint8)).tolist()[31:] == want[31:]
+    ends = media.cuts([data, b"", data[:100]])
+    assert ends[0][-1] == len(data) and ends[1] == [] and ends[2] == [100]
+    sizes = np.diff([0, *ends[0]])
+    assert sizes.max() <= media.MOST and (sizes[:-1] >= media.LEAST).all()
+    moved = media.cuts([b"inserted" + data])[0]
+    assert len({e - 8 for e in moved} & set(ends[0])) >= len(ends[0]) - 3
+
+
+def test_media_round_trip(spark, odd, documents):
+    for df in (odd, documents):
+        got = media.media_columns(df, pack_bytes=50_000).collect()
+        want = []
+        for r in df.collect():
+            p = media.padded((r.text or "").encode())
+            want.append((str(r.doc_id), len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), hashlib.sha256(media.to_wav(p)).hexdigest()))
+        assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in got) == sorted(want)
+    assert media.media_columns(odd.limit(0)).count() == 0
+
+
+def test_secrets(spark, odd, documents):
+    rng = random.Random(9)
+    bits = ["token", "SECRET", "api_key", "=", ": ", '"', "abcdef012345", "AKIA", "ABCDEFGHIJKLMN12", " ", "é", "password", "ghp_" + "a1" * 20, "\n", "-----BEGIN RSA PRIVATE KEY-----", "0123456789abcdef"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["token=secret: abcdefghijklmnop", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.find_secrets(df).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted((a, k, b) for k, rule in enumerate(secret_scan.RULES) for a, b in secret_scan.python_matches(t or "", rule))
+        assert got[i].spans == ",".join(f"{secret_scan.RULES[k].kind}:{a}:{b}" for a, k, b in spans)
+        assert got[i].n_hex == sum(k == 2 for _, k, _ in spans)
+    assert secret_scan.find_secrets(odd).count() == odd.count() and secret_scan.find_secrets(odd.limit(0)).count() == 0
+    plan = secret_scan.find_secrets(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_trigram_queries_hold_for_matches():
+    assert secret_scan.trigram_query("[0-9a-f]{16,}") == secret_scan.TRUE == secret_scan.trigram_query("(abc|d)") == secret_scan.trigram_query("(abc)?")
+    assert secret_scan.trigram_query("abcd|xyz") == frozenset({frozenset({"abc", "bcd"}), frozenset({"xyz"})})
+    assert secret_scan.trigram_query("a[bc]d.*fooz") == frozenset({frozenset({"abd", "foo", "ooz"}), frozenset({"acd", "foo", "ooz"})})
+
+
+def test_lm_scores(spark, documents, odd):
+    model = lm_score.lattice(lm_score.default_vocabulary())
+
+    def every(text):
+        if not text:
+            return 1.0
+        ways = math.exp(model.byte * len(text[0].encode())) * every(text[1:])
+        return ways + sum(math.exp(model.pieces[text[:k]]) * every(text[k:]) for k in range(1, len(text) + 1) if text[:k] in model.pieces)
+
+    for text in ("▁the", "▁thereé", "x", "▁…q漢"):
+        assert math.isclose(model.marginal(text), math.log(every(text)), rel_tol=1e-9)
+    for df, head in ((documents, 200_000), (documents, 50), (odd, 200_000)):
+        rows = [(r.doc_id, re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower())) for r in df.collect()]
+        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        c = Counter()
+        for i, ws in rows:
+            if i is not None and not held(i):
+                c.update(ws)
+                c[None] += 1
+        n, v = c.total(), len(c)
+        want = sorted((len(ws) + 1, sum(c[w] > 0 for w in [*ws, None]), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*ws, None]), 5)) for _, ws in rows)
+        got = lm_score.score_documents(df, head=head).collect()
+        assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+        assert all(r.score < 0 and r.held_out == held(r.doc_id) for r in got)
+    assert lm_score.score_documents(odd.limit(0)).count() == 0
+
+
+def test_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    more = [(9001, None, ""), (9002, "no scheme", ""), (9003, "http://EXAMPLE.net/en/x?y=1&z", ""), (9004, "https://a.Example.COM/de/", ""), (9005, "http://notexample.net#f", ""), (9006, "a://b://c.org/fr/", ""), (9007, "x://org/fr/", ""), (None, "http://net", "")]
+    df = pages.unionByName(spark.createDataFrame(more, "page_id long, url string, html string")).withColumn("suffix", F.lit("clash")).withColumn("label", F.lit(1))
+    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule) for i in range(9001, 9008)] == [("", "", None), ("", "", None), ("example.net", "/en/x", "example.net/en/"), ("a.example.com", "/de/", "example.com/de/"), ("notexample.net", "", None), ("b:", "//c.org/fr/", None), ("org", "/fr/", "org/fr/")]
+    assert got[9004].verdict == "block" and got[9003].verdict == "allow" and {r.verdict for r in got.values()} == {"allow", "block"}
+    # held-out accuracy: train on one half of the rule-labelled URLs, judge the other half without rules
+    name, verdict = url_filter.deciding_rule(F.col("host"), F.col("path"))
+    rows = pages.select("page_id", "url", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    feats = url_filter.lexical(rows.withColumns({"rule": name, "verdict": verdict})).filter("verdict IS NOT NULL")
+    assembler, model, rates = url_filter.train(feats.filter("page_id % 2 = 0").drop("page_id"))
+    test = model.transform(assembler.transform(url_filter.with_suffix_rates(feats.filter("page_id % 2 = 1"), rates)))
+    right = test.filter("(prediction = 1) = (verdict = 'block')").count() / test.count()
+    assert right > 0.8
+    assert url_filter.judge(df.limit(0)).count() == 0
+    assert {r.verdict for r in url_filter.judge(df.filter("page_id = 9001")).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in want.description]
+    have = queries.QUERIES[name](spark, SF)
+    assert sorted(have.columns) == sorted(names)
+    assert sorted(map(str, have.select(*names).collect())) and sorted(tuple(map(str, r)) for r in have.select(*names).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
+def test_pipeline_against_brute_force(spark, documents):
+    import corpus_pipeline
+
+    rows = [r for r in documents.collect() if re.search(r"[^\W\d_]", r.text or "")]
+    root = {r.doc_id: r.doc_id for r in rows}
+    sets = {r.doc_id: Counter(py_shingles(r.text)) for r in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if 0.8 * max(x.total(), y.total()) <= min(x.total(), y.total()) and x.total() and sum((x & y).values()) >= 0.8 * sum((x | y).values()):
+            i, j = sorted((top(a), top(b)))
+            root[j] = i
+    items = [set(py_shingles(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = sorted(i for i in sets if top(i) == i and not any(len(s & sets[i].keys()) >= 0.8 * len(s) for s in items))
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    masked = {r.doc_id: r for r in docs.collect()}
+    assert sorted(masked) == kept
+    model, texts = pii.default_model(), {r.doc_id: r.text for r in rows}
+    assert all(r.text == pii.masked(texts[i], pii.find([texts[i]], model)[0][1]) and r.n_chars == len(r.text) for i, r in masked.items())
+    assert sorted({r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}) == kept
