@@ -99,6 +99,12 @@ def test_bh(spark):
     assert [round(got[p], 4) for p in (0.01, 0.03, 0.04, 0.20)] == [0.04, 0.0533, 0.0533, 0.2]
 
 
+def test_kruskal_with_ties(spark):
+    df = spark.createDataFrame([("m", "a", 1.0), ("m", "a", 2.0), ("m", "b", 2.0), ("m", "b", 3.0)], "metric string, group string, value double")
+    got = statistics.kruskal(df).first()  # ranks 1, 2.5 and 2.5, 4: H = 0.6 x 26.5 - 15 over 1 - 6 / 60
+    assert math.isclose(got.h, (12 / 20 * (3.5**2 / 2 + 6.5**2 / 2) - 15) / 0.9) and got.df == 1
+
+
 def test_kappa_edges(spark):
     df = spark.createDataFrame([(True, True)] * 3, "a boolean, b boolean")
     assert statistics.binary_scores(df, F.col("a"), F.col("b")).first().kappa == 1.0

@@ -98,6 +98,17 @@ def anova(long: DataFrame) -> DataFrame:
     return rows.withColumn("p", p_column("f", F.col("f"), F.col("df_between"), F.col("df_within")))
 
 
+def kruskal(long: DataFrame) -> DataFrame:
+    """Kruskal-Wallis H, corrected for ties, and its degrees of freedom, by metric; ties share their mean rank."""
+    tied = F.count("*").over(Window.partitionBy("metric", "value"))
+    ranked = long.withColumn("t", tied).withColumn("r", F.rank().over(Window.partitionBy("metric").orderBy("value")) + (F.col("t") - 1) / 2)
+    per = ranked.groupBy("metric", "group").agg(F.count("*").alias("n"), F.sum("r").alias("sum"), F.sum(F.col("t").cast("double") ** 2 - 1).alias("ties"))
+    s = per.groupBy("metric").agg(F.sum("n").cast("double").alias("n"), F.count("*").alias("k"), F.sum(F.col("sum") ** 2 / F.col("n")).alias("squares"), F.sum("ties").alias("ties"))
+    n = F.col("n")
+    h = F.try_divide(12 * F.col("squares"), n * (n + 1)) - 3 * (n + 1)
+    return s.filter("k > 1").select("metric", F.try_divide(h, 1 - F.try_divide(F.col("ties"), n**3 - n)).alias("h"), (F.col("k") - 1).alias("df"))
+
+
 def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
     """Adds q: the least of p x m / rank from the largest p down, at most 1; null p stay null and don't count in m.
 

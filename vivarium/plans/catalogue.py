@@ -493,6 +493,17 @@ def anova_f(spark: SparkSession, d: str) -> DataFrame:
     return rounded(st.anova(_long(spark, d)).drop("p"))
 
 
+@query(
+    with_(SU)
+    + """, k AS (SELECT *, count(*) OVER (PARTITION BY metric, value) AS t, rank() OVER (PARTITION BY metric ORDER BY value) AS r FROM lo),
+p AS (SELECT metric, grp, count(*)::DOUBLE AS n, sum(r + (t - 1) / 2.0) AS s, sum(t::DOUBLE ** 2 - 1) AS ties FROM k GROUP BY ALL),
+q AS (SELECT metric, sum(n) AS n, count(*) AS k, sum(s * s / n) AS sq, sum(ties) AS ties FROM p GROUP BY metric)
+SELECT metric, round((12 * sq / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)), 6) AS h, k - 1 AS df FROM q WHERE k > 1"""
+)
+def kruskal_h(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(st.kruskal(_long(spark, d)))
+
+
 @query()
 def group_tests(spark: SparkSession, d: str) -> DataFrame:
     """Welch and ANOVA with p and adjusted q; p-values are checked in the tests."""
