@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vivarium.functions.custom import add_variables, parse_lines
-from vivarium.operators import events, freezing, runs, statistics, summary, trajectory, zones
+from vivarium.operators import events, freezing, ranks, runs, statistics, summary, trajectory, zones
 from vivarium.plans import catalogue
 from vivarium.sources import tables
 
@@ -101,7 +101,7 @@ def test_bh(spark):
 
 def test_kruskal_with_ties(spark):
     df = spark.createDataFrame([("m", "a", 1.0), ("m", "a", 2.0), ("m", "b", 2.0), ("m", "b", 3.0)], "metric string, group string, value double")
-    got = statistics.kruskal(df).first()  # ranks 1, 2.5 and 2.5, 4: H = 0.6 x 26.5 - 15 over 1 - 6 / 60
+    got = ranks.kruskal(df).first()  # ranks 1, 2.5 and 2.5, 4: H = 0.6 x 26.5 - 15 over 1 - 6 / 60
     assert math.isclose(got.h, (12 / 20 * (3.5**2 / 2 + 6.5**2 / 2) - 15) / 0.9) and got.df == 1
 
 

@@ -96,3 +96,49 @@ def probability_bouts(df: DataFrame, smooth_frames: int, gap_frames: int, min_fr
     rows = df.withColumn("motion", -F.avg("p").over(w)).withColumn("usable", F.lit(True))
     found = states(rows.withColumn("motion", F.when(-F.col("motion") >= level, F.lit(0.0)).otherwise(1.0)), 0.5, gap_frames, min_frames)
     return with_runs(found, KEY, "frame", "freezing").filter("freezing").groupBy("session", "run").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).drop("run")
+
+
+def quality_checks(df: DataFrame, threshold: float, fps: float, min_rows: int = 30) -> DataFrame:
+    """(session, level, code, value): what could make a session's freezing wrong; sessions without findings have no row.
+
+    df: session, frame, motion, usable, and where known found (the animal is seen), still (no pixel changed) and
+    light_change; missing columns are skipped.
+    """
+    share = lambda c: F.avg(F.col(c).cast("double")) * 100
+    used = F.when(F.col("usable") & F.col("motion").isNotNull(), F.col("motion"))
+    sums = [F.count(used).alias("n"), F.percentile(used, F.lit(0.05)).alias("floor"), F.count("*").alias("frames")]
+    has = [c for c in ("found", "still", "light_change") if c in df.columns]
+    s = df.groupBy("session").agg(*sums, *(share(c).alias(c) for c in has))
+    seconds = F.col("light_change") / 100 * F.col("frames") / fps if "light_change" in has else F.lit(0.0)
+    finding = lambda when, level, code, value: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), value.alias("value")))
+    rules = [finding((F.col("n") >= min_rows) & (F.col("floor") >= threshold), "warn", "noise", F.col("floor"))]
+    if "found" in has:
+        rules += [finding(F.col("found") < 60, "error", "found", F.col("found")), finding(F.col("found").between(60, 90) & (F.col("found") < 90), "warn", "found", F.col("found"))]
+    if "still" in has:
+        rules += [finding(F.col("still") > 90, "error", "static", F.col("still")), finding((F.col("still") > 30) & (F.col("still") <= 90), "warn", "static", F.col("still"))]
+    if "light_change" in has:
+        rules += [finding(F.col("light_change") > 10, "warn", "light", seconds), finding((F.col("light_change") <= 10) & (seconds >= 0.1), "info", "light", seconds)]
+    return s.select("session", F.explode(F.array_compact(F.array(*rules))).alias("found")).select("session", "found.*")
+
+
+def lights_trim(df: DataFrame, fps: float, lag: int = 0, low: float = 0.55, high: float = 1.8, least_s: float = 1.0) -> DataFrame:
+    """(session, first, last): what stays of (session, frame, bright) without dark or over-bright runs at the two ends.
+
+    A run is cut off if it has at least least_s seconds (two frames) of odd brightness, with `lag` frames more; null
+    brightness prolongs a run. A session with a median of at most 1, or of which too little would stay, stays whole.
+    """
+    need = max(2, round(least_s * fps))
+    middle = df.groupBy("session").agg(F.percentile("bright", F.lit(0.5)).alias("median"))
+    good = F.coalesce(F.col("bright").between(low * F.col("median"), high * F.col("median")), F.lit(False))
+    rows = df.join(middle, "session").select("session", "frame", "median", good.alias("good"), (~good & F.col("bright").isNotNull()).alias("odd"))
+    every = Window.partitionBy("session")
+    edges = rows.withColumns({"g": F.min(F.when(F.col("good"), F.col("frame"))).over(every), "h": F.max(F.when(F.col("good"), F.col("frame"))).over(every)})
+    count = lambda when: F.count(F.when(F.col("odd") & when, 1))
+    s = edges.groupBy("session").agg(
+        F.first("median").alias("median"), F.first("g").alias("g"), F.first("h").alias("h"), F.min("frame").alias("a"), F.max("frame").alias("z"),
+        count(F.col("frame") < F.col("g")).alias("before"), count(F.col("frame") > F.col("h")).alias("after"),
+    )
+    first = F.when(F.col("before") >= need, F.col("g") + lag).otherwise(F.col("a"))
+    last = F.when(F.col("after") >= need, F.greatest(F.col("h") - lag, first - 1)).otherwise(F.col("z"))
+    keeps = (F.col("median") > 1) & F.col("g").isNotNull() & (last - first + 1 >= max(2, lag + 2))
+    return s.select("session", F.when(keeps, first).otherwise(F.col("a")).alias("first"), F.when(keeps, last).otherwise(F.col("z")).alias("last"))

@@ -44,6 +44,32 @@ def f_p(f: float, d1: float, d2: float) -> float:
     return beta_share(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 
 
+def gamma_share(a: float, x: float) -> float:
+    """The regularised lower incomplete gamma function: the series up to a + 1, a continued fraction beyond."""
+    if x <= 0:
+        return 0.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > abs(total) * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return front * total
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    f = d
+    for i in range(1, 500):
+        b += 2
+        d = 1 / (b - i * (i - a) * d)
+        c = b - i * (i - a) / c
+        f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * f
+
+
 def p_column(kind: str, *columns: Column) -> Column:
     """p-values of a small result table, in Arrow batches."""
     fn = {"t": t_p, "f": f_p}[kind]
@@ -98,17 +124,6 @@ def anova(long: DataFrame) -> DataFrame:
     return rows.withColumn("p", p_column("f", F.col("f"), F.col("df_between"), F.col("df_within")))
 
 
-def kruskal(long: DataFrame) -> DataFrame:
-    """Kruskal-Wallis H, corrected for ties, and its degrees of freedom, by metric; ties share their mean rank."""
-    tied = F.count("*").over(Window.partitionBy("metric", "value"))
-    ranked = long.withColumn("t", tied).withColumn("r", F.rank().over(Window.partitionBy("metric").orderBy("value")) + (F.col("t") - 1) / 2)
-    per = ranked.groupBy("metric", "group").agg(F.count("*").alias("n"), F.sum("r").alias("sum"), F.sum(F.col("t").cast("double") ** 2 - 1).alias("ties"))
-    s = per.groupBy("metric").agg(F.sum("n").cast("double").alias("n"), F.count("*").alias("k"), F.sum(F.col("sum") ** 2 / F.col("n")).alias("squares"), F.sum("ties").alias("ties"))
-    n = F.col("n")
-    h = F.try_divide(12 * F.col("squares"), n * (n + 1)) - 3 * (n + 1)
-    return s.filter("k > 1").select("metric", F.try_divide(h, 1 - F.try_divide(F.col("ties"), n**3 - n)).alias("h"), (F.col("k") - 1).alias("df"))
-
-
 def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
     """Adds q: the least of p x m / rank from the largest p down, at most 1; null p stay null and don't count in m.
 
@@ -200,3 +215,31 @@ def bootstrap_d(a: np.ndarray, b: np.ndarray, draws: int = 2000, seed: int = 123
     pooled = np.sqrt(((len(a) - 1) * x.var(axis=1, ddof=1) + (len(b) - 1) * y.var(axis=1, ddof=1)) / (len(a) + len(b) - 2))
     d = (x.mean(axis=1) - y.mean(axis=1)) / np.where(pooled > 0, pooled, np.nan)
     return tuple(np.nanpercentile(d, [2.5, 97.5]))
+
+
+def compare_scoring(frames: DataFrame, bouts: DataFrame, fps: float, bin_s: float = 10.0) -> DataFrame:
+    """One row per session: automatic flags (session, frame, time_s, auto) against hand-scored bouts (session, start, stop).
+
+    A frame is hand-scored if its middle lies in a bout (start, stop]; bouts without a stop don't count. Also the
+    correlation, bias and limits of the shares by bin of bin_s seconds from the session's first frame, for bins with at
+    least two and at least half of their frames. Bouts meet frames by bin, so the join is on equal keys.
+    """
+    half = 0.5 / fps
+    cell = lambda c: F.floor(c / bin_s).cast("long")
+    named = bouts.filter("stop IS NOT NULL").select("session", "start", "stop", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop")))).alias("__cell"))
+    rows = frames.withColumn("__middle", F.col("time_s") + half).withColumn("__cell", cell(F.col("__middle")))
+    scored = rows.join(named, ["session", "__cell"]).filter((F.col("__middle") > F.col("start")) & (F.col("__middle") <= F.col("stop"))).select("session", "frame").distinct().withColumn("hand", F.lit(True))
+    both = rows.join(scored, ["session", "frame"], "left").withColumn("hand", F.coalesce("hand", F.lit(False)))
+    a, h = F.col("auto").cast("double"), F.col("hand").cast("double")
+    s = both.groupBy("session").agg(F.count("*").alias("frames"), F.avg(a).alias("a"), F.avg(h).alias("h"), F.avg((F.col("auto") == F.col("hand")).cast("double")).alias("same"), F.min("time_s").alias("t0"))
+    pe = F.col("a") * F.col("h") + (1 - F.col("a")) * (1 - F.col("h"))
+    whole = s.select("session", "frames", (F.col("a") * 100).alias("auto_percent"), (F.col("h") * 100).alias("hand_percent"), (F.col("same") * 100).alias("agreement"), kappa(F.col("same"), pe, None).alias("kappa"))
+    bins = both.join(s.select("session", "t0"), "session").groupBy("session", F.floor((F.col("time_s") - F.col("t0")) / bin_s).alias("bin")).agg(F.count("*").alias("n"), (F.avg(a) * 100).alias("a"), (F.avg(h) * 100).alias("h"))
+    d = F.col("a") - F.col("h")
+    # no spread, no correlation
+    spread = (F.count("*") >= 3) & (F.max("a") > F.min("a")) & (F.max("h") > F.min("h"))
+    by_bin = bins.filter(F.col("n") >= max(2.0, 0.5 * bin_s * fps)).groupBy("session").agg(
+        F.count("*").alias("bins"), F.when(spread, F.corr("a", "h")).alias("bin_r"), F.avg(d).alias("bin_bias"),
+        (F.avg(d) - 1.96 * F.stddev_samp(d)).alias("bin_lower"), (F.avg(d) + 1.96 * F.stddev_samp(d)).alias("bin_upper"),
+    )
+    return whole.join(by_bin, "session", "left").withColumn("bins", F.coalesce("bins", F.lit(0)))

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from vivarium.functions.custom import add_variables
 from vivarium.operators import events as ev
 from vivarium.operators import freezing as fz
-from vivarium.operators import runs
+from vivarium.operators import body, classifier, comparison, mixed, runs
+from vivarium.operators import ranks as rk
 from vivarium.operators import statistics as st
 from vivarium.operators import summary as sm
 from vivarium.operators import trajectory as tr
 from vivarium.operators import zones as zn
+from vivarium.sources import imports as im
 from vivarium.sources import tables as tb
 from vivarium.streaming import live
 
@@ -501,7 +503,7 @@ q AS (SELECT metric, sum(n) AS n, count(*) AS k, sum(s * s / n) AS sq, sum(ties)
 SELECT metric, round((12 * sq / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)), 6) AS h, k - 1 AS df FROM q WHERE k > 1"""
 )
 def kruskal_h(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(st.kruskal(_long(spark, d)))
+    return rounded(rk.kruskal(_long(spark, d)))
 
 
 @query()
@@ -641,6 +643,183 @@ def probability_bouts(spark: SparkSession, d: str) -> DataFrame:
     return fz.probability_bouts(rows, 3, 1, 2)
 
 
+# --- cover, body and imports ----------------------------------------------------------------------------------------
+
+
+@query(
+    with_(T, Z)
+    + """, q AS (SELECT session, frame, status = 'Tracked' AS seen, round_even(x, 0) AS x, round_even(y, 0) AS y FROM t),
+di AS (SELECT q.*, place, zone, sqrt(greatest(x0 - x, x - x1, 0) ** 2 + greatest(y0 - y, y - y1, 0) ** 2) AS d FROM q, z WHERE zone LIKE 'Closed%'),
+ne AS (SELECT session, frame, any_value(seen) AS seen, CASE WHEN any_value(seen) AND min(d) <= 20 THEN arg_min(zone, d * 1000 + place) END AS near FROM di GROUP BY ALL),
+si AS (SELECT *, last_value(CASE WHEN seen THEN coalesce(near, '-') END IGNORE NULLS) OVER (PARTITION BY session ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+ first_value(CASE WHEN seen THEN coalesce(near, '-') END IGNORE NULLS) OVER (PARTITION BY session ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM ne)
+SELECT session, frame, CASE WHEN NOT seen THEN nullif(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN a = b THEN a END, '-') END AS hidden_zone FROM si"""
+)
+def hidden_in_covered(spark: SparkSession, d: str) -> DataFrame:
+    covered = tb.zones(spark).filter("zone LIKE 'Closed%'")
+    return body.hidden_in_covered(tb.trajectory(spark, d), covered, 20.0).select("session", "frame", "hidden_zone")
+
+
+@query()
+def head_and_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Ends 20 apart around each position, at an angle from the row; compared with a search over all orientations in the tests."""
+    angle = F.col("frame") % 7 / 3
+    end = lambda c, f, s: (F.col(c) + s * 10 * f(angle))
+    rows = tb.trajectory(spark, d).withColumns({"ax": end("x", F.cos, 1), "ay": end("y", F.sin, 1), "bx": end("x", F.cos, -1), "by": end("y", F.sin, -1), "tail_ev": F.sin("x"), "shape_ev": F.cos("y")})
+    return rounded(body.head_and_tail(rows, FPS))
+
+
+@query(
+    with_(T)
+    + """, u AS (SELECT session, frame, 'right' AS behaviour, coalesce(x > 250, false) AS f FROM t UNION ALL SELECT session, frame, 'low', coalesce(y < 50, false) FROM t),
+i AS (SELECT *, frame - row_number() OVER (PARTITION BY session, behaviour ORDER BY frame) AS island FROM u WHERE f)
+SELECT session, behaviour, 'state' AS kind, round(min(frame) / 25.0, 4) AS start, round((max(frame) + 1) / 25.0, 4) AS stop FROM i GROUP BY session, behaviour, island"""
+)
+def flag_events(spark: SparkSession, d: str) -> DataFrame:
+    rows = tb.trajectory(spark, d).select("session", "frame", (F.col("x") > 250).cast("int").alias("right"), (F.col("y") < 50).cast("int").alias("low"))
+    return im.flag_events(rows, ["right", "low"], 25.0)
+
+
+@query(
+    """WITH m AS (SELECT user_id AS session, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'STOP' WHEN event_type = 'error' THEN 'POINT' ELSE 'START' END AS status, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 + 2.5 AS time FROM events),
+n AS (SELECT *, lead(status) OVER w AS after, lead(time) OVER w AS stop FROM m WHERE status <> 'POINT' WINDOW w AS (PARTITION BY session ORDER BY time, seq))
+SELECT session, 'visit' AS behaviour, 'state' AS kind, round(time, 4) AS start, round(stop, 4) AS stop FROM n WHERE status = 'START' AND after = 'STOP'
+UNION ALL SELECT session, 'visit', 'point', round(time, 4), NULL FROM m WHERE status = 'POINT'"""
+)
+def marker_events(spark: SparkSession, d: str) -> DataFrame:
+    e = tb.scored_events(spark, d)
+    status = F.when(F.col("behaviour") == "signup", " stop ").when(F.col("behaviour") == "error", "POINT").otherwise("Start")
+    return im.marker_events(e.select("session", "seq", F.lit("visit").alias("behaviour"), status.alias("status"), F.col("start").alias("time")), 2.5)
+
+
+@query(with_(E_) + "SELECT session, behaviour, CASE WHEN stop > start THEN 'state' ELSE 'point' END AS kind, round(start - 1, 4) AS start, round(CASE WHEN stop > start THEN stop - 1 END, 4) AS stop FROM b")
+def span_events(spark: SparkSession, d: str) -> DataFrame:
+    return im.span_events(tb.scored_events(spark, d), -1.0)
+
+
+@query(
+    with_(E_)
+    + """SELECT session, 'Tone ' || row_number() OVER (PARTITION BY session ORDER BY start) AS name, round(5 + start * 0.5, 4) AS start, round(5 + start * 0.5 + 30, 4) AS "end" FROM b WHERE behaviour = 'signup'"""
+)
+def epochs_from_times(spark: SparkSession, d: str) -> DataFrame:
+    times = tb.scored_events(spark, d).filter("behaviour = 'signup'").select("session", F.col("start").alias("time"))
+    return im.epochs_from_times(times, 30.0, "Tone", 5.0, 0.5)
+
+
+@query(
+    """WITH p AS (SELECT vec_id, unnest(range(1, 61, 3)) AS i, embedding AS e FROM embeddings), q AS (SELECT vec_id, e[i]::DOUBLE AS x, e[i + 1]::DOUBLE AS y, abs(e[i + 2]::DOUBLE) * 5 AS p FROM p)
+SELECT CAST(0 AS BIGINT) AS session, vec_id AS frame, round(avg(x) FILTER (p >= 0.6), 6) AS x, round(avg(y) FILTER (p >= 0.6), 6) AS y, CASE WHEN count(*) FILTER (p >= 0.6) > 0 THEN 'Tracked' ELSE 'Lost' END AS status FROM q GROUP BY vec_id"""
+)
+def pose_positions(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.transform(F.sequence(F.lit(0), F.lit(57), F.lit(3)), lambda i: F.struct(*(F.get("embedding", i + k).cast("double").alias(n) for k, n in enumerate("xyp"))))
+    points = tb.table(spark, d, "embeddings").select(F.lit(0).cast("long").alias("session"), F.col("vec_id").alias("frame"), F.explode(parts).alias("at"))
+    points = points.select("session", "frame", "at.x", "at.y", (F.abs("at.p") * 5).alias("p"))
+    return rounded(im.pose_positions(points, F.lit(True)))
+
+
+# --- choice of tests, models and checks -----------------------------------------------------------------------------
+
+
+@query(with_(SU) + "SELECT metric, round(value, 6) AS value, tied, round(rank, 6) AS rank FROM (SELECT metric, value, count(*) AS tied, any_value(r) + (count(*) - 1) / 2.0 AS rank FROM (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value) AS r FROM lo) GROUP BY metric, value)")
+def value_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rk.value_ranks(_long(spark, d), ["metric"]))
+
+
+@query(
+    with_(SU)
+    + """, k AS (SELECT *, count(*) OVER (PARTITION BY metric, value) AS t, rank() OVER (PARTITION BY metric ORDER BY value) AS r FROM lo WHERE grp IN ('BUILDING', 'MACHINERY')),
+p AS (SELECT metric, count(*) FILTER (grp = 'BUILDING')::DOUBLE AS n1, count(*) FILTER (grp = 'MACHINERY')::DOUBLE AS n2, sum(r + (t - 1) / 2.0) FILTER (grp = 'BUILDING') AS r1, sum(t::DOUBLE ** 2 - 1) AS ties FROM k GROUP BY metric),
+q AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM p)
+SELECT metric, u, round(greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM q"""
+)
+def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rk.mann_whitney(_long(spark, d), "BUILDING", "MACHINERY").drop("p"))
+
+
+@query(
+    with_(SU)
+    + """, y AS (SELECT subject, timepoint, avg(price) AS v FROM su WHERE timepoint BETWEEN 1993 AND 1996 GROUP BY ALL), w AS (SELECT *, count(*) OVER (PARTITION BY subject) AS c FROM y),
+r AS (SELECT subject, timepoint, rank() OVER (PARTITION BY subject ORDER BY v) AS r, count(*) OVER (PARTITION BY subject, v) AS t FROM w WHERE c = 4),
+s AS (SELECT timepoint, sum(r + (t - 1) / 2.0) AS s, sum(t * t - 1) AS ties, count(*) AS n FROM r GROUP BY timepoint)
+SELECT coalesce(max(n), 0) AS n, round(CASE WHEN max(n) >= 2 THEN (12 * sum(s * s) / (max(n) * 20) - 15 * max(n)) / (1 - sum(ties) / (max(n) * 60)) END, 6) AS chi2, 3 AS df FROM s"""
+)
+def friedman_chi2(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rk.friedman(tb.subjects(spark, d), "price", [1993, 1994, 1995, 1996]).drop("p"))
+
+
+@query(
+    with_(SU)
+    + """, dv AS (SELECT metric, grp, abs(value - median(value) OVER (PARTITION BY metric, grp)) AS value FROM lo), g AS (SELECT metric, grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM dv GROUP BY ALL HAVING count(*) > 1),
+h AS (SELECT *, sum(n * m) OVER (PARTITION BY metric) / sum(n) OVER (PARTITION BY metric) AS grand FROM g), a AS (SELECT metric, count(*) AS k, sum(n) AS n, sum(n * (m - grand) ** 2) AS b, sum((n - 1) * v) AS w FROM h GROUP BY metric)
+SELECT metric, round((b / (k - 1)) / (w / (n - k)), 6) AS f, CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within FROM a"""
+)
+def levene_f(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(st.anova(rk.levene(_long(spark, d))).drop("p", "eta2"))
+
+
+@query()
+def compare_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Tests chosen by Shapiro-Wilk, which SQL doesn't express; the parts have SQL of their own."""
+    return rounded(comparison.compare_groups(_long(spark, d)))
+
+
+@query()
+def mixed_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Prices by market segment and year with an intercept for each customer; compared with dense matrices in the tests."""
+    s = tb.subjects(spark, d)
+    return rounded(mixed.mixed_effects(s.select("subject", "group", "timepoint", F.col("price").alias("value"))))
+
+
+@query()
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Forests on five blocks of the vectors, for label 1."""
+    e = tb.table(spark, d, "embeddings")
+    rows = e.select(F.lit(0).alias("session"), F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") == 1).alias("truth"))
+    return rounded(classifier.cross_validate(rows, "truth", FPS))
+
+
+@query(
+    with_(T)
+    + """, m AS (SELECT session, count(x) AS n, quantile_cont(x, 0.05) AS floor, count(*) AS frames, avg(CASE WHEN status = 'Tracked' THEN 100.0 ELSE 0 END) AS found, avg(CASE WHEN y > 95 THEN 100.0 WHEN y <= 95 THEN 0 END) AS light FROM t GROUP BY session)
+SELECT session, 'warn' AS level, 'noise' AS code, round(floor, 6) AS value FROM m WHERE n >= 30 AND floor >= 20
+UNION ALL SELECT session, CASE WHEN found < 60 THEN 'error' ELSE 'warn' END, 'found', round(found, 6) FROM m WHERE found < 90
+UNION ALL SELECT session, CASE WHEN light > 10 THEN 'warn' ELSE 'info' END, 'light', round(light / 100 * frames, 6) FROM m WHERE light > 10 OR light / 100 * frames >= 0.1"""
+)
+def freezing_checks(spark: SparkSession, d: str) -> DataFrame:
+    rows = tb.trajectory(spark, d).select("session", "frame", F.col("x").alias("motion"), (F.col("status") != "Lost").alias("usable"), (F.col("status") == "Tracked").alias("found"), (F.col("y") > 95).alias("light_change"))
+    return rounded(fz.quality_checks(rows, 20.0, FPS))
+
+
+@query(
+    with_(T)
+    + """, m AS (SELECT session, median(y) AS md FROM t GROUP BY session), b AS (SELECT t.session, frame, md, coalesce(y BETWEEN 0.55 * md AND 1.8 * md, false) AS good, y FROM t JOIN m USING (session)),
+e AS (SELECT *, min(frame) FILTER (good) OVER (PARTITION BY session) AS g, max(frame) FILTER (good) OVER (PARTITION BY session) AS h FROM b),
+s AS (SELECT session, any_value(md) AS md, any_value(g) AS g, any_value(h) AS h, min(frame) AS a, max(frame) AS z, count(*) FILTER (NOT good AND y IS NOT NULL AND frame < g) AS nb, count(*) FILTER (NOT good AND y IS NOT NULL AND frame > h) AS na FROM e GROUP BY session),
+f AS (SELECT *, CASE WHEN nb >= 2 THEN g ELSE a END AS f1 FROM s), l AS (SELECT *, CASE WHEN na >= 2 THEN greatest(h, f1 - 1) ELSE z END AS l1 FROM f), k AS (SELECT *, md > 1 AND g IS NOT NULL AND l1 - f1 + 1 >= 2 AS ok FROM l)
+SELECT session, CASE WHEN ok THEN f1 ELSE a END AS first, CASE WHEN ok THEN l1 ELSE z END AS last FROM k"""
+)
+def lights_trim(spark: SparkSession, d: str) -> DataFrame:
+    return fz.lights_trim(tb.trajectory(spark, d).select("session", "frame", F.col("y").alias("bright")), FPS)
+
+
+@query(
+    with_(T)
+    + """, f AS (SELECT session, frame, time_s, coalesce(y > 40, false) AS auto FROM t), b AS (SELECT session, time_s AS start, time_s + 2.5 AS stop FROM t WHERE status = 'Hidden'),
+h AS (SELECT f.*, EXISTS (SELECT 1 FROM b WHERE b.session = f.session AND f.time_s + 0.5 > b.start AND f.time_s + 0.5 <= b.stop) AS hand FROM f),
+s AS (SELECT session, count(*) AS frames, avg(auto::INT) AS a, avg(hand::INT) AS h, avg((auto = hand)::INT) AS same, min(time_s) AS t0 FROM h GROUP BY session),
+q AS (SELECT h.session, floor((time_s - t0) / 10) AS bin, count(*) AS n, avg(auto::INT) * 100 AS a, avg(hand::INT) * 100 AS h FROM h JOIN s USING (session) GROUP BY ALL HAVING count(*) >= 5),
+r AS (SELECT session, count(*) AS bins, CASE WHEN count(*) >= 3 AND max(a) > min(a) AND max(h) > min(h) THEN corr(a, h) END AS bin_r, avg(a - h) AS bias, stddev_samp(a - h) AS sd FROM q GROUP BY session)
+SELECT s.session, frames, round(a * 100, 6) AS auto_percent, round(h * 100, 6) AS hand_percent, round(same * 100, 6) AS agreement,
+ round(CASE WHEN a * h + (1 - a) * (1 - h) = 1 THEN CASE WHEN same = 1 THEN 1 END ELSE (same - (a * h + (1 - a) * (1 - h))) / (1 - (a * h + (1 - a) * (1 - h))) END, 6) AS kappa,
+ coalesce(bins, 0) AS bins, round(bin_r, 6) AS bin_r, round(bias, 6) AS bin_bias, round(bias - 1.96 * sd, 6) AS bin_lower, round(bias + 1.96 * sd, 6) AS bin_upper FROM s LEFT JOIN r ON r.session = s.session"""
+)
+def compare_scoring(spark: SparkSession, d: str) -> DataFrame:
+    rows = tb.trajectory(spark, d)
+    frames = rows.select("session", "frame", "time_s", F.coalesce(F.col("y") > 40, F.lit(False)).alias("auto"))
+    bouts = rows.filter("status = 'Hidden'").select("session", F.col("time_s").alias("start"), (F.col("time_s") + 2.5).alias("stop"))
+    return rounded(st.compare_scoring(frames, bouts, FPS))
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 
