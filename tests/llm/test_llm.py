@@ -86,6 +86,22 @@ def test_near_duplicates_of_a_large_group_and_odd_rows(spark, odd):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_links_among_many_texts_of_one_template(spark):
+    """Texts that share too little to be near-duplicates but fall into the same buckets, and pairs hidden among them."""
+    rng = random.Random(6)
+    template = [rng.choice(WORDS) for _ in range(220)]
+    rows = []
+    for i in range(120):
+        own = [rng.choice(WORDS) for _ in range(60)]
+        rows.append((2 * i, " ".join(template + own)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(template + own[:-8] + ["other"] * 8)))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if py_similarity(x, y) >= 0.8]
+    assert links and all(got[a] == got[b] for a, b in links)
+    assert len(set(got.values())) == 120
+
+
 def test_decontamination_finds_scattered_items(spark, odd):
     rng = random.Random(3)
     item = [rng.choice(WORDS) for _ in range(40)]
