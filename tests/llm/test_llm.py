@@ -102,6 +102,27 @@ def test_links_among_many_texts_of_one_template(spark):
     assert len(set(got.values())) == 120
 
 
+def test_variants_of_a_template_that_is_no_centre(spark):
+    """Edited copies, each near the template and too far from each other, are one class whatever their number; the pairs
+    of a cell whose blocks differ are met as well."""
+    rng = random.Random(11)
+    template = [rng.choice(WORDS) for _ in range(300)]
+    rows = [(1000, " ".join(template))]
+    for i in range(500):
+        words = list(template)
+        for at in rng.sample(range(5, 295), 5):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    near = [i for i, x in rows[1:] if py_similarity(x, rows[0][1]) >= 0.8]
+    assert len(near) > 250 and np.mean([py_similarity(rows[i][1], rows[i + 1][1]) >= 0.8 for i in range(1, 200)]) < 0.05
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(got[i] for i in near)) == 1
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dup, "BLOCK", 90)
+        again = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert again == got
+
+
 def test_decontamination_finds_scattered_items(spark, odd):
     rng = random.Random(3)
     item = [rng.choice(WORDS) for _ in range(40)]

@@ -12,17 +12,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vivarium.llm.common import map_columns, stage
+from vivarium.llm.common import map_columns, stage, steps
 from vivarium.llm.shingles import Shingled, U, content_keys, mix, multiset, shingle, weighted_jaccard
 
 SIMILARITY, BANDS, ROWS = 0.8, 25, 5
 #: Candidates of a bucket: each member with the bucket's centre, and with so many members before it in its part.
 LAGS, PART = 3, 1000
-#: Members before it that a member of a bucket of several classes is compared with in the second pass.
-WIDE = 31
+#: Members and darts' layers of a block of an open bucket: only the work of a task depends on them, never a result.
+BLOCK, BLOCK_LAYERS = 2000, 500_000
+#: A pair that is similar enough fails the comparison of sketches with at most this probability.
+SKETCH_MISS = 1e-6
 
 
 def layers(s: Shingled) -> np.ndarray:
@@ -83,8 +86,9 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def _sign(ids: list, rows: list, texts: list):
     s = shingle(texts)
     keys = content_keys(s)
-    bands = band_hashes(signatures(s))
-    yield [ids, rows, keys, [b if k else [] for k, b in zip(keys, bands.tolist())]]
+    signed = signatures(s)
+    sketches = [x.tobytes() for x in (signed >> U(56)).astype(np.uint8)]
+    yield [ids, rows, keys, [b if k else [] for k, b in zip(keys, band_hashes(signed).tolist())], sketches, np.diff(s.first).tolist()]
 
 
 def _verify(ka: list, kb: list, ta: list, tb: list):
@@ -101,7 +105,7 @@ def _verify(ka: list, kb: list, ta: list, tb: list):
 
 
 def bucket_members(bands: DataFrame) -> DataFrame:
-    """Rows of (key, band, beside) in buckets of two or more, with the bucket's size and its centre, the least key."""
+    """Rows of (key, n_layers, at, band) in buckets of two or more, with the bucket's size and its centre, the least key."""
     size = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("centre")).filter("size > 1")
     return bands.join(size, "band")
 
@@ -116,32 +120,147 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return star.unionByName(chain).filter("a < b").distinct()
 
 
-def remaining_pairs(members: DataFrame, roots: DataFrame, compared: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that are in different classes so far and weren't compared.
+def least_agreement(similarity: float, k: int = BANDS * ROWS, miss: float = SKETCH_MISS) -> int:
+    """The coordinates of k in which a pair of that similarity agrees but for a probability of `miss`."""
+    below, n = 0.0, 0
+    while n < k and (below := below + math.comb(k, n) * similarity**n * (1 - similarity) ** (k - n)) <= miss:
+        n += 1
+    return n
 
-    Only buckets that the star and the chain leave open and that hold several classes take part. Members are sorted by
-    the hash of the band beside, which most texts of a similarity of 0.8 share in some bands, and meet WIDE members
-    before them: all pairs of a bucket of up to WIDE + 1, and in a larger one those whose neighbouring bands agree too.
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a cell; those of its only block twice."""
+    block, i, j = (np.asarray(t[x]) for x in ("block", "i", "j"))
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def tiles(x: np.ndarray, y: np.ndarray, size: int = 500):
+    """Parts of x with y; of a block with itself, every pair once (its places in y come after those in x)."""
+    own = len(x) == len(y) and bool((x == y).all())
+    for at in range(0, len(x), size):
+        part = x[at : at + size]
+        wanted = np.ones((len(part), len(y)), bool)
+        if own:
+            wanted = np.arange(len(y))[None, :] > np.arange(at, at + len(part))[:, None]
+        yield part, wanted
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """Members with `blocks` of their bucket, dealt to blocks by a hash; a row for each pair of blocks (i <= j) that a member's block is in."""
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return dealt.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "blocks")
+
+
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes and of which star and chain don't make every pair, with their root."""
+    large = members.filter(F.col("size") > LAGS + 2).select("key", "band", "at", "n_layers")
+    named = large.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_layers") / F.lit(BLOCK_LAYERS))).alias("blocks")
+    several = named.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), blocks).filter("least <> most")
+    return named.join(several.select("band", "blocks"), "band").drop("n_layers")
+
+
+def promising(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(key, root, band, i, j, block): a cell's members that have a partner of another class with an alike sketch.
+
+    All pairs of a cell are compared, but for those that share an earlier band too: they meet in that one's bucket,
+    which holds both classes and so is open as well.
+    """
+    least = least_agreement(similarity)
+
+    def find(t: pa.Table) -> pa.Table:
+        x, y = _sides(t)
+        roots = np.unique(t["root"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1).T.copy()
+        earlier = np.array(t["earlier"].to_pylist(), np.int64).reshape(len(t), -1)
+        used = np.zeros(len(t), bool)
+        for part, wanted in tiles(x, y):
+            agree = np.zeros(wanted.shape, np.uint8)
+            for c in sketch:
+                agree += c[part][:, None] == c[y][None, :]
+            u, v = np.nonzero(wanted & (agree >= least) & (roots[part][:, None] != roots[y][None, :]))
+            for at in range(0, len(u), 1 << 16):
+                a, b = part[u[at : at + (1 << 16)]], y[v[at : at + (1 << 16)]]
+                first = ~(earlier[a] == earlier[b]).any(axis=1)
+                used[a[first]] = used[b[first]] = True
+        return t.select(["key", "root", "band", "i", "j", "block"]).filter(pa.array(used))
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(find, "key string, root string, band long, i int, j int, block int")
+
+
+def links_within(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links (a < b, similarity) of a cell's pairs of different roots, by their whole texts.
+
+    Every pair of the cell is counted exactly; of the links found, those are given that join classes not joined yet in
+    this cell, so that classes come out whole and rows don't grow with the square of a class.
+    """
+
+    def find(t: pa.Table) -> pa.Table:
+        x, y = _sides(t)
+        keys = t["key"].to_pylist()
+        names, roots = np.unique(t["root"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        texts = t["text"].to_pylist()
+        parts = [shingle(texts[cut]) for cut in steps([len(x or "") for x in texts])]
+        n = np.concatenate([np.diff(s.first) for s in parts])
+        where, often = np.unique(np.concatenate([layers(s) for s in parts]), return_inverse=True, return_counts=True)[1:]
+        shared = often[where] > 1  # a layer of one text only is in no intersection
+        column = np.cumsum(often > 1)[where[shared]] - 1
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], np.repeat(np.arange(len(n)), n)[shared][order]
+        top = np.arange(len(names))  # the class that a root is in by now
+        out = []
+        for part, wanted in tiles(x, y):
+            wanted &= top[roots[part]][:, None] != top[roots[y]][None, :]
+            if not wanted.any():
+                continue
+            both = np.zeros(wanted.shape)
+            width = 1024
+            for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+                lo, hi = np.searchsorted(column, [c, c + width])
+                held = np.zeros((len(keys), width), np.float32)
+                held[owner[lo:hi], column[lo:hi] - c] = 1
+                both += held[part] @ held[y].T
+            value = both / np.maximum(n[part][:, None] + n[y][None, :] - both, 1)
+            wanted &= value >= similarity
+            for u in np.flatnonzero(wanted.any(axis=1)).tolist():  # one link to each class that is still apart
+                v = np.flatnonzero(wanted[u])
+                classes, at = np.unique(top[roots[y[v]]], return_index=True)
+                own = top[roots[part[u]]]
+                for o in v[at[classes != own]].tolist():
+                    a, b = sorted((keys[part[u]], keys[y[o]]))
+                    out.append((a, b, float(value[u, o])))
+                top[np.isin(top, classes)] = own
+        return pa.table({k: pa.array([o[i] for o in out], ty) for i, (k, ty) in enumerate((("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())))})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(find, "a string, b string, similarity double")
+
+
+def remaining_links(members: DataFrame, roots: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links that join the classes found so far: every pair of every open bucket is compared, block by block.
+
+    No pair of a bucket is left out but those of one class and those whose sketches (8 bits of each dart) agree in too
+    few coordinates, which happens to a pair that is similar enough with a probability of at most SKETCH_MISS. Sketches
+    are compared first; only members with a promising partner are met with their texts.
     """
-    open_ = members.filter(F.col("size") > LAGS + 2).select("key", "band", "beside", "size")
-    named = open_.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    several = named.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("band")
-    rest = stage(named.join(several, "band", "left_semi"), "open_buckets")
-    alike = rest.groupBy("band", "beside").agg(F.count("*").alias("alike"))
-    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("alike") / F.lit(PART)))
-    part = F.pmod(F.xxhash64("beside", salt), F.ceil(F.col("size") / F.lit(PART)))
-    w = Window.partitionBy("band", "part").orderBy("beside", "key").rowsBetween(-WIDE, -1)
-    before = rest.join(alike, ["band", "beside"]).withColumn("part", part).withColumn("before", F.collect_list(F.struct("key", "root")).over(w))
-    met = before.select("key", F.explode(F.filter("before", lambda o: o["root"] != F.col("root"))).alias("other"))
-    pairs = met.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()
-    return pairs.join(compared, ["a", "b"], "left_anti")
+    rest = stage(open_members(members, roots), "open_buckets")
+    sketched = rest.join(texts.select(F.col("content_key").alias("key"), "sketch", "bands"), "key")
+    dealt = cells(sketched.withColumn("earlier", F.slice("bands", 1, F.col("at"))).drop("bands", "at"))
+    found = stage(promising(dealt, similarity), "promising")
+    bodies = bodies_of(found.select(F.col("key").alias("content_key")).distinct(), rows, texts)
+    return links_within(found.join(bodies, "key"), similarity).dropDuplicates(["a", "b"])
+
+
+def bodies_of(used: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, text) of the content keys in `used`."""
+    wanted = texts.join(used, "content_key").select(F.col("content_key").alias("key"), F.col("rep.row_id").alias("row_id"))
+    return stage(rows.select("row_id", "text").join(wanted, "row_id").select("key", "text").dropDuplicates(["key"]), "bodies")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, similarity) that are similar enough, by their whole texts."""
     used = pairs.select(F.col("a").alias("content_key")).unionByName(pairs.select(F.col("b").alias("content_key"))).distinct()
-    wanted = texts.join(used, "content_key").select(F.col("content_key").alias("key"), F.col("rep.row_id").alias("row_id"))
-    bodies = stage(rows.select("row_id", "text").join(wanted, "row_id").select("key", "text").dropDuplicates(["key"]), "bodies")
+    bodies = bodies_of(used, rows, texts)
     joined = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(bodies.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return map_columns(joined, _verify, "a string, b string, similarity double", by=2).filter(F.col("similarity") >= similarity)
@@ -171,25 +290,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     class_id is the least doc_id of the class: texts joined by exact copies and by chains of links, a link being a
     weighted Jaccard similarity (five-word shingles with their counts) of at least `similarity`. n_links counts a text's
-    found links to different texts. is_kept marks the row of the least (doc_id, text hash) of the class. A text without
+    found links to different texts: once two classes are joined, further links between them need not be found. is_kept marks the row of the least (doc_id, text hash) of the class. A text without
     words (or null) is a class of its own and kept (class_id its doc_id). A class without any doc_id has a null class_id.
     Repeated rows share a class and all count in class_size. Very long texts are used whole.
     """
     rows = docs.select("doc_id", row_id(), "text")
-    ddl = "doc_id long, row_id long, content_key string, bands array<long>"
+    ddl = "doc_id long, row_id long, content_key string, bands array<long>, sketch binary, n_layers long"
     signed = stage(map_columns(rows, _sign, ddl, by=2), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")
-    texts = signed.filter("content_key <> ''").groupBy("content_key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    texts = signed.filter("content_key <> ''").groupBy("content_key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), *(F.first(x).alias(x) for x in ("bands", "sketch", "n_layers")))
     texts = stage(texts, "texts")
-    beside = F.get("bands", (F.col("at") + 1) % BANDS).alias("beside")
-    bands = texts.select(F.col("content_key").alias("key"), "bands", F.posexplode("bands").alias("at", "band")).select("key", "band", beside)
+    bands = texts.select(F.col("content_key").alias("key"), "n_layers", F.posexplode("bands").alias("at", "band"))
     members = stage(bucket_members(bands), "members")
     pairs = stage(candidate_pairs(members), "pairs")
     links = stage(verified(pairs, rows, texts, similarity), "verified")
     roots = components(links)
-    more = stage(remaining_pairs(members, roots, pairs), "pairs")
+    more = stage(remaining_links(members, roots, rows, texts, similarity), "verified")
     if not more.isEmpty():
-        links = links.unionByName(stage(verified(more, rows, texts, similarity), "verified"))
+        links = links.unionByName(more)
         roots = components(links)
     roots = roots.withColumnRenamed("node", "content_key")
     degree = links.select(F.explode(F.array("a", "b")).alias("content_key")).groupBy("content_key").agg(F.count("*").alias("n_links"))
