@@ -136,6 +136,24 @@ def test_decontamination_finds_scattered_items(spark, odd):
     assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
 
 
+def test_decontamination_finds_items_of_few_words_in_long_documents():
+    """Every item of 5 to 13 words (1 to 9 shingles) in each of many long documents, and those that hold 0.8 of one."""
+    rng = random.Random(12)
+    items = [" ".join(f"i{n}x{k}" for k in range(n)) for n in range(5, 14)]
+    index = decontaminate.build_index(list(range(len(items))), items)
+    texts, want = [], set()
+    for d in range(150):
+        words = [rng.choice(WORDS) for _ in range(800)]
+        for i, item in enumerate(items):
+            words[60 * i + rng.randrange(40) : 60 * i + 40] = item.split()
+            want.add((d, i))
+        texts.append(" ".join(words))
+    part = items[4].split()[:8]  # 4 of the 5 shingles of an item of 9 words, and 3 of them
+    texts += [" ".join(WORDS[:300] + part), " ".join(WORDS[:300] + part[:7]), "", None]
+    want.add((150, 4))
+    assert {(d, i) for d, i, _ in decontaminate.matches(texts, index)} == want
+
+
 def test_best_fit_plan_is_best_fit_decreasing():
     rng = random.Random(4)
     for _ in range(60):

@@ -5,7 +5,8 @@ document is summarised for class c by windows of two neighbouring blocks of 2**c
 holds is about as large as an item and a run of an item's length lies within one window. A window is a candidate for
 an item when one of HASHES min-hashes agrees. If a document holds a share t of an item's q shingles, wherever they lie,
 the expected number of agreements is at least HASHES * t * q / (2 * 2**c + q) >= 64 * 0.8 / 5 > 10, so a miss has a
-probability below 5e-5. Candidates are then counted exactly.
+probability below 5e-5. Candidates are then counted exactly. For that, classes begin at items of more than FEW shingles;
+every shingle of a document is looked up among those of items of at most FEW, so that none of these is missed.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from vivarium.llm.common import filter_rows, map_columns
 from vivarium.llm.shingles import U, shingle
 
 CONTAINMENT, HASHES, LEAST_CLASS = 0.8, 64, 4
+#: Items of at most so many distinct shingles are searched exactly: half of a block of the least class, as in the larger classes.
+FEW = 1 << (LEAST_CLASS - 1)
 #: Items that one pass over the documents takes: at most so many, and their shingles; more items make more passes.
 ITEMS_PER_PASS, SHINGLES_PER_PASS = 20_000, 2_000_000
 FULL = np.iinfo(np.uint32).max
@@ -27,11 +30,15 @@ FULL = np.iinfo(np.uint32).max
 
 @dataclass
 class Index:
-    """Items of one pass, by size class: sorted min-hashes of each hash function, and the items they belong to."""
+    """Items of one pass, by size class: sorted min-hashes of each hash function, and the items they belong to.
+
+    few has the sorted shingles of the items of at most FEW, the item of each, and which leading 16 bits occur.
+    """
 
     ids: list
     sets: list[np.ndarray]
     classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    few: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _short(shingles: np.ndarray) -> np.ndarray:
@@ -45,11 +52,14 @@ FACTORS = [np.uint32(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) >> 20 & 0xFFFFF
 
 def build_index(ids: list, texts: list[str | None]) -> Index:
     s = shingle(texts)
-    kept, sets, members = [], [], {}
+    kept, sets, members, small = [], [], {}, []
     for i, item in enumerate(ids):
         own = np.unique(s.shingles[s.first[i] : s.first[i + 1]])
         if s.word_first[i + 1] - s.word_first[i] >= 5:
-            members.setdefault(max(LEAST_CLASS, int(len(own) - 1).bit_length()), []).append(len(kept))
+            if len(own) <= FEW:
+                small.append(len(kept))
+            else:
+                members.setdefault(int(len(own) - 1).bit_length(), []).append(len(kept))
             kept.append(item)
             sets.append(own)
     classes = {}
@@ -61,7 +71,27 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
             seen = np.zeros(1 << 16, bool)
             seen[(least >> 16).astype(np.int64)] = True
             classes[c].append((least[order], np.array(items)[order], seen))
-    return Index(kept, sets, classes)
+    every = np.concatenate([np.zeros(0, U), *(sets[i] for i in small)])
+    order = np.argsort(every)
+    seen = np.zeros(1 << 16, bool)
+    seen[(every >> U(48)).astype(np.int64)] = True
+    return Index(kept, sets, classes, (every[order], np.repeat(small, [len(sets[i]) for i in small]).astype(np.int64)[order], seen))
+
+
+def _of_few(s, index: Index) -> set[tuple[int, int]]:
+    """(document, item) pairs that share a shingle, for the items of at most FEW."""
+    values, items, seen = index.few
+    if not len(values):
+        return set()
+    maybe = np.flatnonzero(seen[(s.shingles >> U(48)).astype(np.int64)])
+    left = np.searchsorted(values, s.shingles[maybe], "left")
+    right = np.searchsorted(values, s.shingles[maybe], "right")
+    hit = left < right
+    found: set[tuple[int, int]] = set()
+    owner = np.searchsorted(s.first, maybe[hit], "right") - 1
+    for d, i, j in set(zip(owner.tolist(), left[hit].tolist(), right[hit].tolist())):
+        found.update((d, int(item)) for item in items[i:j])
+    return found
 
 
 def _candidates(s, index: Index) -> set[tuple[int, int]]:
@@ -70,7 +100,7 @@ def _candidates(s, index: Index) -> set[tuple[int, int]]:
     base = 1 << LEAST_CLASS
     blocks = -(-n // base)
     first = np.concatenate(([0], np.cumsum(blocks)))
-    if not first[-1] or not index.sets:
+    if not first[-1] or not index.classes:
         return set()
     at = np.arange(first[-1] * base) - np.repeat(first[:-1] * base, blocks * base)  # a text's last block repeats its last shingle
     at = np.repeat(s.first[:-1], blocks * base) + np.minimum(at, np.repeat(n - 1, blocks * base))
@@ -102,7 +132,7 @@ def matches(texts: list[str | None], index: Index, containment: float = CONTAINM
     """(document, item, shared shingles) for the pairs that hold, exactly counted."""
     s = shingle(texts)
     out = []
-    for d, i in sorted(_candidates(s, index)):
+    for d, i in sorted(_candidates(s, index) | _of_few(s, index)):
         shared = int(np.isin(index.sets[i], s.shingles[s.first[d] : s.first[d + 1]]).sum())
         if shared >= containment * len(index.sets[i]) - 1e-9:
             out.append((d, i, shared))
