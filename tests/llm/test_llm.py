@@ -380,6 +380,29 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(df.filter("page_id = 9001")).collect()} == {"allow"}
 
 
+def test_url_statistics_are_those_of_all_labelled_urls(spark, monkeypatch):
+    """Whatever the sample and the number of keys: many hosts, one of them with a third of the rows."""
+    monkeypatch.setattr(url_filter, "SUFFIXES", 5)
+    urls = [f"http://h{i % 60 if i % 3 else 0}.{'net' if i % 2 else 'org'}/{'fr' if i % 4 else 'de'}/{i}" for i in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    name, verdict = url_filter.deciding_rule(F.col("host"), F.col("path"))
+    rows = pages.select("page_id", "url", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    feats = url_filter.lexical(rows.withColumns({"rule": name, "verdict": verdict}))
+    rates = url_filter.train(feats.filter("verdict IS NOT NULL").drop("page_id"), 300)[2]
+    n, blocked = Counter(), Counter()
+    every = feats.collect()
+    for r in every:
+        for key in (r.suffix, r.section) if r.verdict else ():
+            n[key] += 1
+            blocked[key] += r.verdict == "block"
+    assert len(n) > 50 and {r.key: round(r.rate, 9) for r in rates.collect()} == {k: round((blocked[k] + 1) / (n[k] + 2), 9) for k in n}
+    got = url_filter.with_suffix_rates(feats, rates).collect()
+    assert len(got) == len(every)
+    for r in got:
+        for key, rate, seen in ((r.suffix, r.suffix_rate, r.suffix_seen), (r.section, r.section_rate, r.section_seen)):
+            assert rate == pytest.approx((blocked[key] + 1) / (n[key] + 2)) and seen == pytest.approx(math.log1p(n[key]))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()

@@ -15,8 +15,9 @@ from vivarium.llm.common import stage
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: The trees are fitted on about so many labelled URLs, chosen by a hash; suffix statistics cover the most frequent suffixes
-#: (the last two labels of a host) and sections (a suffix and the first part of the path).
+#: The trees are fitted on about so many labelled URLs, chosen by a hash. Statistics of suffixes (the last two labels of a
+#: host) and sections (a suffix and the first part of the path) are those of all labelled URLs; so many of the most
+#: frequent ones are broadcast, and the others joined by a shuffle.
 TRAIN_ROWS, SUFFIXES = 20_000, 2000
 TREES, DEPTH, SEED = 12, 4, 7
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "host_length", "labels", "dashes", "suffix_rate", "suffix_seen", "section_rate", "section_seen")
@@ -77,10 +78,21 @@ def _nlogn(n: Column) -> Column:
 
 
 def with_suffix_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    """rates has at most SUFFIXES rows (key, rate, seen); other suffixes and sections get the neutral rate."""
+    """Adds the statistics in rates (key, rate, seen) to each row; suffixes and sections that no labelled URL has get the neutral rate.
+
+    The most frequent keys are broadcast, and their rows dealt anywhere in the join with all others.
+    """
+    cut = rates.count() > SUFFIXES
+    frequent = rates.orderBy(F.desc("seen"), "key").limit(SUFFIXES) if cut else rates
     for name in ("suffix", "section"):
-        found = F.broadcast(rates.select(F.col("key").alias(name), F.col("rate").alias(f"{name}_rate"), F.col("seen").alias(f"{name}_seen")))
-        rows = rows.join(found, name, "left").withColumns({f"{name}_rate": F.coalesce(f"{name}_rate", F.lit(0.5)), f"{name}_seen": F.coalesce(f"{name}_seen", F.lit(0.0))})
+        rate, seen = f"{name}_rate", f"{name}_seen"
+        rows = rows.join(F.broadcast(frequent.select(F.col("key").alias(name), F.col("rate").alias(rate), F.col("seen").alias(seen))), name, "left")
+        if cut:
+            salted = rows.withColumn("__salt", F.when(F.col(rate).isNull(), -1).otherwise(F.pmod(F.xxhash64("url"), F.lit(4096)).cast("int")))
+            other = rates.select(F.col("key").alias(name), F.lit(-1).alias("__salt"), F.col("rate").alias("__rate"), F.col("seen").alias("__seen"))
+            found = salted.join(other, [name, "__salt"], "left")
+            rows = found.withColumns({rate: F.coalesce(rate, "__rate"), seen: F.coalesce(seen, "__seen")}).drop("__salt", "__rate", "__seen")
+        rows = rows.withColumns({rate: F.coalesce(rate, F.lit(0.5)), seen: F.coalesce(seen, F.lit(0.0))})
     return rows
 
 
@@ -92,8 +104,8 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
     share = min(1.0, train_rows / sum(sizes.values()))
     chosen = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
     blocked = (F.col("verdict") == "block").cast("double")
-    keys = chosen.select(F.explode(F.array("suffix", "section")).alias("key"), blocked.alias("b"))
-    rates = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("b").alias("b")).orderBy(F.desc("n"), "key").limit(SUFFIXES)
+    keys = labelled.select(F.explode(F.array("suffix", "section")).alias("key"), blocked.alias("b"))
+    rates = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     rates = stage(rates.select("key", ((F.col("b") + 1) / (F.col("n") + 2)).alias("rate"), F.log1p("n").alias("seen")), "suffixes")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     rows = with_suffix_rates(chosen, rates).withColumn("label", blocked)
