@@ -6,19 +6,21 @@ holds is about as large as an item and a run of an item's length lies within one
 an item when one of HASHES min-hashes agrees. If a document holds a share t of an item's q shingles, wherever they lie,
 the expected number of agreements is at least HASHES * t * q / (2 * 2**c + q) >= 64 * 0.8 / 5 > 10, so a miss has a
 probability below 5e-5. Candidates are then counted exactly. For that, classes begin at items of more than FEW shingles;
-every shingle of a document is looked up among those of items of at most FEW, so that none of these is missed.
+every shingle of a document is looked up among those of items of at most FEW, so that none of these is missed. An item of
+under five words has one shingle, all its words, and every run of so many words of a document is looked up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vivarium.llm.common import filter_rows, map_columns
-from vivarium.llm.shingles import U, shingle
+from vivarium.llm.common import filter_rows, map_columns, stage, unstage
+from vivarium.llm.shingles import WIDTH, U, shingle, word_runs
 
 CONTAINMENT, HASHES, LEAST_CLASS = 0.8, 64, 4
 #: Items of at most so many distinct shingles are searched exactly: half of a block of the least class, as in the larger classes.
@@ -32,13 +34,15 @@ FULL = np.iinfo(np.uint32).max
 class Index:
     """Items of one pass, by size class: sorted min-hashes of each hash function, and the items they belong to.
 
-    few has the sorted shingles of the items of at most FEW, the item of each, and which leading 16 bits occur.
+    few has the sorted shingles of the items of at most FEW, the item of each, and which leading 16 bits occur; short has
+    the same of the items of so many words, for each number of words below WIDTH that occurs.
     """
 
     ids: list
     sets: list[np.ndarray]
     classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
     few: tuple[np.ndarray, np.ndarray, np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _short(shingles: np.ndarray) -> np.ndarray:
@@ -50,18 +54,31 @@ def _short(shingles: np.ndarray) -> np.ndarray:
 FACTORS = [np.uint32(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) >> 20 & 0xFFFFFFFF | 1) for i in range(HASHES)]
 
 
+def _lookup(sets: list[np.ndarray], items: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items' shingles in order, the item of each, and which leading 16 bits occur."""
+    every = np.concatenate([np.zeros(0, U), *(sets[i] for i in items)])
+    order = np.argsort(every)
+    seen = np.zeros(1 << 16, bool)
+    seen[(every >> U(48)).astype(np.int64)] = True
+    return every[order], np.repeat(items, [len(sets[i]) for i in items]).astype(np.int64)[order], seen
+
+
 def build_index(ids: list, texts: list[str | None]) -> Index:
     s = shingle(texts)
-    kept, sets, members, small = [], [], {}, []
+    kept, sets, members, small, short = [], [], {}, [], {}
     for i, item in enumerate(ids):
         own = np.unique(s.shingles[s.first[i] : s.first[i + 1]])
-        if s.word_first[i + 1] - s.word_first[i] >= 5:
-            if len(own) <= FEW:
-                small.append(len(kept))
-            else:
-                members.setdefault(int(len(own) - 1).bit_length(), []).append(len(kept))
-            kept.append(item)
-            sets.append(own)
+        words = int(s.word_first[i + 1] - s.word_first[i])
+        if not words:
+            continue
+        if words < WIDTH:
+            short.setdefault(words, []).append(len(kept))
+        elif len(own) <= FEW:
+            small.append(len(kept))
+        else:
+            members.setdefault(int(len(own) - 1).bit_length(), []).append(len(kept))
+        kept.append(item)
+        sets.append(own)
     classes = {}
     for c, items in members.items():
         classes[c] = []
@@ -71,29 +88,37 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
             seen = np.zeros(1 << 16, bool)
             seen[(least >> 16).astype(np.int64)] = True
             classes[c].append((least[order], np.array(items)[order], seen))
-    every = np.concatenate([np.zeros(0, U), *(sets[i] for i in small)])
-    order = np.argsort(every)
-    seen = np.zeros(1 << 16, bool)
-    seen[(every >> U(48)).astype(np.int64)] = True
-    return Index(kept, sets, classes, (every[order], np.repeat(small, [len(sets[i]) for i in small]).astype(np.int64)[order], seen))
+    return Index(kept, sets, classes, _lookup(sets, small), {n: _lookup(sets, items) for n, items in short.items()})
 
 
-def _of_few(s, index: Index) -> set[tuple[int, int]]:
-    """(document, item) pairs that share a shingle, for the items of at most FEW."""
-    values, items, seen = index.few
-    if not len(values):
+def _looked_up(shingles: np.ndarray, first: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
+    """(document, item) pairs that share a shingle of the table; document d has shingles from first[d] on."""
+    values, items, seen = table
+    if not len(values) or not len(shingles):
         return set()
-    maybe = np.flatnonzero(seen[(s.shingles >> U(48)).astype(np.int64)])
-    left = np.searchsorted(values, s.shingles[maybe], "left")
-    right = np.searchsorted(values, s.shingles[maybe], "right")
+    maybe = np.flatnonzero(seen[(shingles >> U(48)).astype(np.int64)])
+    left = np.searchsorted(values, shingles[maybe], "left")
+    right = np.searchsorted(values, shingles[maybe], "right")
     hit = left < right
     found: set[tuple[int, int]] = set()
-    owner = np.searchsorted(s.first, maybe[hit], "right") - 1
+    owner = np.searchsorted(first, maybe[hit], "right") - 1
     for d, i, j in set(zip(owner.tolist(), left[hit].tolist(), right[hit].tolist())):
         found.update((d, int(item)) for item in items[i:j])
     return found
 
 
+def _of_short(s, index: Index) -> set[tuple[int, int]]:
+    """(document, item) pairs, for items of under WIDTH words: a run of the document's words is the item's."""
+    found: set[tuple[int, int]] = set()
+    for n, table in index.short.items():
+        runs = word_runs(s.words, n)
+        owner = np.searchsorted(s.word_first, np.arange(len(runs)), "right") - 1
+        whole = s.word_first[owner + 1] - np.arange(len(runs)) >= n  # no run goes on into the next text
+        kept = np.flatnonzero(whole)
+        found |= _looked_up(runs[kept], np.searchsorted(kept, s.word_first), table)
+    return found
+
+
 def _candidates(s, index: Index) -> set[tuple[int, int]]:
     """(document, item) pairs of which some window and the item agree in a min-hash."""
     n = np.diff(s.first)
@@ -132,38 +157,53 @@ def matches(texts: list[str | None], index: Index, containment: float = CONTAINM
     """(document, item, shared shingles) for the pairs that hold, exactly counted."""
     s = shingle(texts)
     out = []
-    for d, i in sorted(_candidates(s, index) | _of_few(s, index)):
+    out += [(d, i, 1) for d, i in sorted(_of_short(s, index))]
+    for d, i in sorted(_candidates(s, index) | _looked_up(s.shingles, s.first, index.few)):
         shared = int(np.isin(index.sets[i], s.shingles[s.first[d] : s.first[d + 1]]).sum())
         if shared >= containment * len(index.sets[i]) - 1e-9:
             out.append((d, i, shared))
     return out
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the items, one for each block of items; only the stated query set comes to the driver, block by block."""
-    out, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
         n = len(row.text or "") // 2
         if ids and (len(ids) >= ITEMS_PER_PASS or size + n > SHINGLES_PER_PASS):
-            out.append(build_index(ids, texts))
+            yield build_index(ids, texts)
             ids, texts, size = [], [], 0
         ids.append(row.item_id)
         texts.append(row.text)
         size += n
-    return out + ([build_index(ids, texts)] if ids else [])
+    if ids:
+        yield build_index(ids, texts)
+
+
+def passes(benchmark: DataFrame) -> Iterator[tuple[object, bool]]:
+    """(broadcast index, is it the last); each is taken from the driver and the executors before the next one is built."""
+    blocks = indexes(benchmark)
+    index = next(blocks, None)
+    while index is not None:
+        sent = benchmark.sparkSession.sparkContext.broadcast(index)
+        following = next(blocks, None)
+        yield sent, following is None
+        if following is not None:
+            sent.destroy()
+        index = following
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """A row for each document and item it contains: doc_id, item_id, n_shared, n_item, containment.
 
-    An item is contained if at least `containment` of its distinct five-word shingles occur in the document. Items of
-    under five words (or null) have no such shingle and match nothing; null or short documents match nothing. Repeated
-    documents or items give their rows each; empty tables give no rows.
+    An item is contained if at least `containment` of its distinct five-word shingles occur in the document; an item of
+    one to four words if they occur there in a row (n_shared and n_item are then 1). Items and documents without words
+    (or null) match nothing. Very long documents are searched whole. Repeated documents or items give their rows each;
+    other columns are left out; empty tables give no rows.
     """
     ddl = "doc_id long, item_id long, n_shared long, n_item long, containment double"
     spark, out = docs.sparkSession, None
-    for index in indexes(benchmark):
-        sent = spark.sparkContext.broadcast(index)
+    for sent, last in passes(benchmark):
 
         def find(ids: list, texts: list, sent=sent):
             got, items = matches(texts, sent.value, containment), sent.value
@@ -171,18 +211,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
             yield [[ids[d] for d, _, _ in got], [items.ids[i] for _, i, _ in got], [x for _, _, x in got], sizes, [x / n for (_, _, x), n in zip(got, sizes)]]
 
         part = map_columns(docs.select("doc_id", "text"), find, ddl, by=1)
+        part = part if last else stage(part, "contained")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], ddl)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """docs, all columns, without the documents that contain an item; one pass for each block of items."""
-    for index in indexes(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    """docs, all columns (whatever their names), without the documents that contain an item; a pass for each block of items.
+
+    Documents without words (or null) stay, very long ones are searched whole, repeated rows share their fate; without
+    items, docs stays as it is, and an empty table empty.
+    """
+    before = None
+    for sent, last in passes(benchmark):
 
         def clean(texts: list, sent=sent) -> list[bool]:
             bad = {d for d, _, _ in matches(texts, sent.value, containment)}
             return [i not in bad for i in range(len(texts))]
 
         docs = filter_rows(docs, "text", clean)
+        if not last:
+            docs = stage(docs, "clean")
+            if before is not None:
+                unstage(before)
+            before = docs
     return docs

@@ -39,6 +39,12 @@ def remove(uri: str) -> None:
         system.delete_file(path)
 
 
+def remove_folder(uri: str) -> None:
+    system, path = resolve(uri)
+    with contextlib.suppress(FileNotFoundError):
+        system.delete_dir(path)
+
+
 class Handles:
     """Open input files, the least recently used closed first."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vivarium.llm.common import map_columns, stage, steps
+from vivarium.llm.common import free_name, map_columns, stage, steps, unstage
 from vivarium.llm.shingles import Shingled, U, content_keys, mix, multiset, shingle, weighted_jaccard
 
 SIMILARITY, BANDS, ROWS = 0.8, 25, 5
@@ -269,20 +269,24 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, similarity: fl
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of its component. Labels take the least label next to them, then jump."""
     both = stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
-    labels = stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), "labels")
+    labels = table = stage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), "labels")
     while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("least"))
         lower = labels.join(near, labels.node == near.u).select("node", "root", F.least("root", "least").alias("next"))
         up = labels.select(F.col("node").alias("next"), F.col("root").alias("jump"))
         moved = stage(lower.join(up, "next", "left").select("node", F.coalesce("jump", "next").alias("root"), (F.coalesce("jump", "next") != F.col("root")).alias("changed")), "labels")
-        labels = moved.select("node", "root")
+        unstage(table)
+        table, labels = moved, moved.select("node", "root")
         if moved.filter("changed").isEmpty():
+            unstage(both)
             return labels
 
 
 def row_id():
-    """Rows of equal doc_id and text are the same row."""
-    return F.xxhash64("doc_id", "text").alias("row_id")
+    """128 bits of doc_id and text: rows that have both alike are the same row."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    nulls = F.concat(F.col("doc_id").isNull().cast("string"), F.col("text").isNull().cast("string"))
+    return F.unhex(F.md5(F.concat_ws(":", nulls, known("doc_id"), known("text")))).alias("row_id")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -292,10 +296,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     weighted Jaccard similarity (five-word shingles with their counts) of at least `similarity`. n_links counts a text's
     found links to different texts: once two classes are joined, further links between them need not be found. is_kept marks the row of the least (doc_id, text hash) of the class. A text without
     words (or null) is a class of its own and kept (class_id its doc_id). A class without any doc_id has a null class_id.
-    Repeated rows share a class and all count in class_size. Very long texts are used whole.
+    Repeated rows share a class and all count in class_size. Very long texts are used whole; other columns of docs,
+    whatever their names, are left out; an empty table gives no rows.
     """
     rows = docs.select("doc_id", row_id(), "text")
-    ddl = "doc_id long, row_id long, content_key string, bands array<long>, sketch binary, n_layers long"
+    ddl = "doc_id long, row_id binary, content_key string, bands array<long>, sketch binary, n_layers long"
     signed = stage(map_columns(rows, _sign, ddl, by=2), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")
     texts = signed.filter("content_key <> ''").groupBy("content_key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), *(F.first(x).alias(x) for x in ("bands", "sketch", "n_layers")))
@@ -304,8 +309,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = stage(bucket_members(bands), "members")
     pairs = stage(candidate_pairs(members), "pairs")
     links = stage(verified(pairs, rows, texts, similarity), "verified")
+    unstage(pairs)
     roots = components(links)
     more = stage(remaining_links(members, roots, rows, texts, similarity), "verified")
+    unstage(members)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
@@ -326,6 +333,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs, all columns, with one row of each class; a repeated row (equal doc_id and text) stays once."""
-    kept = near_duplicates(docs, similarity).filter("is_kept").select(F.col("row_id").alias("__row_id"))
-    return docs.withColumn("__row_id", row_id()).join(kept.distinct(), "__row_id", "left_semi").dropDuplicates(["__row_id"]).drop("__row_id")
+    """docs, all columns (whatever their names), with one row of each class.
+
+    A repeated row (equal doc_id and text) stays once, whichever of them; texts without words, or null, are classes of
+    their own and stay. Very long texts are used whole; an empty table stays empty.
+    """
+    name = free_name(docs, "row_id")
+    kept = near_duplicates(docs, similarity).filter("is_kept").select(F.col("row_id").alias(name))
+    return docs.withColumn(name, row_id()).join(kept.distinct(), name, "left_semi").dropDuplicates([name]).drop(name)

@@ -64,7 +64,9 @@ ORACLES = {
 n AS (SELECT id, count(*) AS n FROM u WHERE id % 2 = 1 GROUP BY id)
 SELECT d.id // 2 AS doc_id, b.id // 2 AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item, count(*) / any_value(n.n) AS containment
 FROM u d JOIN u b ON d.shingle = b.shingle AND d.id % 2 = 0 AND b.id % 2 = 1 JOIN n ON n.id = b.id
-GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9""",
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
+UNION ALL SELECT d.id // 2, b.id // 2, 1, 1, 1.0::DOUBLE FROM w b JOIN w d ON b.id % 2 = 1 AND d.id % 2 = 0 AND len(b.words) BETWEEN 1 AND 4
+ AND contains(' ' || array_to_string(d.words, ' ') || ' ', ' ' || array_to_string(b.words, ' ') || ' ')""",
     "op4_near_duplicates": """WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents),
 """
     + SHINGLED

@@ -82,11 +82,18 @@ def shingle(texts: list[str | None], width: int = WIDTH) -> Shingled:
     for k in range(width):
         every += padded[k : k + len(words)] * U(pow(_BASE, 2 * k + 1, 1 << 64))
     at = np.arange(first[-1]) - np.repeat(first[:-1], kept) + np.repeat(word_first[:-1], kept)
-    out = every[at]
+    out = mix(every[at])
     for i in np.flatnonzero((n > 0) & (n < width)):  # short texts: all of their words, and no word of the next text
-        own = words[word_first[i] : word_first[i + 1]]
-        out[first[i]] = np.sum(own * np.array([pow(_BASE, 2 * k + 2, 1 << 64) for k in range(len(own))], U)) + U(len(own))
-    return Shingled(mix(out), first, words, word_first)
+        out[first[i]] = word_runs(words[word_first[i] : word_first[i + 1]], int(n[i]))[0]
+    return Shingled(out, first, words, word_first)
+
+
+def word_runs(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each `size` words in a row, that of a whole text of so many words if they are under WIDTH."""
+    total = np.full(max(len(words) - size + 1, 0), size, U)
+    for k in range(size):
+        total += words[k : k + len(total)] * U(pow(_BASE, 2 * k + 2, 1 << 64))
+    return mix(total)
 
 
 def content_keys(s: Shingled) -> list[str]:

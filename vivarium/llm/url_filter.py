@@ -1,6 +1,8 @@
 """URL filters: rules by host and path, and gradient-boosted trees over lexical features for what no rule decides.
 
-The trees are trained on labelled URLs: those that a rule decides, with the rule's verdict as label.
+The trees are trained on labelled URLs: those that a rule decides, with the rule's verdict as label. No feature is made from
+labels, so none can repeat a rule: suffix statistics (how often a host's suffix occurs, and what its URLs look like) are
+counted over all URLs.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from vivarium.llm.common import stage
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: The trees are fitted on about so many labelled URLs, chosen by a hash. Statistics of suffixes (the last two labels of a
-#: host) and sections (a suffix and the first part of the path) are those of all labelled URLs; so many of the most
-#: frequent ones are broadcast, and the others joined by a shuffle.
+#: The trees are fitted on about so many labelled URLs, chosen by a hash of page_id, URL and place. Suffix statistics are
+#: those of all URLs; those of so many of the most frequent suffixes are broadcast, the others joined by a shuffle.
 TRAIN_ROWS, SUFFIXES = 20_000, 2000
 TREES, DEPTH, SEED = 12, 4, 7
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "host_length", "labels", "dashes", "suffix_rate", "suffix_seen", "section_rate", "section_seen")
+LEXICAL = ("length", "depth", "digit_ratio", "entropy", "params", "host_length", "labels", "dashes")
+STATISTICS = ("suffix_seen", "suffix_length", "suffix_depth", "suffix_params")
+FEATURES = LEXICAL + STATISTICS
 
 
 def host_of(url: Column) -> Column:
@@ -43,7 +46,7 @@ def deciding_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def lexical(judged: DataFrame) -> DataFrame:
-    """Adds length, depth, digit ratio, entropy of the characters, parameter counts and the host's suffix."""
+    """Adds length, depth, digit ratio, entropy of the characters, parameter counts, measures of the host and its suffix (the last two labels)."""
     url = F.coalesce("url", F.lit(""))
     size = F.length(url)
     letters = F.array_sort(F.split(url, ""))
@@ -69,7 +72,6 @@ def lexical(judged: DataFrame) -> DataFrame:
         F.size(parts).cast("double").alias("labels"),
         F.length(F.regexp_replace("host", r"[^-]", "")).cast("double").alias("dashes"),
         suffix.alias("suffix"),
-        F.concat(suffix, F.lit("/"), F.regexp_extract("path", "^/([^/]*)", 1)).alias("section"),
     )
 
 
@@ -77,41 +79,41 @@ def _nlogn(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(F.greatest(n, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
 
-def with_suffix_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds the statistics in rates (key, rate, seen) to each row; suffixes and sections that no labelled URL has get the neutral rate.
+def suffix_statistics(rows: DataFrame) -> DataFrame:
+    """For each suffix of rows: ln(1 + its URLs), and the mean length, depth and number of parameters of these."""
+    means = (F.avg(c).alias(f"suffix_{c}") for c in ("length", "depth", "params"))
+    return rows.groupBy("suffix").agg(F.log1p(F.count("*").cast("double")).alias("suffix_seen"), *means)
 
-    The most frequent keys are broadcast, and their rows dealt anywhere in the join with all others.
+
+def with_suffix_statistics(rows: DataFrame, statistics: DataFrame) -> DataFrame:
+    """Adds the statistics of its suffix to each row; zeros for a suffix without any.
+
+    The most frequent suffixes are broadcast, and their rows dealt anywhere in the join with all others.
     """
-    cut = rates.count() > SUFFIXES
-    frequent = rates.orderBy(F.desc("seen"), "key").limit(SUFFIXES) if cut else rates
-    for name in ("suffix", "section"):
-        rate, seen = f"{name}_rate", f"{name}_seen"
-        rows = rows.join(F.broadcast(frequent.select(F.col("key").alias(name), F.col("rate").alias(rate), F.col("seen").alias(seen))), name, "left")
-        if cut:
-            salted = rows.withColumn("__salt", F.when(F.col(rate).isNull(), -1).otherwise(F.pmod(F.xxhash64("url"), F.lit(4096)).cast("int")))
-            other = rates.select(F.col("key").alias(name), F.lit(-1).alias("__salt"), F.col("rate").alias("__rate"), F.col("seen").alias("__seen"))
-            found = salted.join(other, [name, "__salt"], "left")
-            rows = found.withColumns({rate: F.coalesce(rate, "__rate"), seen: F.coalesce(seen, "__seen")}).drop("__salt", "__rate", "__seen")
-        rows = rows.withColumns({rate: F.coalesce(rate, F.lit(0.5)), seen: F.coalesce(seen, F.lit(0.0))})
-    return rows
-
-
-def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS):
-    """(assembler, model, suffix rates), or the only verdict there is, or None without labelled URLs."""
+    cut = statistics.count() > SUFFIXES
+    frequent = statistics.orderBy(F.desc("suffix_seen"), "suffix").limit(SUFFIXES) if cut else statistics
+    rows = rows.join(F.broadcast(frequent), "suffix", "left")
+    if cut:
+        rows = rows.withColumn("__salt", F.when(F.col("suffix_seen").isNull(), -1).otherwise(F.pmod(F.xxhash64("url"), F.lit(4096)).cast("int")))
+        other = statistics.select("suffix", F.lit(-1).alias("__salt"), *(F.col(c).alias(f"__{c}") for c in STATISTICS))
+        found = rows.join(other, ["suffix", "__salt"], "left")
+        rows = found.withColumns({c: F.coalesce(c, f"__{c}") for c in STATISTICS}).drop("__salt", *(f"__{c}" for c in STATISTICS))
+    return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in STATISTICS})
+
+
+def train(labelled: DataFrame, statistics: DataFrame, train_rows: int = TRAIN_ROWS):
+    """(assembler, model) from rows of lexical features and verdicts, or the only verdict there is, or None without rows."""
     sizes = {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}
     if len(sizes) < 2:
         return next(iter(sizes), None)
     share = min(1.0, train_rows / sum(sizes.values()))
-    chosen = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
-    blocked = (F.col("verdict") == "block").cast("double")
-    keys = labelled.select(F.explode(F.array("suffix", "section")).alias("key"), blocked.alias("b"))
-    rates = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
-    rates = stage(rates.select("key", ((F.col("b") + 1) / (F.col("n") + 2)).alias("rate"), F.log1p("n").alias("seen")), "suffixes")
+    place = F.xxhash64("page_id", "url", F.monotonically_increasing_id())  # rows of one URL are told apart
+    chosen = labelled.filter(F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = with_suffix_rates(chosen, rates).withColumn("label", blocked)
+    rows = with_suffix_statistics(chosen, statistics).withColumn("label", (F.col("verdict") == "block").cast("double"))
     sample = stage(rows.select("label", *FEATURES).coalesce(4), "labelled-urls")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(assembler.transform(sample))
-    return assembler, model, rates
+    return assembler, model
 
 
 def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -120,16 +122,18 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFr
     A URL that a rule fits has its verdict; any other gets that of the trees (block_score, the probability of block, is
     null where a rule decides). Null URLs and those without :// have an empty host and path and are judged by their
     features too. If the rules decide no URL, others are allowed; if they decide all labelled ones alike, others get that
-    verdict. Repeated rows get equal results; very long URLs are used whole; an empty table gives no rows.
+    verdict. Repeated rows get equal results; very long URLs are used whole; other columns, whatever their names, are left
+    out; an empty table gives no rows.
     """
     name, verdict = deciding_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     features = lexical(rows.withColumns({"rule": name, "verdict": verdict}))
-    model = train(features.filter("verdict IS NOT NULL").drop("page_id"), train_rows)
+    statistics = stage(suffix_statistics(features), "suffixes")
+    model = train(features.filter("verdict IS NOT NULL"), statistics, train_rows)
     if model is None or isinstance(model, str):
         return features.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(model or "allow")).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    assembler, trees, rates = model
-    scored = trees.transform(assembler.transform(with_suffix_rates(features, rates)))
+    assembler, trees = model
+    scored = trees.transform(assembler.transform(with_suffix_statistics(features, statistics)))
     chance = F.when(F.col("rule").isNull(), vector_to_array("probability")[1])
     own = F.when(F.col("prediction") == 1, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), chance.alias("block_score"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vivarium.llm import files
-from vivarium.llm.common import map_columns, new_path, stage
+from vivarium.llm.common import map_columns, new_path, stage, unstage
 
 #: An archive is closed when it holds so many bytes of payload.
 ARCHIVE_BYTES = 16 << 20
@@ -29,22 +29,36 @@ LEAST_REVISIT = 100
 #: The pages carry no date of their own.
 DATE = "2024-01-01T00:00:00Z"
 BLOCK = 1 << 20
+#: Index entries of a batch, bytes of html that a reader holds before it passes them on, and the most tasks that archives are dealt to.
+ENTRIES, READ_BYTES, MOST_TASKS = 1000, 4 << 20, 4096
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response with its payload, or (refers_to given) a revisit without."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """A response with its payload, or (refers_to given) a revisit without.
+
+    Every record has an id of its own, also where pages repeat their page_id or have none; a field of its own carries
+    the page_id, and a revisit names the page and URI it refers to.
+    """
     revisit = refers_to is not None
-    head = [f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = [f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if page_id is not None:
+        head.append(f"Page-ID: {page_id}")
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        head.append(f"WARC-Target-URI: {_uri(url)}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {DATE}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http if revisit else http + payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def _uri(url: str) -> str:
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """A record's headers (lower-case names) and the payload behind its HTTP headers."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -105,7 +119,7 @@ def normalise(source: str, target: str) -> list[tuple[int, int, str]]:
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write (page_id, url, payload, digest, refers_to) as archives of one gzip stream; a row per archive: path, n.
+    """Write (page_id, url, payload, digest, refers_to, refers_url) as archives of one gzip stream; a row per archive: path, n.
 
     Each try of a task writes under names of its own; the rows name what the successful try wrote.
     """
@@ -133,76 +147,105 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["path", "n"])
 
-    return pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, n long")
+    return pages.select("page_id", "url", "payload", "digest", "refers_to", "refers_url").mapInArrow(run, "path string, n long")
 
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Normalise each archive; a row per record: path, offset, length. The rows are those of the sidecar indexes."""
+    """Normalise each archive; a row per new archive: path, n. Its sidecar index is the file path.idx."""
 
-    def run(paths: list):
+    def run(paths: list, _: list):
         for path in paths:
             target = f"{folder}/{uuid.uuid4().hex}-{path.rsplit('/', 1)[1]}"
-            index = normalise(path, target)
-            yield [[target] * len(index), [i[0] for i in index], [i[1] for i in index]]
+            yield [[target], [len(normalise(path, target))]]
+
+    return map_columns(archives.select("path", "n"), run, "path string, n long")
+
+
+def sidecars(archives: DataFrame) -> DataFrame:
+    """The sidecar indexes of archives (path): a row per record: path, offset, length, record_id."""
+
+    def run(paths: list):
+        for path in paths:
+            with files.open_input(f"{path}.idx") as stream:
+                entries = [json.loads(line) for line in stream.read().decode().splitlines()]
+            for cut in range(0, len(entries), ENTRIES):
+                own = entries[cut : cut + ENTRIES]
+                yield [[path] * len(own), *([e[i] for e in own] for i in range(3))]
 
-    return map_columns(archives.select("path"), run, "path string, offset long, length long")
+    return map_columns(archives.select("path"), run, "path string, offset long, length long, record_id string")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """Fetch each indexed record alone: page_id, record_type, refers_to, payload_digest, stored_bytes, html.
+def read_records(index: DataFrame, html: bool = True) -> DataFrame:
+    """Fetch each indexed record (path, offset, length) alone: page_id, record_type, refers_to, payload_digest, stored_bytes,
+    and its html unless that isn't wanted.
 
-    A response's digest is computed from the bytes read and must be the one in its header.
+    A response's digest is computed from the bytes read and must be the one in its header. Records are passed on every few
+    megabytes, however many the index names.
     """
 
-    def number(uri: str | None) -> int | None:
-        text = (uri or "").removeprefix("<urn:page:").removesuffix(">")
-        return None if text in ("", "None") else int(text)
+    def number(text: str | None) -> int | None:
+        return None if text is None else int(text)
 
     def run(paths: list, offsets: list, lengths: list):
         handles = files.Handles()
-        out: list[list] = [[], [], [], [], [], []]
+        held: list[tuple] = []
+        size = 0
         for path, offset, length in zip(paths, offsets, lengths):
             headers, payload = parse(zlib.decompress(handles.read(path, offset, length), 31))
             digest = headers["warc-payload-digest"].removeprefix("sha256:")
             response = headers["warc-type"] == "response"
             if response and hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"{path} at {offset}: the payload has another digest than its header")
-            row = number(headers["warc-record-id"]), headers["warc-type"], number(headers.get("warc-refers-to")), digest, len(payload) if response else None, payload.decode() if response else None
-            for column, x in zip(out, row):
-                column.append(x)
+            row = (number(headers.get("page-id")), headers["warc-type"], number(headers.get("refers-to-page-id")), digest, len(payload) if response else None)
+            held.append((*row, payload.decode() if response else None) if html else row)
+            size += len(payload) if html else 0
+            if size > READ_BYTES:
+                yield [list(c) for c in zip(*held)]
+                held, size = [], 0
         handles.close()
-        yield out
+        if held:
+            yield [list(c) for c in zip(*held)]
 
-    ddl = "page_id long, record_type string, refers_to long, payload_digest string, stored_bytes long, html string"
+    ddl = "page_id long, record_type string, refers_to long, payload_digest string, stored_bytes long" + (", html string" if html else "")
     return map_columns(index.select("path", "offset", "length"), run, ddl)
 
 
 def archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write pages as WARC, normalise the archives and return the index (path, offset, length) of every record.
+    """Write pages as WARC, normalise the archives and return what there is of them then (path, n), dealt out for reading.
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, that of the least page_id is a response and the others
     are revisits of it; rows that repeat that page_id are responses too, and so are pages without id if no page of the
-    payload has one. A null html is an empty payload; a null url gives no target header; other columns are left out.
+    payload has one. A null html is an empty payload; a null url gives no target header; other columns are left out. Only
+    payloads that a revisit is possible for are joined. The archives of one stream are deleted once they are rewritten.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     big = F.octet_length("payload") >= LEAST_REVISIT
-    first = rows.filter(big).groupBy("digest").agg(F.min("page_id").alias("first"))
-    marked = rows.join(first, "digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    first = rows.filter(big).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"))
+    marked = rows.filter(big).join(first.select("digest", "first.page_id", "first.url").toDF("digest", "first_page", "first_url"), "digest", "left")
+    other = ~F.col("page_id").eqNullSafe(F.col("first_page"))
+    columns = ["page_id", "url", "payload", "digest"]
+    marked = marked.select(*columns, F.when(other, F.col("first_page")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
+    small = rows.filter(~big).select(*columns, F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
     spark = pages.sparkSession
-    written = stage(write_archives(marked.withColumn("refers_to", refers), new_path(spark, "warc"), archive_bytes), "archives")
-    n = max(1, written.count())
-    return stage(normalise_archives(written.repartition(n), new_path(spark, "warc-members")), "index")
+    raw = new_path(spark, "warc")
+    written = stage(write_archives(marked.unionByName(small), raw, archive_bytes), "archives")
+    tasks = min(max(written.count(), 1), MOST_TASKS)
+    out = stage(normalise_archives(written.repartition(tasks), new_path(spark, "warc-members")), "members")
+    files.remove_folder(raw)
+    unstage(written)
+    return out.repartition(tasks)
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """One row per row of pages, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's size is that of the stored response with its digest. An empty table gives no rows.
+    Records are found by the sidecar indexes and fetched alone. A revisit's size is that of the stored response with its
+    digest. An empty table gives no rows.
     """
-    index = archive(pages, archive_bytes)
-    back = read_records(index.repartition("path").sortWithinPartitions("path", "offset")).drop("html")
-    back = stage(back, "records")
-    stored = back.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("stored_bytes").alias("payload_bytes"))
-    return back.join(stored, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = stage(read_records(sidecars(archive(pages, archive_bytes)), html=False), "records")
+    is_response = F.col("record_type") == "response"
+    stored = back.filter(is_response & (F.col("stored_bytes") >= LEAST_REVISIT)).groupBy("payload_digest").agg(F.max("stored_bytes").alias("payload_bytes"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = back.filter(~is_response).join(stored, "payload_digest", "left").select(columns)
+    return back.filter(is_response).withColumnRenamed("stored_bytes", "payload_bytes").select(columns).unionByName(revisits)
