@@ -31,5 +31,5 @@ def compare_groups(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     chosen = plan.withColumn("test", F.coalesce(name, F.lit("insufficient data"))).select("metric", "k", "normal", "test")
     every = values.select("metric").distinct().join(chosen, "metric", "left").withColumn("test", F.coalesce("test", F.lit("insufficient data")))
     found = every.join(tests, ["metric", "test"], "left").join(effects, "metric", "left").join(spread, "metric", "left")
-    out = statistics.bh_adjust(found)  # a row for each metric
+    out = statistics.bh_of_metrics(found)  # a row for each metric
     return out.select("metric", F.coalesce("k", F.lit(0)).alias("groups"), "normal", "test", "statistic", "p", "q", "effect", "levene_p", (F.col("q") < alpha).alias("significant"))

@@ -11,27 +11,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vivarium.operators.statistics import gamma_share
+from vivarium.operators.statistics import bh_of_metrics, gamma_share, p_column, t_p
 
-#: Ranges of values by metric. Shapiro-Wilk is only defined for samples of 3 to 5,000 values.
-RANGES, SHAPIRO_MOST = 64, 5000
+#: Least and most ranges of values by metric. Shapiro-Wilk is only defined for samples of 3 to 5,000 values.
+RANGES, MOST_RANGES, SHAPIRO_MOST = 64, 4096, 5000
 #: U is tested exactly if the smaller sample has at most so many values, and the pairs of values are so few.
-EXACT_SMALL, EXACT_PAIRS = 8, 100_000
+EXACT_SMALL, EXACT_PAIRS, EXACT_PAIRED = 8, 100_000, 50
 #: Fixed values of Royston's approximation (1995), lowest power first.
 LAST, SECOND = (0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), (0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
 SMALL_G, SMALL_M, SMALL_S = (-2.273, 0.459), (0.544, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322)
 LARGE_M, LARGE_S = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
 
 
+def in_ranges(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds __range to distinct values: approximate quantiles deal them to as many ranges as there are shuffle partitions
+    (RANGES at least), so that what one task sorts stays the same size when data and partitions grow together."""
+    n = min(max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / n) for i in range(1, n))), max(1000, 10 * n)).alias("__cuts"))
+    placed = counts.join(cuts, keys) if keys else counts.join(cuts)  # without keys: one row of cuts
+    return placed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+
+
 def value_ranks(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(*keys, value, tied, rank): each distinct value with how often it occurs and the mean rank of its ties.
 
-    Values are dealt to RANGES ranges by approximate quantiles; a rank is the number of rows in the ranges before plus
-    the rank within the range, so it is exact whatever the quantiles are.
+    Values are ranked within ranges; a rank is the number of rows in the ranges before plus the rank within the range, so
+    it is exact whatever the ranges are.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("tied"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 1000).alias("__cuts"))
-    placed = counts.join(cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    placed = in_ranges(counts, keys, value)
     sums = placed.groupBy(*keys, "__range").agg(F.sum("tied").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*keys, "__range", before.alias("__before"))
@@ -40,6 +48,105 @@ def value_ranks(df: DataFrame, keys: list[str], value: str = "value") -> DataFra
     return placed.join(starts, [*keys, "__range"]).select(*keys, value, "tied", rank.alias("rank"))
 
 
+def medians(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(*keys, median): the mean of the values at the middle places."""
+    ranked = value_ranks(long, keys, value)
+    n = long.groupBy(*keys).agg(F.count(value).alias("__n"))
+    half = (F.col("tied") - 1) / 2
+    holds = lambda place: place.between(F.col("rank") - half, F.col("rank") + half)
+    low, high = F.floor((F.col("__n") + 1) / 2), F.ceil((F.col("__n") + 1) / 2)
+    of = lambda place: F.max(F.when(holds(place), F.col(value)))
+    return ranked.join(n, keys).groupBy(*keys).agg(((of(low) + of(high)) / 2).alias("median"))
+
+
+def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
+    """Adds q: the least of p x m / rank from the largest p down, at most 1; null p stay null and don't count in m.
+
+    Equal p are counted first and ranked by ranges; the least of the ranges above is added to that within a range.
+    """
+    known = df.filter(F.col(p).isNotNull())
+    ranked = value_ranks(known, [], p)
+    total = known.agg(F.count("*").alias("__m"))
+    last = F.col("rank") + (F.col("tied") - 1) / 2
+    raw = ranked.join(F.broadcast(total)).select(p, F.least(F.col(p) * F.col("__m") / last, F.lit(1.0)).alias("__raw"))  # one row
+    placed = in_ranges(raw, [], p)
+    above = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = placed.groupBy("__range").agg(F.min("__raw").alias("__least")).select("__range", F.min("__least").over(above).alias("__above"))  # a row per range
+    within = F.min("__raw").over(Window.partitionBy("__range").orderBy(F.desc(p)))
+    q = placed.join(least, "__range").select(p, F.least(within, F.col("__above")).alias("q"))
+    return df.join(q, p, "left")
+
+
+def signed_ranks(pairs: DataFrame) -> DataFrame:
+    """Wilcoxon's signed ranks by metric, of (metric, d): n pairs that differ, w the lesser sum, z and p.
+
+    p is exact for at most EXACT_PAIRED pairs without ties, else by the normal curve with the correction for ties.
+    """
+    rows = pairs.filter("d IS NOT NULL AND d <> 0").withColumn("value", F.abs("d"))
+    own = rows.groupBy("metric", "value").agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"))
+    t = F.col("tied").cast("double")
+    s = own.join(value_ranks(rows, ["metric"]), ["metric", "value"]).groupBy("metric").agg(F.sum("tied").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(t**3 - t).alias("ties"))
+    n = F.col("n")
+    w = F.least("plus", n * (n + 1) / 2 - F.col("plus"))
+    z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    return s.select("metric", "n", w.alias("w"), z.alias("z"), w_p(w, z, n, (n <= EXACT_PAIRED) & (F.col("ties") == 0)).alias("p"))
+
+
+def w_tail(w: float, n: int) -> float:
+    """Two-sided exact p: the share of the 2**n choices of signs whose sum of ranks is at most w, twice."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for i in range(1, n + 1):
+        ways[i:] = ways[i:] + ways[:-i]
+    return min(1.0, 2 * float(ways[: int(w) + 1].sum() / ways.sum()))
+
+
+def w_p(*columns: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(w: pd.Series, z: pd.Series, n: pd.Series, exact: pd.Series) -> pd.Series:
+        return pd.Series([w_tail(a, int(c)) if e else (None if pd.isna(b) else math.erfc(abs(b) / math.sqrt(2))) for a, b, c, e in zip(w, z, n, exact)], dtype=float)
+
+    return run(*columns)
+
+
+def t_quantile(share: float, df: float) -> float:
+    """The t that a two-sided test of so many degrees of freedom reaches with p = 1 - share, by bisection."""
+    low, high = 0.0, 1.0
+    while t_p(high, df) > 1 - share:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_p(middle, df) > 1 - share else (low, middle)
+    return (low + high) / 2
+
+
+def change_over_time(means: DataFrame, first: str, second: str) -> DataFrame:
+    """By metric of (subject, metric, timepoint, value), for subjects with both time points: n, change, its 95 % interval,
+    test, statistic, p, and q over the metrics.
+
+    A paired t; Wilcoxon's signed ranks with fewer than three pairs or where t isn't defined. Metrics with fewer than two
+    pairs have no row.
+    """
+    at = lambda t: F.avg(F.when(F.col("timepoint").cast("string") == t, F.col("value")))
+    pairs = means.groupBy("metric", "subject").agg(at(first).alias("a"), at(second).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").select("metric", (F.col("b") - F.col("a")).alias("d"))
+    s = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("d").alias("change"), F.stddev_samp("d").alias("sd")).filter("n > 1")
+    se = F.col("sd") / F.sqrt("n")
+
+    @F.pandas_udf("double")
+    def reach(df: pd.Series) -> pd.Series:
+        return df.map(lambda x: t_quantile(0.95, x))
+
+    margin = reach((F.col("n") - 1).cast("double")) * se
+    rows = s.withColumns({"t": F.try_divide("change", se), "margin": margin}).withColumn("p_t", p_column("t", F.col("t"), F.col("n") - 1))
+    both = rows.join(signed_ranks(pairs).select("metric", "w", F.col("p").alias("p_w")), "metric", "left")
+    ranked = (F.col("p_t").isNull() | (F.col("n") < 3)) & F.col("p_w").isNotNull()
+    out = both.select(
+        "metric", "n", "change", (F.col("change") - F.col("margin")).alias("low"), (F.col("change") + F.col("margin")).alias("high"), F.when(ranked, "Wilcoxon").otherwise("paired t").alias("test"),
+        F.when(ranked, F.col("w")).otherwise(F.col("t")).alias("statistic"), F.when(ranked, F.col("p_w")).otherwise(F.col("p_t")).alias("p"),
+    )
+    return bh_of_metrics(out)
+
+
 def rank_sums(long: DataFrame) -> DataFrame:
     """(metric, group, n, sum, ties): rows, sum of ranks, and sum of t**3 - t shared out over the groups' rows."""
     own = long.filter("value IS NOT NULL").groupBy("metric", "group", "value").agg(F.count("*").alias("own"))

@@ -97,9 +97,11 @@ def subject_means(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def descriptives(long: DataFrame) -> DataFrame:
-    return long.groupBy("metric", "group").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"), F.percentile("value", F.lit(0.5)).alias("median")
-    )
+    """n, mean, sd, sem and median by metric and group."""
+    from vivarium.operators.ranks import medians
+
+    of = long.groupBy("metric", "group").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"))
+    return of.join(medians(long, ["metric", "group"]), ["metric", "group"], "left")
 
 
 def welch(long: DataFrame, a: str, b: str) -> DataFrame:
@@ -125,16 +127,20 @@ def anova(long: DataFrame) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, p: str = "p") -> DataFrame:
-    """Adds q: the least of p x m / rank from the largest p down, at most 1; null p stay null and don't count in m.
+    """Adds q, Benjamini and Hochberg's adjusted p; see ranks.bh_adjust."""
+    from vivarium.operators.ranks import bh_adjust
 
-    One row per tested hypothesis: a small table.
-    """
+    return bh_adjust(df, p)
+
+
+def bh_of_metrics(df: DataFrame, p: str = "p") -> DataFrame:
+    """The same for a result with one row per metric, which one task sorts: ranges would repeat the plan behind it."""
     known = F.col(p).isNotNull()
-    m = F.count(F.when(known, 1)).over(Window.partitionBy())
-    rows = df.withColumn("__m", m).withColumn("__rank", F.row_number().over(Window.orderBy(F.col(p).asc_nulls_last())))
+    down = Window.orderBy(F.col(p).desc_nulls_first())
+    rows = df.withColumn("__m", F.count(F.when(known, 1)).over(Window.partitionBy()))
+    rows = rows.withColumn("__rank", F.row_number().over(Window.orderBy(F.col(p).asc_nulls_last())))
     raw = F.when(known, F.least(F.col(p) * F.col("__m") / F.col("__rank"), F.lit(1.0)))
-    q = F.min(raw).over(Window.orderBy(F.col(p).asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("q", F.when(known, q)).drop("__m", "__rank")
+    return rows.withColumn("q", F.when(known, F.min(raw).over(down))).drop("__m", "__rank")
 
 
 def paired(df: DataFrame, metric: str, first: str, second: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vivarium.operators.ranks import value_ranks
+
 UNIT = r"\(([^()]*)\)\s*$"
 
 
@@ -16,9 +18,11 @@ def tidy(df: DataFrame, ids: list[str], measures: list[str]) -> DataFrame:
 
 
 def prism(df: DataFrame, group: str, value: str, groups: list[str]) -> DataFrame:
-    """One column per group, the k-th value of a group on row k."""
-    k = F.row_number().over(Window.partitionBy(group).orderBy(value))
-    return df.withColumn("row", k).groupBy("row").pivot(group, groups).agg(F.first(value))
+    """One column per group, the k-th value of a group on row k; null values are left out. Values are ranked by ranges."""
+    ranked = value_ranks(df, [group], value)
+    first = (F.col("rank") - (F.col("tied") - 1) / 2).cast("long")
+    rows = ranked.withColumn("row", F.explode(F.sequence(first, first + F.col("tied") - 1)))
+    return rows.groupBy("row").pivot(group, groups).agg(F.first(value))
 
 
 def merge_case_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:

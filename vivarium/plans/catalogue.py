@@ -510,7 +510,7 @@ def kruskal_h(spark: SparkSession, d: str) -> DataFrame:
 def group_tests(spark: SparkSession, d: str) -> DataFrame:
     """Welch and ANOVA with p and adjusted q; p-values are checked in the tests."""
     a = st.welch(_long(spark, d), "BUILDING", "MACHINERY").select("metric", F.lit("welch").alias("test"), "p")
-    return st.bh_adjust(a.unionByName(st.anova(_long(spark, d)).select("metric", F.lit("anova").alias("test"), "p")))
+    return st.bh_of_metrics(a.unionByName(st.anova(_long(spark, d)).select("metric", F.lit("anova").alias("test"), "p")))
 
 
 @query(

@@ -14,6 +14,12 @@ ZONES = (
     ("Closed Arm 1", 150, 70, 350, 100),
     ("Closed Arm 2", 150, 0, 350, 30),
 )
+#: The same arena divided for other tests.
+LIGHT_DARK = (("Light box", 0, 0, 250, 100), ("Dark box", 250, 0, 500, 100))
+T_MAZE = (("Stem", 0, 0, 200, 100), ("Centre", 200, 0, 300, 100), ("Goal left", 300, 0, 500, 45), ("Goal right", 300, 55, 500, 100))
+SOCIAL = (("Social side", 0, 0, 150, 100), ("Middle", 150, 0, 350, 100), ("Object side", 350, 0, 500, 100))
+#: Half the side of the square that stands for an animal's body.
+BODY = 20.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +36,20 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "frame", (F.col("frame") / FPS).alias("time_s"), F.when(seen, F.col("x")).alias("x"), F.when(seen, F.col("y")).alias("y"), "status")
 
 
-def zones(spark: SparkSession) -> DataFrame:
+def zones(spark: SparkSession, listed=ZONES) -> DataFrame:
     """place, zone, polygon."""
-    rows = [(i, n, [(float(a), float(b)), (float(c), float(b)), (float(c), float(d)), (float(a), float(d))]) for i, (n, a, b, c, d) in enumerate(ZONES)]
+    rows = [(i, n, [(float(a), float(b)), (float(c), float(b)), (float(c), float(d)), (float(a), float(d))]) for i, (n, a, b, c, d) in enumerate(listed)]
     return spark.createDataFrame(rows, "place int, zone string, polygon array<struct<x:double,y:double>>")
 
 
+def body_shares(rows: DataFrame, listed=ZONES) -> DataFrame:
+    """session, frame, time_s, status, place, zone, share: how much of a square body around (x, y) lies in each zone."""
+    each = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("zone"), *(F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), box))) for i, (n, *box) in enumerate(listed)))
+    over = lambda c: F.greatest(F.least(F.col(c) + BODY, F.col(f"z.{c}1")) - F.greatest(F.col(c) - BODY, F.col(f"z.{c}0")), F.lit(0.0))
+    share = F.when(F.col("x").isNotNull(), over("x") * over("y") / (4 * BODY * BODY))
+    return rows.withColumn("z", F.explode(each)).select("session", "frame", "time_s", "status", "z.place", "z.zone", share.alias("share"))
+
+
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, seq, behaviour, kind, start, stop: point events have no stop."""
     e = table(spark, sf_dir, "events")
