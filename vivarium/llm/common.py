@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from vivarium.llm import files
 
 #: Characters of text that one numpy step holds at a time; only memory depends on it, never a result.
-CHARS_PER_STEP = 1_000_000
+CHARS_PER_STEP = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,8 +74,9 @@ def steps(lengths: list[int], budget: int = CHARS_PER_STEP) -> Iterator[slice]:
         yield slice(begin, len(lengths))
 
 
-def map_columns(df: DataFrame, fn: Callable[..., Iterable[list]], ddl: str | StructType, by: int | None = None) -> DataFrame:
-    """Run fn over lists of df's columns, in Arrow batches cut by the text lengths of column `by`.
+def map_columns(df: DataFrame, fn: Callable[..., Iterable[list]], ddl: str | StructType, by: int | None = None, least: int = 0) -> DataFrame:
+    """Run fn over lists of df's columns, in Arrow batches cut by the text lengths of column `by`, each text counted as
+    `least` characters at least (for work that takes memory for every text, however short).
 
     fn takes one list per column and yields lists of output columns in the order of ddl.
     """
@@ -88,7 +89,7 @@ def map_columns(df: DataFrame, fn: Callable[..., Iterable[list]], ddl: str | Str
             columns = [c.to_pylist() for c in batch.columns]
             if not columns or not columns[0]:
                 continue
-            cuts = [slice(None)] if by is None else steps([len(x or "") for x in columns[by]])
+            cuts = [slice(None)] if by is None else steps([max(len(x or ""), least) for x in columns[by]])
             for cut in cuts:
                 for out in fn(*(c[cut] for c in columns)):
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, types)], names=names)

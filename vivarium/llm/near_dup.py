@@ -24,6 +24,8 @@ SIMILARITY, BANDS, ROWS = 0.8, 25, 5
 LAGS, PART = 3, 1000
 #: Members and darts' layers of a block of an open bucket: only the work of a task depends on them, never a result.
 BLOCK, BLOCK_LAYERS = 2000, 500_000
+#: A text's darts take memory like so many characters, whatever its length.
+CHARS_PER_SIGNATURE = 2000
 #: A pair that is similar enough fails the comparison of sketches with at most this probability.
 SKETCH_MISS = 1e-6
 
@@ -301,7 +303,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     rows = docs.select("doc_id", row_id(), "text")
     ddl = "doc_id long, row_id binary, content_key string, bands array<long>, sketch binary, n_layers long"
-    signed = stage(map_columns(rows, _sign, ddl, by=2), "signed")
+    signed = stage(map_columns(rows, _sign, ddl, by=2, least=CHARS_PER_SIGNATURE), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")
     texts = signed.filter("content_key <> ''").groupBy("content_key").agg(F.min(order).alias("rep"), F.count("*").alias("copies"), *(F.first(x).alias(x) for x in ("bands", "sketch", "n_layers")))
     texts = stage(texts, "texts")
