@@ -121,18 +121,12 @@ def trigram_query(regex: str) -> frozenset:
 
 
 
-def named_trigrams(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Those trigrams of the rules' queries that the text holds."""
-    wanted = sorted({t for r in rules for clause in trigram_query(r.regex) for t in clause})
-    if not wanted:
-        return F.array().cast("array<string>")
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted)))
-
-
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index (trigram, doc_id) of the trigrams that the rules' queries name."""
-    return docs.select("doc_id", F.explode(named_trigrams(F.col("text"), rules)).alias("trigram"))
+    wanted = sorted({t for r in rules for clause in trigram_query(r.regex) for t in clause})
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted))) if wanted else F.array().cast("array<string>")
+    return low.select("doc_id", F.explode(present).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -194,15 +188,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base_sha256 is of kind:start:end of the base spans by start, then by kind as listed; spans lists the spans of all
     rules likewise (offsets in code points, ends exclusive). A null text is read as empty: counts 0, spans ''. Rows are
     indexed by a hash of id and text, so repeated ids and null ids are searched each for its own rules. Texts of any
-    length are searched whole; other columns are left out; an empty table gives no rows. Only texts with a posting, which
-    a rule's query may hold for, are joined; in all others just the rules without mandatory trigrams can match.
+    length are searched whole; other columns are left out; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     kinds = candidates(postings(keyed.select(F.col("key").alias("doc_id"), "text"), rules), rules).withColumnRenamed("doc_id", "key")
-    posted = F.size(named_trigrams(F.col("text"), rules)) > 0
-    joined = keyed.filter(posted).join(kinds, "key", "left").select("doc_id", "text", "kinds")
-    joined = joined.unionByName(rows.filter(~posted).withColumn("kinds", F.array().cast("array<string>")))
+    joined = keyed.join(kinds, "key", "left")
     none = F.array().cast(SPAN)
     found = {}
     for rank, rule in enumerate(rules):
