@@ -200,3 +200,15 @@ def test_forest_finds_a_separable_behaviour(spark):
     assert {f.fold for f in classifier.with_folds(df.withColumn("session", F.col("frame") % 2), 10.0).select("fold").collect()} == {"0", "1"}
     none = classifier.cross_validate(df.filter("truth"), "truth", 10.0).first()
     assert none.folds == 0 and none.f1 is None
+
+
+def test_stop_rules(spark):
+    from vivarium.operators import stops
+
+    rows = [("a", 0, "Tracked", 0.0, 0.0), ("a", 1, "Tracked", 1.0, 0.0), ("a", 2, "Lost", None, None), ("a", 3, "Tracked", 1.5, 0.0), ("a", 4, "Tracked", 2.0, 0.0), ("a", 5, "Tracked", 2.0, 1.0), ("a", 6, "Tracked", 12.0, 1.0)]
+    df = spark.createDataFrame([*rows, ("b", 0, "Lost", None, None)], "session string, frame int, status string, x double, y double")
+    assert [tuple(r) for r in stops.rested(df, 1.5, 2.0).collect()] == [("a", 5)]  # the lost frame breaks the rest
+    assert [tuple(r) for r in stops.walked(df, 3.0).collect()] == [("a", 5)]  # 1 + 0.5 (over the lost frame) + 0.5 + 1
+    inside = df.withColumn("inside", df.frame != 4)
+    assert [tuple(r) for r in stops.entered(inside, 3).collect()] == [("a", 5)]  # entries at 0, 3 and 5
+    assert stops.entered(inside.filter("false"), 1).count() == 0

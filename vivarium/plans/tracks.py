@@ -12,8 +12,9 @@ from vivarium.operators import corrections as co
 from vivarium.operators import features as ft
 from vivarium.operators import freezing_result as fr
 from vivarium.operators import ranks as rk
+from vivarium.operators import stops as st
 from vivarium.operators import zones as zn
-from vivarium.plans.catalogue import E_, FL, FPS, FS, L, H, M, SU, T, Z, _moves, _states, query, rounded, with_
+from vivarium.plans.catalogue import E_, FL, FPS, FS, L, H, M, SU, T, Z, _moves, _states, flags, query, rounded, with_
 from vivarium.plans.measures import EPOCHS, _epochs, _flags, _period_sql
 from vivarium.sources import sinks
 from vivarium.sources import tables as tb
@@ -285,3 +286,22 @@ def seen_from_above(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tb.trajectory(spark, d).select("session", "frame", u.alias("u"), v.alias("v")))
 
 
+STOPS = """sm AS (SELECT *, coalesce(status = 'Tracked', false) AS tr, row_number() OVER (PARTITION BY session ORDER BY frame) AS place FROM t),
+sl AS (SELECT *, last_value(CASE WHEN tr THEN {'x': x, 'y': y} END IGNORE NULLS) OVER (PARTITION BY session ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM sm),
+sd AS (SELECT *, CASE WHEN tr THEN coalesce(sqrt((x - seen.x) ** 2 + (y - seen.y) ** 2), 0) ELSE 0 END AS moved FROM sl),
+sr AS (SELECT *, place - coalesce(max(CASE WHEN NOT (tr AND moved < 200) THEN place END) OVER (PARTITION BY session ORDER BY frame), 0) AS n, sum(moved) OVER (PARTITION BY session ORDER BY frame) AS far FROM sd),
+se AS (SELECT session, frame, coalesce(status = 'Tracked', false) AND coalesce(inside, false) AS here FROM fl WHERE place = 0),
+sn AS (SELECT *, here AND NOT coalesce(lag(here) OVER (PARTITION BY session ORDER BY frame), false) AS new FROM se),
+sc AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY session ORDER BY frame) AS entries FROM sn)"""
+
+
+@query(
+    with_(T, Z, FL, STOPS)
+    + """SELECT 'rested' AS rule, session, min(frame) AS frame FROM sr WHERE n >= 3 GROUP BY session UNION ALL
+SELECT 'walked', session, min(frame) FROM sr WHERE far >= 1000.5 GROUP BY session UNION ALL SELECT 'entered', session, min(frame) FROM sc WHERE entries >= 2 GROUP BY session"""
+)
+def stop_rules(spark: SparkSession, d: str) -> DataFrame:
+    df = tb.trajectory(spark, d)
+    found = [("rested", st.rested(df, 3 / FPS, FPS, 200.0)), ("walked", st.walked(df, 1000.5)), ("entered", st.entered(flags(spark, d).filter(F.col("zone") == tb.ZONES[0][0]), 2))]
+    rested, walked, entered = (x.select(F.lit(name).alias("rule"), "session", "frame") for name, x in found)
+    return rested.unionByName(walked).unionByName(entered)
