@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vivarium.operators.runs import ordered, with_runs
 
@@ -62,23 +66,34 @@ def smooth(df: DataFrame, window: int, factor: float = 3.5, floor: float = 0.5)
 def path_distance(df: DataFrame, min_move: float) -> DataFrame:
     """(session, distance, steps): a step counts once the animal is min_move away from the last counted place.
 
-    The anchor makes this sequential; a session's known positions come to a task in one Arrow group.
+    The anchor makes this sequential: sorted rows pass through a task batch by batch, of which it keeps only the anchor and
+    the sums, however long a session is.
     """
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        total, steps, anchor = 0.0, 0, None
-        for x, y in zip(pdf["x"].to_numpy(), pdf["y"].to_numpy()):
-            if anchor is None:
-                anchor = (x, y)
-                continue
-            d = ((x - anchor[0]) ** 2 + (y - anchor[1]) ** 2) ** 0.5
-            if d >= min_move:
-                total, steps, anchor = total + d, steps + 1, (x, y)
-        return pd.DataFrame({"session": [key[0]], "distance": [total], "steps": [steps]})
+    kind = df.schema["session"].dataType
+    out = f"session {kind.simpleString()}, distance double, steps long"
+    types = [f.type for f in to_arrow_schema(StructType.fromDDL(out))]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, anchor, total, steps = None, None, 0.0, 0
+        for batch in batches:
+            done = []
+            for s, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if anchor is None or s != session:
+                    if anchor is not None:
+                        done.append((session, total, steps))
+                    session, anchor, total, steps = s, (x, y), 0.0, 0
+                    continue
+                d = ((x - anchor[0]) ** 2 + (y - anchor[1]) ** 2) ** 0.5
+                if d >= min_move:
+                    total, steps, anchor = total + d, steps + 1, (x, y)
+            yield rows(done)
+        yield rows([] if anchor is None else [(session, total, steps)])
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=["session", "distance", "steps"])
 
     known = df.filter("x IS NOT NULL").select("session", "frame", "x", "y")
-    return known.groupBy("session").applyInPandas(walk, f"session {dict(df.dtypes)['session']}, distance double, steps long")
+    return known.repartition("session").sortWithinPartitions("session", "frame").select("session", "x", "y").mapInArrow(walk, out)
 
 
 def step_length() -> Column:
