@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vivarium.operators.statistics import binary_scores
 
 #: Frames within so many seconds of a tested block aren't trained on; blocks; rows of each class that a fold needs.
 GUARD_S, BLOCKS, LEAST = 3.0, 5, 5
+#: Frames of a behaviour below which it gets no model.
+FEWEST = 10
 
 
 def weighted(df: DataFrame, truth: str) -> DataFrame:
@@ -71,3 +76,58 @@ def important(model: RandomForestClassificationModel, names: list[str], n: int =
     """The n features that matter most."""
     weights = sorted(zip(model.featureImportances.toArray().tolist(), names), key=lambda x: (-x[0], x[1]))
     return [(name, w) for w, name in weights[:n]]
+
+
+@dataclass
+class BehaviourModels:
+    """A forest for each behaviour, the names of the features they were made with, and a report of each behaviour."""
+
+    names: list[str]
+    forests: dict[str, RandomForestClassificationModel] = field(default_factory=dict)
+    report: dict[str, dict] = field(default_factory=dict)
+
+    def predict(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """(session, frame, behaviour, p) of (session, frame, features); other features than those of the training are refused."""
+        if list(names) != self.names:
+            raise ValueError("these features are not those that the models were trained on")
+        out = df.sparkSession.createDataFrame([], f"session {df.schema['session'].dataType.simpleString()}, frame long, behaviour string, p double")
+        for behaviour, forest in self.forests.items():
+            out = out.unionByName(predict(forest, df).select("session", F.col("frame").cast("long").alias("frame"), F.lit(behaviour).alias("behaviour"), "p"))
+        return out
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Write the forests and one line of JSON under a folder that all machines share."""
+        order = list(self.forests)
+        for i, behaviour in enumerate(order):
+            self.forests[behaviour].write().overwrite().save(f"{folder}/forest-{i}")
+        head = json.dumps({"names": self.names, "behaviours": order, "report": self.report})
+        spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/models")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> BehaviourModels:
+        head = json.loads(spark.read.text(f"{folder}/models").first().value)
+        forests = {b: RandomForestClassificationModel.load(f"{folder}/forest-{i}") for i, b in enumerate(head["behaviours"])}
+        return cls(head["names"], forests, head["report"])
+
+
+def train_behaviours(df: DataFrame, behaviours: list[str], names: list[str], fps: float, trees: int = 40, validate: bool = True) -> BehaviourModels:
+    """Models of (session, frame, features, a flag column for each behaviour); null flags count as absent.
+
+    A behaviour of fewer than FEWEST frames gets an error in its report and no forest. The report of the others holds the
+    seconds scored by hand, the five features that matter most and, if asked for, the scores over left-out parts.
+    """
+    rows = df.select("session", "frame", "features", *(F.coalesce(F.col(f"`{b}`"), F.lit(False)).alias(b) for b in behaviours))
+    n = rows.agg(*(F.count(F.when(F.col(f"`{b}`"), 1)).alias(str(i)) for i, b in enumerate(behaviours))).first()
+    out = BehaviourModels(list(names))
+    for i, b in enumerate(behaviours):
+        if n[str(i)] < FEWEST:
+            out.report[b] = {"error": f"fewer than {FEWEST} frames scored"}
+            continue
+        one = rows.select("session", "frame", "features", F.col(f"`{b}`").alias("truth"))
+        found = out.report[b] = {"hand_s": round(n[str(i)] / fps, 1)}
+        if validate:
+            scores = cross_validate(one, "truth", fps, max(10, trees // 2)).first().asDict()
+            found |= scores if scores["folds"] else {"error": "not enough scored frames to test"}
+        out.forests[b] = train(one, "truth", trees, seed=7)
+        found["top_features"] = [name for name, _ in important(out.forests[b], out.names)]
+    return out
