@@ -165,6 +165,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without those whose language is 'und'."""
+    """docs, all columns (whatever their names), without those whose language is 'und': null and empty texts, and texts without a letter.
+
+    Very long texts are judged whole, repeated rows share their fate, null ids are no matter; an empty table stays empty.
+    Where no document has a language to learn from, every language is 'und' and none is left.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
     return filter_rows(docs, "text", lambda texts: [g[0] != UNKNOWN for g in predict(texts, sent.value)])

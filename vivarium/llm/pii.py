@@ -490,7 +490,11 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def mask_personal_data(docs: DataFrame, model: Crf | None = None) -> DataFrame:
-    """docs, all columns, with personal data in text masked; n_chars follows where there is such a column. Null stays null."""
+    """docs, all columns, with personal data in text masked; n_chars follows where there is such a column. Null stays null.
+
+    Empty texts stay empty, very long ones are masked whole, repeated rows and null ids stay as many as they are; other
+    columns, whatever their names, stay as they are, and an empty table empty.
+    """
     import pyarrow as pa
 
     sent = docs.sparkSession.sparkContext.broadcast(model or default_model())
