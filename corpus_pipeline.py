@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: the stages are written as Parquet, and each reads what the one before wrote."""
+"""From raw documents to packed sequences: the stages are written as Parquet, and each reads what the one before wrote.
+
+All stages but the last keep the columns of their input, whatever their names, and use very long texts whole; null ids and
+repeated rows are allowed everywhere, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +18,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates, that of the least doc_id."""
+    """Keep one document of each class of near-duplicates, that of the least doc_id; texts without words are classes of their own."""
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain an item of `benchmark`."""
+    """Drop documents that contain an item of `benchmark`; documents and items without words match nothing."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask personal data in the texts."""
+    """Mask personal data in the texts; no document goes."""
     return pii.mask_personal_data(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts into sequences: a row per piece."""
+    """Pack the texts into sequences: a row per piece, at least one for each document."""
     return packing.pack(docs)
 
 
