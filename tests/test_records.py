@@ -62,3 +62,14 @@ def test_live_heads(spark, tmp_path):
     q.stop()
     got = {(r.session, r.frame): (r.head_x, r.tail_x) for r in spark.table("heads").collect()}
     assert got == {(1, 0): (5.0, -5.0), (1, 1): (8.0, -2.0), (1, 2): (None, None), (1, 3): (8.0, -2.0), (1, 4): (-2.0, 8.0), (2, 0): (-5.0, 5.0)}
+
+
+def test_looks_undo_a_swap_only_between_animals_that_differ(spark):
+    from vivarium.operators import animals
+
+    rows = [("a", f, k, 50.0 * k + f % 3) for f in range(20) for k in range(3)] + [("b", f, k, 10.0 + f % 3) for f in range(20) for k in range(3)] + [("c", f, k, 50.0 * k) for f in range(14) for k in range(3)]
+    found = animals.looks(spark.createDataFrame([*rows, ("a", 30, 0, None)], "session string, frame long, animal int, look double"))
+    assert {(r.session, r.animal, r.look, r.spread) for r in found.collect()} == {("a", k, 50.0 * k + 1, 1.5) for k in range(3)} | {("b", k, 11.0, 1.5) for k in range(3)}
+    met = [("a", 40, [100.0, 2.0, 49.0]), ("a", 41, [0.0, None, 100.0]), ("b", 40, [1.0, 2.0, 3.0]), ("c", 40, [0.0, 50.0, 100.0])]
+    got = animals.look_order(spark.createDataFrame(met, "session string, frame long, looks array<double>"), found, 3).collect()
+    assert [(r.session, r.frame, r.order) for r in got] == [("a", 40, [1, 2, 0])]

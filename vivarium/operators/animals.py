@@ -14,6 +14,8 @@ from vivarium.operators.bins import bin_of, bin_table
 
 #: Variances of velocity and of a detection, those at the start, and how long a lost animal coasts on.
 PROCESS, MEASURED, START, COAST = 4.0, 25.0, (1.0, 50.0), 15
+#: Fixed values of looks: frames remembered, looks needed, least spread, and pooled spreads that tell two animals apart.
+LOOK_FRAMES, LOOKS_NEEDED, LEAST_SPREAD, APART = 300, 15, 1.5, 4.0
 
 
 class Motion:
@@ -135,3 +137,43 @@ def nose_exploration(flags: DataFrame, fps: float, novel: str, familiar: str) ->
     n, f = F.col("novel_s"), F.col("familiar_s")
     rows = flags.groupBy("session").agg(of(novel).alias("novel_s"), of(familiar).alias("familiar_s"))
     return rows.withColumns({"total_s": n + f, "discrimination": F.try_divide(n - f, n + f), "ratio": F.try_divide(n, n + f), "recognition_percent": 100 * F.try_divide(n, n + f)})
+
+
+def looks(samples: DataFrame) -> DataFrame:
+    """(session, animal, look, spread) from (session, frame, animal, look) of frames in which the animals are clearly apart.
+
+    The median of an animal's last LOOK_FRAMES known looks, and 1.4826 times the median distance to it, LEAST_SPREAD at
+    least; animals with fewer than LOOKS_NEEDED looks have no row.
+    """
+    newest = Window.partitionBy("session", "animal").orderBy(F.desc("frame"))
+    known = samples.filter(F.col("look").isNotNull() & ~F.isnan("look"))
+    rows = known.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= LOOK_FRAMES)
+    whole = Window.partitionBy("session", "animal")  # LOOK_FRAMES rows at most
+    rows = rows.withColumn("middle", F.percentile("look", F.lit(0.5)).over(whole))
+    found = rows.groupBy("session", "animal").agg(F.count("*").alias("n"), F.first("middle").alias("look"), F.percentile(F.abs(F.col("look") - F.col("middle")), F.lit(0.5)).alias("off"))
+    return found.filter(F.col("n") >= LOOKS_NEEDED).select("session", "animal", "look", F.greatest(F.lit(LEAST_SPREAD), 1.4826 * F.col("off")).alias("spread"))
+
+
+def distinct_looks(found: DataFrame, animals: int) -> DataFrame:
+    """(session, look, spread), arrays by animal, of sessions in which all looks are known and each two differ by over APART pooled spreads."""
+    at = lambda c: F.array_agg(F.struct("animal", c)).alias(c)
+    by = found.groupBy("session").agg(F.count("*").alias("n"), at("look"), at("spread")).filter(F.col("n") == animals)
+    by = by.select("session", *(F.array_sort(c)[c].alias(c) for c in ("look", "spread")))
+    for a, b in itertools.combinations(range(animals), 2):
+        pooled = F.sqrt((F.col("spread")[a] ** 2 + F.col("spread")[b] ** 2) / 2)
+        by = by.filter(F.abs(F.col("look")[a] - F.col("look")[b]) >= APART * pooled)
+    return by
+
+
+def look_order(meetings: DataFrame, found: DataFrame, animals: int) -> DataFrame:
+    """(session, frame, order): which detection is which animal in the first clear frame after a contact, by looks.
+
+    meetings: session, frame, looks (an array by detection). Of all orders (animals are few) that with the least sum of
+    squared distances in spreads; equal ones in the order of their numbers. Frames with an unknown look, and sessions
+    whose animals look alike, have no row.
+    """
+    ways = list(itertools.permutations(range(animals)))
+    cost = lambda p: sum(((F.col("looks")[d] - F.col("look")[a]) / F.col("spread")[a]) ** 2 for a, d in enumerate(p))
+    best = F.array_min(F.array(*(F.struct(cost(p).alias("cost"), F.lit(i).alias("way")) for i, p in enumerate(ways))))["way"]
+    rows = meetings.filter(~F.exists("looks", lambda v: v.isNull() | F.isnan(v))).join(distinct_looks(found, animals), "session")
+    return rows.select("session", "frame", F.array(*(F.array(*(F.lit(d) for d in p)) for p in ways))[best].alias("order"))

@@ -249,3 +249,18 @@ def compare_scoring(frames: DataFrame, bouts: DataFrame, fps: float, bin_s: floa
         (F.avg(d) - 1.96 * F.stddev_samp(d)).alias("bin_lower"), (F.avg(d) + 1.96 * F.stddev_samp(d)).alias("bin_upper"),
     )
     return whole.join(by_bin, "session", "left").withColumn("bins", F.coalesce("bins", F.lit(0)))
+
+
+def study_summary(compared: DataFrame) -> DataFrame:
+    """One row over the sessions of compare_scoring: how far automatic and hand-scored shares agree, and the means by session."""
+    pairs = compared.select(F.col("auto_percent").alias("a"), F.col("hand_percent").alias("b"))
+    means = compared.agg(F.count("*").alias("sessions"), F.avg("kappa").alias("mean_kappa"), F.avg("agreement").alias("mean_agreement"))
+    of_pairs = bland_altman(pairs).select("bias", "lower", "upper", "r").join(F.broadcast(icc(pairs).select("icc")))  # one row each
+    return means.join(F.broadcast(of_pairs))
+
+
+def plottable(long: DataFrame) -> DataFrame:
+    """(metric, group, value) of metrics with values in two groups or more and four values or more, for plots by group."""
+    known = long.filter("value IS NOT NULL AND group IS NOT NULL")
+    kept = known.groupBy("metric").agg(F.count_distinct("group").alias("groups"), F.count("*").alias("n")).filter("groups >= 2 AND n >= 4")
+    return known.join(kept.select("metric"), "metric", "left_semi").select("metric", "group", "value")
