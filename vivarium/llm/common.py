@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -44,6 +45,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """While it holds, the shuffle files of a query go once the query has ended: each stage() then leaves its table alone on disk.
+    The session's setting is put back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unstage(*staged: DataFrame) -> None:
     """Delete tables that stage() wrote, once what was made from them is staged itself."""
     for df in staged:

@@ -1,10 +1,10 @@
-"""The ten operators as queries over whole tables, and the pipeline. ORACLES has SQL where SQL can express the result."""
+"""The operators as queries over whole tables, and the pipeline. ORACLES has SQL where SQL can express the result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vivarium.llm import decontaminate, language_id, lm_score, media, near_dup, packing, pii, secret_scan, url_filter, warc
+from vivarium.llm import decontaminate, language_id, lm_score, media, near_dup, packing, pii, repeats, secret_scan, spelling, url_filter, warc, whitening
 from vivarium.llm.common import read
 
 
@@ -48,9 +48,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(read(spark, sf_dir, "documents"), with_bytes=False)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_packing, op3_decontamination, op4_near_duplicates, op5_warc, op6_media, op7_language, op8_secrets, op9_lm_score, op10_urls)
+    for f in (op1_pii, op2_packing, op3_decontamination, op4_near_duplicates, op5_warc, op6_media, op7_language, op8_secrets, op9_lm_score, op10_urls, op11_whitening, op12_repeats, op13_spelling)
 }
 
 SHINGLED = """w AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS words FROM src),
