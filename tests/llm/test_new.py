@@ -195,7 +195,7 @@ def test_spelling_variants_are_those_of_brute_force(spark, most):
     words += ["stationary" + c for c in "abcdefghij"] + ["pre" + c + "fixed" for c in "abcdefghijklm"] + ["aaaaaaa", "aaaaaaaa", "aaaaaaaaa"]
     rows = [(i, " ".join(typos(rng, words, 60))) for i in range(30)]
     rows += [(100 + i, " ".join(words[i : i + 40] * 3)) for i in range(0, 100, 20)] + [(200, "STATIONARYA, stationaryÀ " * 2)]
-    rows += [(300 + i, "chaining chaininga chaininga " + "chainings " * 40 + "chainingaa " * (i < 2) + "chaininga " * 3) for i in range(12)]
+    rows += [(300 + i, "chaining chaininga chaininga " + "chainings " * 80 + "chainingaa " * (i < 2) + "chaininga " * 3) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in spelling.spelling_variants(df, most=most).collect()}
     want = brute_variants(rows)
