@@ -117,9 +117,12 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 def refine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows with bucket and finer: those whose finer identifier repeats in their bucket; and for each bucket of several finer
-    ones a row of each, whichever, to be split further. The second comes staged, the first from staged tables."""
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("finer").alias("least"), F.max("finer").alias("most"))
-    kept = stage(rows.join(buckets.filter("size > 1").select("bucket", (F.col("least") < F.col("most")).alias("several")), "bucket"), "buckets")
+    ones a row of each, whichever, to be split further. The second comes staged, the first from staged tables. Joins are with staged
+    tables, so that Spark can split the rows of a bucket that many share."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("finer").alias("least"), F.max("finer").alias("most"))
+    buckets = stage(sizes.filter("size > 1").select("bucket", (F.col("least") < F.col("most")).alias("several")), "sizes")
+    kept = stage(rows.join(buckets, "bucket"), "buckets")
+    unstage(buckets)
     several = kept.filter("several").drop("several")
     payload = [F.first(c).alias(c) for c in rows.columns if c not in ("bucket", "finer")]
     split = stage(several.groupBy("bucket", "finer").agg(F.count("*").alias("often"), *payload), "split")
@@ -204,9 +207,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     second = stage(whole, "repeated")
     single = stage(passages(open_runs), "passages")
     unstage(runs, open_runs)
-    often = single.groupBy("bucket").count().filter("count > 1").select("bucket")
+    often = stage(single.groupBy("bucket").count().filter("count > 1").select("bucket"), "often")
     third = stage(single.join(often, "bucket").select("k1", "k2", "lo", "hi"), "repeated")
-    unstage(single)
+    unstage(single, often)
     return first.unionByName(second).unionByName(third)
 
 
