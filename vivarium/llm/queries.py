@@ -98,4 +98,29 @@ SELECT page_id, strlen(p.html) AS payload_bytes, sha256(p.html) AS payload_diges
  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.html = f.html""",
     "op8_secrets": secret_scan.oracle(),
+    "op12_repeats": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+s AS (SELECT r, i FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CASE WHEN i - last <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS last FROM s)),
+x AS (SELECT r, min(i) AS u, max(i) + 200 AS v FROM g GROUP BY r, g),
+k AS (SELECT r, u, v, lag(v, 1, 0) OVER (PARTITION BY r ORDER BY u) AS before, row_number() OVER (PARTITION BY r ORDER BY u DESC) AS from_end FROM x),
+j AS (SELECT k.r, count(*) AS n_spans, sum(v - u) AS n_removed,
+  string_agg(substr(h, 2 * before + 1, 2 * (u - before)) || CASE WHEN from_end = 1 THEN substr(h, 2 * v + 1) ELSE '' END, '' ORDER BY u) AS kept
+ FROM k JOIN d ON d.r = k.r GROUP BY k.r)
+SELECT doc_id, len(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN j ON j.r = d.r""",
+    "op13_spelling": """WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)::BIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+t AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS (SELECT run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM t GROUP BY doc_id, run),
+v AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295) AS x FROM u, crc),
+w AS (SELECT CASE WHEN x % 31 = 0 THEN substr(run, 1, x % len(run)) || substr(run, x % len(run) + 2) ELSE run END AS word, c FROM v),
+n AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE len(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM n)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND len(a.word) = len(b.word)
+ UNION SELECT e.word, n.word, n.n FROM e JOIN n ON n.word = e.rest UNION SELECT n.word, e.word, e.n FROM e JOIN n ON n.word = e.rest),
+best AS (SELECT word, count(*) AS n_near, min({'m': -m, 'other': other}) AS b FROM near GROUP BY word),
+f AS (SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * n THEN b.other END AS form, CASE WHEN -b.m >= 10 * n THEN -b.m END AS form_n FROM n LEFT JOIN best ON best.word = n.word),
+walk AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+r AS (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word""",
 }
