@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vivarium.operators.assignment import least_cost
 from vivarium.operators.bins import bin_of, bin_table
+from vivarium.operators.walks import along_sessions
 
 #: Variances of velocity and of a detection, those at the start, and how long a lost animal coasts on.
 PROCESS, MEASURED, START, COAST = 4.0, 25.0, (1.0, 50.0), 15
@@ -45,46 +45,44 @@ class Motion:
         self.lost[who] = 0
 
 
-def assign(expected: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(animals, detections) of the matching with the least summed distance. Animals are few: every order is tried."""
-    cost = np.hypot(*(expected[:, None, :] - seen[None, :, :]).transpose(2, 0, 1))
-    n, m = cost.shape
-    if n <= m:
-        ways = [(tuple(range(n)), p) for p in itertools.permutations(range(m), n)]
-    else:
-        ways = [(p, tuple(range(m))) for p in itertools.permutations(range(n), m)]
-    rows, columns = min(ways, key=lambda w: cost[list(w[0]), list(w[1])].sum())
-    return np.array(rows, int), np.array(columns, int)
+    def reorder(self, order: np.ndarray) -> None:
+        """Animal a goes on with what animal order[a] had."""
+        for name in ("at", "speed", "pp", "pv", "vv", "lost"):
+            setattr(self, name, getattr(self, name)[order])
+
+
+class Spots:
+    """A session's animals by place alone: spots go to the predicted animals at the least summed distance."""
+
+    def __init__(self, animals: int):
+        self.animals, self.motion = animals, None
+
+    def step(self, frame: int, spots: list[dict] | None) -> list[tuple]:
+        seen = np.array([(s["x"], s["y"]) for s in spots or []], float).reshape(-1, 2)
+        if self.motion is None:
+            if len(seen) < self.animals:
+                return []
+            self.motion = Motion(seen[np.lexsort((seen[:, 1], seen[:, 0]))][: self.animals])
+            return [(frame, a, *place, "ok") for a, place in enumerate(self.motion.at.tolist())]
+        places = self.motion.predict().copy()
+        cost = np.hypot(*(places[:, None, :] - seen[None, :, :]).transpose(2, 0, 1))
+        who, which = least_cost(cost)
+        self.motion.update(who, seen[which])
+        places[who] = seen[which]
+        return [(frame, a, *place, "ok" if a in who else "lost") for a, place in enumerate(places.tolist())]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def identities(detections: DataFrame, animals: int) -> DataFrame:
-    """(session, frame, animal, x, y, status) from (session, frame, spots: array<struct<x, y>>).
+    """(session, frame, animal, x, y, status) from (session, frame, spots: array<struct<x, y>>), by places alone.
 
     The first frame with all animals names them from left to right; then each frame's spots go to the predicted animals
     at the least total distance. status is ok where an animal has a spot, else lost, with its predicted place. Frames
-    before the first whole one give no rows. A session's frames are walked in order, in batches.
+    before the first whole one give no rows. `identities.track_animals` is the whole loop, with looks.
     """
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        motion = None
-        for frame, spots in pdf.sort_values("frame")[["frame", "spots"]].itertuples(index=False):
-            seen = np.array([(s["x"], s["y"]) for s in spots] if spots is not None else [], float).reshape(-1, 2)
-            if motion is None:
-                if len(seen) >= animals:
-                    motion = Motion(seen[np.lexsort((seen[:, 1], seen[:, 0]))][:animals])
-                    out += [(frame, a, *motion.at[a], "ok") for a in range(animals)]
-                continue
-            expected = motion.predict().copy()
-            who, which = assign(expected, seen) if len(seen) else (np.zeros(0, int), np.zeros(0, int))
-            motion.update(who, seen[which])
-            places = dict(zip(who.tolist(), which.tolist()))
-            out += [(frame, a, *(seen[places[a]] if a in places else expected[a]), "ok" if a in places else "lost") for a in range(animals)]
-        table = pd.DataFrame(out, columns=["frame", "animal", "x", "y", "status"])
-        table.insert(0, "session", key[0])
-        return table
-
-    kinds = dict(detections.dtypes)
-    return detections.groupBy("session").applyInPandas(walk, f"session {kinds['session']}, frame {kinds['frame']}, animal int, x double, y double, status string")
+    return along_sessions(detections, ["frame", "spots"], lambda: Spots(animals), "frame long, animal int, x double, y double, status string")
 
 
 def _each():
