@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vivarium.operators import animals, identities
+from vivarium.operators import animals, comparison, identities, mixed, resampling, statistics
 from vivarium.operators.assignment import least_cost
 
 
@@ -151,3 +151,125 @@ def test_fifty_spots_a_frame_in_bounded_time():
     for f in range(50):
         crew.step(f, [{"x": float(x), "y": float(y), "look": 1.0} for x, y in rng.uniform(0, 500, (50, 2))])
     assert time.time() - began < 5
+
+
+# --- models with litters --------------------------------------------------------------------------------------------
+
+
+def litter_rows(rng, litter_sd, subject_sd, dams=6, subjects=4):
+    rows = []
+    for dam in range(dams):
+        for cage in range(2):
+            own_cage = rng.normal(0, litter_sd)
+            for s in range(subjects):
+                own = rng.normal(0, subject_sd)
+                for t in range(3):
+                    for _ in range(int(rng.integers(0, 3))):
+                        group = (dam + s) % 2
+                        rows.append((f"{dam}.{cage}.{s}", f"d{dam}", f"c{cage}", "ab"[group], t, float(5 + own_cage + own + group * 1.5 + t * 0.7 + rng.normal())))
+    return rows
+
+
+LITTERS = "subject string, dam string, cage string, group string, timepoint int, value double"
+
+
+def dense(rows):
+    y = np.array([r[5] for r in rows])
+    g, t = np.array([r[3] == "b" for r in rows], float), np.array([r[4] for r in rows])
+    x = np.stack([np.ones(len(y)), g, t == 1, t == 2, g * (t == 1), g * (t == 2)], axis=1).astype(float)
+    same = lambda keys: np.equal.outer(keys, keys).astype(float)
+    subject, litter = same(np.array([r[0] for r in rows])), same(np.array([r[1] + r[2] for r in rows]))
+
+    def at(rs, rb):
+        v = np.eye(len(y)) + rs * subject + rb * litter
+        vi = np.linalg.inv(v)
+        beta = np.linalg.solve(x.T @ vi @ x, x.T @ vi @ y)
+        s2 = float((y - x @ beta) @ vi @ (y - x @ beta)) / len(y)
+        return len(y) * math.log(s2) + np.linalg.slogdet(v)[1], beta, s2, s2 * np.linalg.inv(x.T @ vi @ x)
+
+    return x, y, subject, at
+
+
+TERMS = ["Intercept", "group[b]", "time[1]", "time[2]", "group[b]:time[1]", "group[b]:time[2]"]
+
+
+def test_litters_against_dense_matrices(spark):
+    rows = litter_rows(np.random.default_rng(4), 1.5, 1.0)
+    df = spark.createDataFrame([*rows, (None, "d", "c", "a", 1, 3.0), ("x", None, "c", "a", 1, 9.0)], LITTERS)
+    got = {r.term: r for r in mixed.nested_effects(df, "dam", "cage").collect()}
+    _, _, _, at = dense(rows)
+    within = got["variance within"].estimate
+    rs, rb = got["variance between"].estimate / within, got["variance of litters"].estimate / within
+    low, beta, s2, cov = at(rs, rb)
+    assert rs > 0 and rb > 0
+    assert low <= min(at(rs * a, rb * b)[0] for a in (0.9, 1, 1.1) for b in (0.9, 1, 1.1)) + 1e-9
+    assert math.isclose(within, s2, rel_tol=1e-6)
+    for i, term in enumerate(TERMS):
+        r = got[term]
+        assert math.isclose(r.estimate, beta[i], rel_tol=1e-6) and math.isclose(r.se, math.sqrt(cov[i, i]), rel_tol=1e-6)
+        assert math.isclose(r.high - r.low, 2 * 1.959963984540054 * r.se) and (r.q is None if i == 0 else r.q >= r.p)
+    assert got["Intercept"].litters == "variance of dam > cage included" and got["Intercept"].model.endswith("(1 | subject) + (1 | dam:cage)")
+
+
+def test_litters_that_can_not_be_modeled(spark):
+    rng = np.random.default_rng(14)
+    rows = litter_rows(rng, 0.0, 2.0)
+    level = {}
+    for r in rows:
+        level.setdefault(r[1] + r[2], []).append(r[5] - 1.5 * (r[3] == "b") - 0.7 * r[4])
+    flat = [(*r[:5], r[5] - float(np.mean(level[r[1] + r[2]]))) for r in rows]  # litters without differences
+    got = {r.term: r for r in mixed.nested_effects(spark.createDataFrame(flat, LITTERS), "dam", "cage").collect()}
+    assert got["Intercept"].litters == "not modeled (singular litter variance)" and "variance of litters" not in got and got["variance between"].estimate > 0
+    plain = {r.term: r for r in mixed.mixed_effects(spark.createDataFrame(flat, LITTERS)).collect()}
+    assert all(math.isclose(plain[t].estimate, got[t].estimate, rel_tol=1e-6, abs_tol=1e-9) for t in TERMS)
+    one = spark.createDataFrame(rows, LITTERS).withColumn("dam", F.lit("d"))
+    assert mixed.nested_effects(one, "dam").first().litters == "not modeled (a single litter)"
+    mixed_up = [(r[0], f"d{i % 3}", *r[2:]) for i, r in enumerate(rows)]
+    assert mixed.nested_effects(spark.createDataFrame(mixed_up, LITTERS), "dam").first().litters == "not modeled (a subject in several litters)"
+    assert mixed.nested_effects(one.limit(0), "dam").count() == 0
+
+
+def test_errors_clustered_by_subject(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(s), "d", "c", "ab"[s % 2], t, float(v - noise)) for s in range(16) for t in range(3) for noise in [0.0] for v in [s % 2 + t * 0.5 + (-1) ** t * rng.normal()]]
+    means = {}
+    for r in rows:
+        means.setdefault(r[0], []).append(r[5])
+    rows = [(*r[:5], r[5] - float(np.mean(means[r[0]])) + (r[3] == "b")) for r in rows]  # subjects of equal means
+    got = {r.term: r for r in mixed.nested_effects(spark.createDataFrame(rows, LITTERS)).collect()}
+    x, y, subject, _ = dense(rows)
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    e = y - x @ beta
+    bread = np.linalg.inv(x.T @ x)
+    meat = x.T @ (subject * np.outer(e, e)) @ x
+    cov = 16 / 15 * (len(y) - 1) / (len(y) - 6) * bread @ meat @ bread
+    for i, term in enumerate(TERMS):
+        assert math.isclose(got[term].estimate, beta[i], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(got[term].se, math.sqrt(max(cov[i, i], 0)), rel_tol=1e-6, abs_tol=1e-7)
+    assert got["Intercept"].estimation.startswith("least squares") and "variance between" not in got
+
+
+# --- bootstrap ------------------------------------------------------------------------------------------------------
+
+
+def test_d_interval_against_a_loop_of_the_same_weights(spark):
+    rng = np.random.default_rng(6)
+    rows = [("m", g, round(float(rng.normal(1000 + 2 * (g == "b"), 2)), 1)) for g in "ab" for _ in range(60)] + [("one", "a", 1.0)] * 3 + [("flat", g, 1.0) for g in "aabb"] + [("m", "c", 1.0), ("m", "a", None)]
+    df = spark.createDataFrame(rows, "metric string, group string, value double")
+    got = {r.metric: (r.low, r.high) for r in resampling.d_interval(df, 300, 7).collect()}
+    assert set(got) == {"m", "flat"} and got["flat"] == (None, None)
+    values = {g: sorted(v for k, h, v in rows if k == "m" and h == g and v is not None) for g in "ab"}
+    keys = {(r.group, r.value): r.key for r in spark.createDataFrame([("m", g, float(v)) for g in "ab" for v in set(values[g])], "metric string, group string, value double").withColumn("key", F.xxhash64("metric", "group", "value")).collect()}
+    each = []
+    w = {g: {v: resampling.weights(keys[g, v], values[g].count(v), 300, 7) for v in set(values[g])} for g in "ab"}
+    for draw in range(300):
+        sample = {g: np.repeat(list(w[g]), [int(x[draw]) for x in w[g].values()]) for g in "ab"}
+        a, b = sample["a"], sample["b"]
+        pooled = math.sqrt((((a - a.mean()) ** 2).sum() + ((b - b.mean()) ** 2).sum()) / (len(a) + len(b) - 2))
+        each.append((a.mean() - b.mean()) / pooled)
+    assert np.allclose(got["m"], np.percentile(each, [2.5, 97.5]), rtol=1e-8)
+    again = {r.metric: (r.low, r.high) for r in resampling.d_interval(df.repartition(7), 300, 7).collect()}
+    assert np.allclose(again["m"], got["m"], rtol=1e-9)
+    found = {r.metric: r for r in comparison.compare_groups(df.filter("group <> 'c'")).collect()}
+    assert found["m"].effect_low < found["m"].effect < found["m"].effect_high < 0 and found["one"].effect_low is None
+    local = statistics.bootstrap_d(np.array(values["a"]), np.array(values["b"]))
+    assert np.allclose(local, (found["m"].effect_low, found["m"].effect_high), atol=0.15)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vivarium.operators import ranks, statistics
+from vivarium.operators import ranks, resampling, statistics
 
 
 def compare_groups(long: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row per metric of (metric, group, value): test, statistic, p, q over the metrics, effect and levene_p.
+    """One row per metric of (metric, group, value): test, statistic, p, q over the metrics, effect, its interval (effect_low,
+    effect_high) and levene_p.
 
     Groups with fewer than two values don't take part. Two groups: Welch's t (or Mann-Whitney's U if a group isn't
-    normal) and Cohen's d, the group whose name sorts first minus the other. More: ANOVA's F (or Kruskal-Wallis's H) and
+    normal) and Cohen's d with its 95 % bootstrap interval, the group whose name sorts first minus the other. More: ANOVA's F (or Kruskal-Wallis's H) and
     eta squared. A metric with fewer than two groups has the test 'insufficient data' and nulls.
     """
     values = long.filter("value IS NOT NULL")
@@ -26,10 +27,11 @@ def compare_groups(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     tests = as_result(welch, "Welch t-test", "t").unionByName(as_result(ranks.mann_whitney(pair, "a", "b"), "Mann-Whitney U", "u"))
     tests = tests.unionByName(as_result(anova, "One-way ANOVA", "f")).unionByName(as_result(h.withColumn("p", ranks.chi2_p(F.col("h"), F.col("df"))), "Kruskal-Wallis", "h"))
     effects = welch.select("metric", F.col("cohen_d").alias("effect")).unionByName(anova.select("metric", F.col("eta2").alias("effect")))
+    reach = resampling.d_interval(used).select("metric", F.col("low").alias("effect_low"), F.col("high").alias("effect_high"))
     spread = statistics.anova(ranks.levene(used)).select("metric", F.col("p").alias("levene_p"))
     name = F.when(F.col("k") == 2, F.when(F.col("normal"), "Welch t-test").otherwise("Mann-Whitney U")).when(F.col("k") > 2, F.when(F.col("normal"), "One-way ANOVA").otherwise("Kruskal-Wallis"))
     chosen = plan.withColumn("test", F.coalesce(name, F.lit("insufficient data"))).select("metric", "k", "normal", "test")
     every = values.select("metric").distinct().join(chosen, "metric", "left").withColumn("test", F.coalesce("test", F.lit("insufficient data")))
-    found = every.join(tests, ["metric", "test"], "left").join(effects, "metric", "left").join(spread, "metric", "left")
+    found = every.join(tests, ["metric", "test"], "left").join(effects, "metric", "left").join(reach, "metric", "left").join(spread, "metric", "left")
     out = statistics.bh_of_metrics(found)  # a row for each metric
-    return out.select("metric", F.coalesce("k", F.lit(0)).alias("groups"), "normal", "test", "statistic", "p", "q", "effect", "levene_p", (F.col("q") < alpha).alias("significant"))
+    return out.select("metric", F.coalesce("k", F.lit(0)).alias("groups"), "normal", "test", "statistic", "p", "q", "effect", "effect_low", "effect_high", "levene_p", (F.col("q") < alpha).alias("significant"))

@@ -1,125 +1,299 @@
-"""Random-intercept model by maximum likelihood from sufficient statistics.
+"""Models with random intercepts by maximum likelihood, from sums that Spark adds up.
 
-With one intercept for each subject, a subject of n rows enters the likelihood only through its sums over the cells of
-group and time point, and its weight depends on n alone. So Spark adds up the subjects of equal n, and what comes to the
-driver is a table of a few numbers for each n and pair of cells; no rows of subjects.
+value ~ group * timepoint, with an intercept for each subject and, where told, one for each litter or cage that holds subjects.
+A subject of n rows enters the likelihood through its sums over the cells of group and time point, and its weight depends on
+n alone; a litter enters through its subjects' sums, weighted by their n. Each pass over these sums gives the likelihood
+of many pairs of variance ratios at once, so the driver gets a few numbers by pair and cells, never rows of subjects,
+sizes or litters.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A design has at most so many cells of group x time point; more is refused.
 MOST_CELLS = 200
 SCHEMA = "term string, estimate double, se double, z double, p double"
+#: Ratios of variances searched, and numbers that one task adds up at once (pairs of ratios x cells x cells).
+LEAST, MOST, HELD = 1e-6, 1e6, 2_000_000
 
 
-def cell_sums(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (subject, group, timepoint, value): totals by cell, and sums over subjects of equal n by pairs of cells.
+@dataclass
+class Sums:
+    """What a model needs: cells in order, totals by cell, and Spark's tables of sums by subject size and by litter."""
 
-    A subject has one row for each of its cells, so its pairs are bounded by the cells of the design.
-    """
-    rows = df.dropna(subset=["subject", "group", "timepoint", "value"])
-    cells = rows.groupBy("subject", "group", "timepoint").agg(F.count("*").alias("n"), F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy"))
-    totals = cells.groupBy("group", "timepoint").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("yy").alias("yy"))
-    cell = F.struct("group", "timepoint", "n")
-    of_subject = cells.groupBy("subject").agg(F.sum("n").alias("size"), F.sum("y").alias("sum"), F.collect_list(cell).alias("own"))
-    left = of_subject.select("size", "sum", "own", F.explode("own").alias("a"))
-    first = left.groupBy("size", F.col("a.group").alias("g1"), F.col("a.timepoint").alias("t1"), F.lit(None).cast("string").alias("g2"), F.lit(None).cast("string").alias("t2")).agg(F.sum(F.col("a.n") * F.col("sum")).alias("s"))
-    pair = left.select("size", "a", F.explode("own").alias("b")).groupBy(
-        "size", F.col("a.group").alias("g1"), F.col("a.timepoint").alias("t1"), F.col("b.group").alias("g2"), F.col("b.timepoint").alias("t2")
-    ).agg(F.sum((F.col("a.n") * F.col("b.n")).cast("double")).alias("s"))
-    none = F.lit(None).cast("string")
-    whole = of_subject.groupBy("size").agg(F.count("*").cast("double").alias("m"), F.sum(F.col("sum") * F.col("sum")).alias("q"))
-    whole = whole.select("size", none.alias("g1"), F.explode(F.create_map(F.lit("m"), F.col("m"), F.lit("q"), F.col("q"))).alias("t1", "s")).withColumn("g2", none).withColumn("t2", none)
-    return totals, pair.unionByName(first).unionByName(whole)
-
-
-def fit(sums: dict, cells: int, total: float) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Cell means, their covariance, and the variances within and between subjects.
-
-    sums: d (rows by cell), xy, yy, and for each n: m (subjects), q (sum of squared sums), b (by cell), c (by cells).
-    """
-    sizes = sorted(sums["m"])
-
-    def at(ratio: float):
-        a, b, yy, logs = np.diag(sums["d"]).astype(float), sums["xy"].copy(), sums["yy"], 0.0
-        for n in sizes:
-            g = ratio / (1 + ratio * n)
-            a -= g * sums["c"][n]
-            b -= g * sums["b"][n]
-            yy -= g * sums["q"][n]
-            logs += sums["m"][n] * math.log1p(ratio * n)
-        beta = np.linalg.solve(a, b)
-        s2 = max(yy - float(beta @ b), 1e-300) / total
-        return total * math.log(s2) + logs, beta, a, s2
-
-    grid = np.concatenate(([0.0], np.geomspace(1e-6, 1e6, 61)))
-    losses = [at(r)[0] for r in grid]
-    best = int(np.argmin(losses))
-    low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    share = (math.sqrt(5) - 1) / 2
-    for _ in range(80):  # golden section
-        x, y = high - share * (high - low), low + share * (high - low)
-        low, high = (low, y) if at(x)[0] < at(y)[0] else (x, high)
-    ratio = (low + high) / 2
-    if at(0.0)[0] <= at(ratio)[0]:
-        ratio = 0.0
-    _, beta, a, s2 = at(ratio)
-    return beta, s2 * np.linalg.inv(a), s2, ratio * s2
+    cells: list[tuple[str, str]]
+    rows: np.ndarray
+    values: np.ndarray
+    squares: float
+    subjects: DataFrame
+    sizes: DataFrame
+    blocks: DataFrame | None
+    held: list[DataFrame] = field(default_factory=list)
 
+    @property
+    def n(self) -> float:
+        return float(self.rows.sum())
 
-def mixed_effects(df: DataFrame) -> DataFrame:
-    """(term, estimate, se, z, p) of value ~ group * timepoint + (1 | subject), by maximum likelihood.
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
-    The first group and time point, in order of their texts, are the reference. Rows with a null in any of the four
-    columns don't count; with fewer than four rows there is no result. A term that needs an empty cell has nulls. Two
-    rows more give the variances within and between subjects.
-    """
-    spark = df.sparkSession
-    rows = df.select("subject", F.col("group").cast("string").alias("group"), F.col("timepoint").cast("string").alias("timepoint"), F.col("value").cast("double").alias("value"))
-    totals, parts = cell_sums(rows)
-    total_rows = totals.limit(MOST_CELLS + 1).collect()  # a row for each cell of the design
-    if len(total_rows) > MOST_CELLS:
+
+def design_sums(df: DataFrame) -> Sums | None:
+    """Sums of (subject, block, group, timepoint, value) rows, block null or absent for no litter; None for fewer than four rows."""
+    rows = df.withColumn("block", F.lit(None).cast("string")) if "block" not in df.columns else df
+    rows = rows.dropna(subset=["subject", "group", "timepoint", "value"])
+    cells = rows.groupBy("subject", "block", "group", "timepoint").agg(F.count("*").alias("n"), F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy")).persist()
+    found = cells.groupBy("group", "timepoint").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("yy").alias("yy")).limit(MOST_CELLS + 1).collect()
+    if len(found) > MOST_CELLS:
         raise ValueError(f"group and time point make over {MOST_CELLS} cells")
-    count = float(sum(r["n"] for r in total_rows))
-    if count < 4:
-        return spark.createDataFrame([], SCHEMA)
-    order = {c: i for i, c in enumerate(sorted((r["group"], r["timepoint"]) for r in total_rows))}
-    k = len(order)
-    sums: dict = {"d": np.zeros(k), "xy": np.zeros(k), "yy": 0.0, "m": {}, "q": {}, "b": {}, "c": {}}
-    for r in total_rows:
-        i = order[r["group"], r["timepoint"]]
-        sums["d"][i], sums["xy"][i] = r["n"], r["y"]
-        sums["yy"] += r["yy"]
-    for r in parts.collect():  # sizes x cells x cells
-        n = r["size"]
-        if r["g1"] is None:
-            sums[r["t1"]][n] = r["s"]
-        elif r["g2"] is None:
-            sums["b"].setdefault(n, np.zeros(k))[order[r["g1"], r["t1"]]] = r["s"]
-        else:
-            sums["c"].setdefault(n, np.zeros((k, k)))[order[r["g1"], r["t1"]], order[r["g2"], r["t2"]]] = r["s"]
-    beta, cov, within, between = fit(sums, k, count)
-    groups, times = sorted({g for g, _ in order}), sorted({t for _, t in order})
+    if sum(r["n"] for r in found) < 4:
+        cells.unpersist()
+        return None
+    found = sorted(found, key=lambda r: (r["group"], r["timepoint"]))
+    names = [(r["group"], r["timepoint"]) for r in found]
+    index = df.sparkSession.createDataFrame([(g, t, i) for i, (g, t) in enumerate(names)], "group string, timepoint string, cell int")
+    own = F.collect_list(F.struct("cell", "n", "y")).alias("own")
+    numbered = cells.join(F.broadcast(index), ["group", "timepoint"])  # at most MOST_CELLS rows
+    subjects = numbered.groupBy("subject", "block").agg(F.sum("n").alias("size"), F.sum("y").alias("total"), own).persist()
+    left = subjects.select("size", "total", "own", F.explode("own").alias("a"))
+    pairs = left.select("size", "a", F.explode("own").alias("b")).groupBy("size", F.col("a.cell").alias("i"), F.col("b.cell").alias("j")).agg(F.sum((F.col("a.n") * F.col("b.n")).cast("double")).alias("s"))
+    first = left.groupBy("size", F.col("a.cell").alias("i"), F.lit(-1).alias("j")).agg(F.sum(F.col("a.n") * F.col("total")).alias("s"))
+    whole = subjects.groupBy("size").agg(F.count("*").cast("double").alias("m"), F.sum(F.col("total") * F.col("total")).alias("q"))
+    whole = whole.select("size", F.lit(-1).alias("i"), F.explode(F.array(F.struct(F.lit(-1).alias("j"), F.col("m").alias("s")), F.struct(F.lit(-2).alias("j"), F.col("q").alias("s")))).alias("x")).select("size", "i", "x.j", "x.s")
+    sizes = pairs.unionByName(first).unionByName(whole).persist()
+    held, blocks = [cells, subjects, sizes], None
+    if "block" in df.columns:
+        littered = subjects.filter("block IS NOT NULL")
+        by_cell = littered.select("block", "size", F.explode("own").alias("a")).groupBy("block", "size", F.col("a.cell").alias("cell")).agg(F.sum("a.n").cast("double").alias("x"))
+        by_size = littered.groupBy("block", "size").agg(F.count("*").cast("double").alias("m"), F.sum("total").alias("y"))
+        part = by_cell.select("block", "size", "cell", "x", F.lit(0.0).alias("y")).unionByName(by_size.select("block", "size", F.lit(-1).alias("cell"), F.col("m").alias("x"), "y"))
+        blocks = part.groupBy("block").agg(F.collect_list(F.struct("size", "cell", "x", "y")).alias("parts")).persist()  # sizes x cells of a litter
+        held.append(blocks)
+    at = lambda name: np.array([float(r[name]) for r in found])
+    return Sums(names, at("n"), at("y"), float(at("yy").sum()), subjects, sizes, blocks, held)
+
+
+def added_up(df: DataFrame, block, width: int) -> np.ndarray:
+    """The sum over all batches of block(batch), an array of `width` doubles, added up by task and then by few tasks."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += block(batch).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for z in batch.column(0).to_pylist():
+                total += np.frombuffer(z)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
+
+    few = df.mapInArrow(part, "z binary").repartition(4).mapInArrow(merge, "z binary")
+    return np.sum([np.frombuffer(r["z"]) for r in few.collect()] or [np.zeros(width)], axis=0)
+
+
+def likelihoods(sums: Sums, ratios: list[tuple[float, float]]) -> list[tuple[float, np.ndarray, np.ndarray, float]]:
+    """For pairs of ratios (subject, litter) to the variance within: loss, cell means, their inverse covariance by s2, and s2."""
+    k = len(sums.cells)
+    width = k * k + k + 2  # matrix, vector, squares, logarithms
+    step = max(1, HELD // width)
+    out = []
+    for cut in range(0, len(ratios), step):
+        some = ratios[cut : cut + step]
+
+        def by_size(batch: pa.RecordBatch) -> np.ndarray:
+            size, i, j, s = (np.asarray(batch.column(c)).astype(float if c == 3 else np.int64) for c in range(4))
+            place = np.where(i < 0, np.where(j == -1, k * k + k + 1, k * k + k), np.where(j < 0, k * k + i, i * k + j))
+            total = np.zeros((len(some), width))
+            for c, (r, _) in enumerate(some):  # noqa: B023
+                weight = np.where(place == k * k + k + 1, np.log1p(r * size), r / (1 + r * size))
+                total[c] = np.bincount(place, weight * s, minlength=width)
+            return total
+
+        def by_block(batch: pa.RecordBatch) -> np.ndarray:
+            lists = batch.column(0)
+            every = lists.flatten()
+            owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            size, cell, x, y = (np.asarray(every.field(c)) for c in range(4))
+            whole = cell < 0
+            total = np.zeros((len(some), width))
+            for c, (r, rb) in enumerate(some):  # noqa: B023
+                w = 1 / (1 + r * size)
+                n = len(lists)
+                s = np.bincount(owner[whole], (x * size * w)[whole], minlength=n)
+                v = np.bincount(owner[whole], (y * w)[whole], minlength=n)
+                u = np.bincount(owner[~whole] * k + cell[~whole], (x * w)[~whole], minlength=n * k).reshape(n, k)
+                h = rb / (1 + rb * s)
+                total[c] = np.concatenate((((u * h[:, None]).T @ u).ravel(), (u * h[:, None]).T @ v, [h @ (v * v), np.log1p(rb * s).sum()]))
+            return total
+
+        taken = added_up(sums.sizes.select("size", "i", "j", "s"), by_size, len(some) * width).reshape(len(some), width)
+        if sums.blocks is not None and any(rb for _, rb in some):
+            taken = taken + added_up(sums.blocks.select("parts"), by_block, len(some) * width).reshape(len(some), width)
+        for t in taken:
+            a, b = np.diag(sums.rows) - t[: k * k].reshape(k, k), sums.values - t[k * k : k * k + k]
+            beta = np.linalg.solve(a, b)
+            s2 = max(sums.squares - t[k * k + k] - float(beta @ b), 1e-300) / sums.n
+            out.append((sums.n * math.log(s2) + t[k * k + k + 1], beta, a, s2))
+    return out
+
+
+def best_ratios(sums: Sums, litters: bool) -> tuple[float, float]:
+    """The pair of ratios of the greatest likelihood: a grid over all orders of magnitude, then ever finer ones around the best."""
+    grid = [0.0, *np.geomspace(LEAST, MOST, 13)]
+    axes = [grid, grid if litters else [0.0]]
+    best, loss, width = (0.0, 0.0), math.inf, 10.0
+    for _ in range(24):
+        pairs = [(float(a), float(b)) for a in axes[0] for b in axes[1]]
+        for pair, found in zip(pairs, likelihoods(sums, pairs)):
+            if found[0] < loss - 1e-12 * abs(loss if math.isfinite(loss) else 0):
+                best, loss = pair, found[0]
+        if width < 1 + 1e-7:
+            break
+        around = np.linspace(-1, 1, 9)
+        axes = [[0.0] if b == 0 else [b, *(b * width**around)] for b in best]
+        axes[1] = axes[1] if litters else [0.0]
+        width = width ** (0.35 if litters else 0.25)
+    return best
+
+
+def clustered(sums: Sums) -> tuple[np.ndarray, np.ndarray]:
+    """Cell means by least squares, and their covariance with errors that hang together within a subject."""
+    k = len(sums.cells)
+    beta = sums.values / sums.rows
+
+    def outer(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column(0)
+        every = lists.flatten()
+        owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        cell, n, y = (np.asarray(every.field(c)) for c in range(3))
+        score = np.bincount(owner * k + cell, y - n * beta[cell], minlength=len(lists) * k).reshape(len(lists), k)
+        return np.concatenate(((score.T @ score).ravel(), [len(lists)]))
+
+    merged = sums.subjects.groupBy("subject").agg(F.flatten(F.collect_list("own")).alias("own")).select("own")
+    total = added_up(merged, outer, k * k + 1)
+    g, n = total[-1], sums.n
+    factor = g / (g - 1) * (n - 1) / (n - k) if g > 1 and n > k else 1.0
+    bread = np.diag(1 / sums.rows)
+    return beta, factor * bread @ total[:-1].reshape(k, k) @ bread
+
+
+def contrasts(cells: list[tuple[str, str]]) -> list[tuple[str, np.ndarray | None]]:
+    """Terms of group * timepoint as weights of cell means; None where a term needs an empty cell."""
+    order = {c: i for i, c in enumerate(cells)}
+    groups, times = sorted({g for g, _ in cells}), sorted({t for _, t in cells})
     g0, t0 = groups[0], times[0]
     terms = [("Intercept", {(g0, t0): 1})]
     terms += [(f"group[{g}]", {(g, t0): 1, (g0, t0): -1}) for g in groups[1:]] + [(f"time[{t}]", {(g0, t): 1, (g0, t0): -1}) for t in times[1:]]
     terms += [(f"group[{g}]:time[{t}]", {(g, t): 1, (g, t0): -1, (g0, t): -1, (g0, t0): 1}) for g in groups[1:] for t in times[1:]]
     out = []
     for name, weights in terms:
-        if not all(c in order for c in weights):
+        w = None
+        if all(c in order for c in weights):
+            w = np.zeros(len(cells))
+            for c, v in weights.items():
+                w[order[c]] = v
+        out.append((name, w))
+    return out
+
+
+def estimates(cells: list[tuple[str, str]], beta: np.ndarray, cov: np.ndarray) -> list[tuple]:
+    """(term, estimate, se, z, p) of every term."""
+    out = []
+    for name, w in contrasts(cells):
+        if w is None:
             out.append((name, None, None, None, None))
             continue
-        w = np.zeros(k)
-        for c, v in weights.items():
-            w[order[c]] = v
-        estimate, se = float(w @ beta), math.sqrt(float(w @ cov @ w))
+        estimate, se = float(w @ beta), math.sqrt(max(float(w @ cov @ w), 0.0))
         z = estimate / se if se > 0 else None
         out.append((name, estimate, se, z, None if z is None else math.erfc(abs(z) / math.sqrt(2))))
-    out += [("variance within", float(within), None, None, None), ("variance between", float(between), None, None, None)]
+    return out
+
+
+def texts(df: DataFrame, *more: str) -> DataFrame:
+    plain = [F.col(c).cast("string").alias(c) for c in ("group", "timepoint")]
+    return df.select("subject", *more, *plain, F.col("value").cast("double").alias("value"))
+
+
+def mixed_effects(df: DataFrame) -> DataFrame:
+    """(term, estimate, se, z, p) of value ~ group * timepoint + (1 | subject), by maximum likelihood.
+
+    The first group and time point, in order of their texts, are the reference. Rows with a null in any of the four
+    columns don't count; with fewer than four rows there is no result. A term that needs an empty cell has nulls. Two
+    rows more give the variances within and between subjects.
+    """
+    spark = df.sparkSession
+    sums = design_sums(texts(df))
+    if sums is None:
+        return spark.createDataFrame([], SCHEMA)
+    ratio, _ = best_ratios(sums, False)
+    _, beta, a, s2 = likelihoods(sums, [(ratio, 0.0)])[0]
+    sums.release()
+    out = estimates(sums.cells, beta, s2 * np.linalg.inv(a))
+    out += [("variance within", float(s2), None, None, None), ("variance between", float(ratio * s2), None, None, None)]
     return spark.createDataFrame(out, SCHEMA)
+
+
+NESTED = SCHEMA + ", low double, high double, q double, model string, estimation string, litters string"
+
+
+def nested_effects(df: DataFrame, dam: str | None = None, cage: str | None = None) -> DataFrame:
+    """Terms of value ~ group * timepoint with intercepts for subjects and for their litters, by maximum likelihood.
+
+    Litters are cages within dams where both columns are named, else dams (or cages). term, estimate, se, z, p, the 95 %
+    interval (low, high), q (Benjamini and Hochberg's, over the terms but the intercept), model, estimation and what became of
+    the litters. They are left out, and litters says so, where there is but one, where a subject is in several, or where
+    their variance is nil; where that of subjects is nil too, least squares are used, with errors clustered by subject.
+    Rows with a null in any column used don't count; with fewer than four rows there is no result.
+    """
+    spark = df.sparkSession
+    names = [c for c in (dam, cage) if c]
+    rows = texts(df, *names)
+    none = "not modeled"
+    if names:
+        block = F.concat_ws("::", *(F.col(c).cast("string") for c in names))
+        rows = rows.dropna(subset=names).withColumn("block", block).drop(*names)
+        counts = rows.dropna().agg(F.count_distinct("block").alias("blocks")).first()
+        shared = rows.groupBy("subject").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a <> b").limit(1).count()
+        if counts["blocks"] < 2 or shared:
+            rows, names = rows.drop("block"), []
+            none = "not modeled (a subject in several litters)" if shared else "not modeled (a single litter)"
+    sums = design_sums(rows)
+    if sums is None:
+        return spark.createDataFrame([], NESTED)
+    litters = none
+    ratio, block_ratio = best_ratios(sums, bool(names))
+    if names and block_ratio == 0:
+        names, litters = [], "not modeled (singular litter variance)"
+    elif names:
+        litters = "variance of " + " > ".join(names) + " included"
+    fixed = " + ".join(t for t, many in (("group", len({g for g, _ in sums.cells}) > 1), ("timepoint", len({t for _, t in sums.cells}) > 1)) if many) or "1"
+    fixed += " + group:timepoint" if fixed.count("+") else ""
+    model, estimation = f"value ~ {fixed} + (1 | subject)" + (f" + (1 | {':'.join(names)})" if names else ""), "maximum likelihood"
+    variances = []
+    if ratio == 0 and not names:
+        beta, cov = clustered(sums)
+        model, estimation = f"value ~ {fixed} [errors clustered by subject]", "least squares, errors clustered by subject (no variance between subjects)"
+    else:
+        _, beta, a, s2 = likelihoods(sums, [(ratio, block_ratio)])[0]
+        cov = s2 * np.linalg.inv(a)
+        variances = [("variance within", s2), ("variance between", ratio * s2)] + ([("variance of litters", block_ratio * s2)] if names else [])
+    sums.release()
+    out = [(*e, None if e[2] is None else e[1] - 1.959963984540054 * e[2], None if e[2] is None else e[1] + 1.959963984540054 * e[2]) for e in estimates(sums.cells, beta, cov)]
+    out += [(name, float(v), None, None, None, None, None) for name, v in variances]
+    found = spark.createDataFrame(out, SCHEMA + ", low double, high double").withColumn("counted", F.when(F.col("term") != "Intercept", F.col("p")))
+    last = Window.orderBy(F.col("counted").desc_nulls_first())  # a row for each term
+    ranked = found.withColumn("m", F.count("counted").over(Window.partitionBy())).withColumn("rank", F.row_number().over(Window.orderBy(F.col("counted").asc_nulls_last())))
+    q = F.when(F.col("counted").isNotNull(), F.min(F.when(F.col("counted").isNotNull(), F.least(F.col("counted") * F.col("m") / F.col("rank"), F.lit(1.0)))).over(last))
+    return ranked.select("term", "estimate", "se", "z", "p", "low", "high", q.alias("q"), F.lit(model).alias("model"), F.lit(estimation).alias("estimation"), F.lit(litters).alias("litters"))

@@ -236,7 +236,7 @@ def friedman(df: DataFrame, metric: str, levels: list) -> DataFrame:
 
 def levene(long: DataFrame) -> DataFrame:
     """Deviations from the group's median as values of their own: `anova` of them is Levene's test."""
-    middle = long.groupBy("metric", "group").agg(F.percentile("value", F.lit(0.5)).alias("__median"))
+    middle = medians(long, ["metric", "group"]).withColumnRenamed("median", "__median")
     return long.join(middle, ["metric", "group"]).select("metric", "group", F.abs(F.col("value") - F.col("__median")).alias("value"))
 
 
