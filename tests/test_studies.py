@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vivarium.operators import animals, comparison, identities, mixed, resampling, statistics
+from vivarium.operators import advanced, animals, comparison, identities, mixed, resampling, statistics
 from vivarium.operators.assignment import least_cost
 
 
@@ -273,3 +273,29 @@ def test_d_interval_against_a_loop_of_the_same_weights(spark):
     assert found["m"].effect_low < found["m"].effect < found["m"].effect_high < 0 and found["one"].effect_low is None
     local = statistics.bootstrap_d(np.array(values["a"]), np.array(values["b"]))
     assert np.allclose(local, (found["m"].effect_low, found["m"].effect_high), atol=0.15)
+
+
+# --- statistics in one call -----------------------------------------------------------------------------------------
+
+
+def test_statistics_in_one_call(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{s}", "ab"[s % 2], f"d{s % 4}", t, float(rng.normal(s % 2, 1)), s, "text") for s in range(20) for t in (1, 2) for _ in range(2)]
+    df = spark.createDataFrame(rows, "Animal string, Group string, Dam string, Timepoint int, `time in zone` double, score int, note string").withColumn("empty", F.lit(float("nan")))
+    assert advanced.roles(df) == {"subject": "Animal", "group": "Group", "timepoint": "Timepoint", "dam": "Dam"}
+    assert advanced.metric_names(df) == ["time in zone", "score"]
+    found = advanced.run(df, str(tmp_path), ["time in zone"])
+    assert list(found) == ["audit", "subjects", "repeated", "mixed", "between", "methods"]
+    means = {(r.Animal, r.Timepoint): r["time in zone"] for r in found["subjects"].collect()}
+    assert len(means) == 40 and math.isclose(means["s3", "2"], np.mean([r[4] for r in rows if r[0] == "s3" and r[3] == 2]))
+    change = found["repeated"].first()
+    assert (change.metric, change["from"], change.to, change.n, change.test) == ("time in zone", "1", "2", 20, "paired t") and change.low < change.change < change.high
+    assert {r.metric for r in found["mixed"].collect()} == {"time in zone"} and found["between"].first().test in ("Welch t-test", "Mann-Whitney U")
+    assert {r.role: r.distinct for r in found["audit"].collect()} == {"subject": 20, "group": 2, "timepoint": 2, "dam": 4}
+    assert len(list((tmp_path / "between").glob("*.csv"))) == 1 and "Animal" in dict(advanced.methods(df))["Columns"]
+    bare = df.select("`time in zone`", "Group")
+    assert list(advanced.run(bare)) == ["audit", "between", "methods"] and "One row" in dict(advanced.methods(bare))["Experimental unit"]
+    three = df.unionByName(df.filter("Timepoint = 1").withColumn("Timepoint", F.lit(3)).withColumn("time in zone", F.col("time in zone") + 1))
+    assert advanced.repeated_measures(three, ["time in zone"]).first().test == "Friedman"
+    with pytest.raises(ValueError):
+        advanced.subject_levels(bare)

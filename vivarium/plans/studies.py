@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vivarium.operators import advanced as adv
 from vivarium.operators import identities as ids
 from vivarium.plans.catalogue import FPS, MIN_FRAMES, ORACLES, T, query, rounded, with_
 from vivarium.plans.tracks import _tracks
@@ -25,3 +26,44 @@ def animal_tracks(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT session // 10 AS session, session % 10 AS animal, * EXCLUDE (session) FROM (" + ORACLES["zone_table"] + ")")
 def animal_zones(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ids.animal_zones(_tracks(spark, d), tb.zones(spark), MIN_FRAMES, FPS))
+
+
+# --- statistics in one call -----------------------------------------------------------------------------------------
+
+
+def _design(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rows of customers, nations as dams, with the names that a study's sheet has."""
+    o, c = tb.table(spark, d, "orders"), tb.table(spark, d, "customer")
+    columns = [F.col("c_custkey").alias("Animal ID"), F.col("c_mktsegment").alias("Group"), F.when(F.col("c_nationkey") > 2, F.col("c_nationkey")).alias("Dam ID"), F.year("o_orderdate").alias("Timepoint")]
+    return o.join(c, o.o_custkey == c.c_custkey).select(*columns, F.col("o_orderstatus").alias("note"), F.col("o_totalprice").cast("double").alias("price"), F.length("o_orderpriority").alias("priority"))
+
+
+DE = """de AS (SELECT c_custkey::VARCHAR AS a, c_mktsegment AS g, CASE WHEN c_nationkey > 2 THEN c_nationkey END::VARCHAR AS n, year(o_orderdate)::VARCHAR AS t, o_totalprice::DOUBLE AS price, length(o_orderpriority) AS priority
+ FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+@query(with_(DE) + 'SELECT a AS "Animal ID", g AS "Group", n AS "Dam ID", t AS "Timepoint", round(avg(price), 6) AS price, round(avg(priority), 6) AS priority FROM de GROUP BY ALL')
+def subject_levels(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(adv.subject_levels(_design(spark, d)))
+
+
+@query(
+    with_(DE)
+    + """, w AS (SELECT a, avg(price) FILTER (t = '1995') AS p, avg(price) FILTER (t = '1996') AS q FROM (SELECT a, g, n, t, avg(price) AS price FROM de GROUP BY ALL) GROUP BY a HAVING p IS NOT NULL AND q IS NOT NULL)
+SELECT 'price' AS metric, '1995' AS "from", '1996' AS "to", count(*) AS n, round(avg(q - p), 6) AS change, 'paired t' AS test, round(avg(q - p) / (stddev_samp(q - p) / sqrt(count(*))), 6) AS statistic FROM w"""
+)
+def repeated_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = _design(spark, d).filter("Timepoint IN (1995, 1996)")
+    return rounded(adv.repeated_measures(rows, ["price"]).select("metric", "from", "to", "n", "change", "test", "statistic"))
+
+
+@query()
+def litter_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Prices by segment and year, with intercepts for customers and nations; compared with dense matrices in the tests."""
+    return rounded(adv.mixed_models(_design(spark, d), ["price"]))
+
+
+@query()
+def group_results(spark: SparkSession, d: str) -> DataFrame:
+    """Two segments compared, with the bootstrap interval of the effect; compared with a loop in the tests."""
+    return rounded(adv.between_groups(_design(spark, d).filter("Group IN ('BUILDING', 'MACHINERY')"), ["price"]))
