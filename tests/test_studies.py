@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vivarium.operators import advanced, animals, comparison, identities, mixed, resampling, statistics
+from vivarium.operators import advanced, animals, comparison, geometry, identities, mixed, resampling, statistics
 from vivarium.operators.assignment import least_cost
 
 
@@ -299,3 +299,64 @@ def test_statistics_in_one_call(spark, tmp_path):
     assert advanced.repeated_measures(three, ["time in zone"]).first().test == "Friedman"
     with pytest.raises(ValueError):
         advanced.subject_levels(bare)
+
+
+# --- discs and smoothed maps ----------------------------------------------------------------------------------------
+
+
+def inside(px, py, polygon):
+    odd = np.zeros(px.shape, bool)
+    for (ax, ay), (bx, by) in zip(polygon, polygon[1:] + polygon[:1]):
+        if ay != by:
+            odd ^= ((ay > py) != (by > py)) & (px < ax + (py - ay) * (bx - ax) / (by - ay))
+    return odd
+
+
+def test_disc_fractions_against_a_fine_grid(spark):
+    rng = np.random.default_rng(3)
+    polygons = [[(0.0, 0.0), (40.0, 0.0), (40.0, 30.0), (0.0, 30.0)], [(0.0, 0.0), (30.0, 5.0), (12.0, 12.0), (25.0, 40.0), (-10.0, 20.0)], [(5.0, 5.0), (5.0, 25.0), (45.0, 5.0)]]
+    places = [(float(x), float(y)) for x, y in rng.uniform(-15, 55, (40, 2))] + [(0.0, 0.0), (20.0, 15.0), (40.0, 30.0), (20.0, 0.0), (300.0, 300.0)]
+    zones = spark.createDataFrame([(i, f"z{i}", p) for i, p in enumerate(polygons)], "place int, zone string, polygon array<struct<x:double,y:double>>")
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)] + [(99, None, 1.0), (98, math.nan, 1.0)], "frame int, x double, y double")
+    got = {(r.frame, r.zone): r.fraction for r in geometry.disc_fractions(df, zones, 9.6).collect()}
+    step = np.linspace(-10, 10, 801)
+    gx, gy = np.meshgrid(step, step)
+    disc = gx**2 + gy**2 <= 100
+    for i, (x, y) in enumerate(places):
+        for k, polygon in enumerate(polygons):
+            want = inside(gx[disc] + x, gy[disc] + y, polygon).mean()
+            assert abs(got[i, f"z{k}"] - want) < 4e-3, (x, y, k)
+    assert got[99, "z0"] is None and got[98, "z1"] is None and got[len(places) - 1, "z0"] < 1e-12
+    areas = [r[0] for r in zones.select(geometry.polygon_area(F.col("polygon"))).collect()]
+    assert areas[0] == 1200 and areas[2] == 400
+    assert [r.zone for r in geometry.body_zones(zones, 10.0).collect()] == ["z0", "z1", "z2"] and [r.zone for r in geometry.body_zones(zones, 15.0).collect()] == ["z0"]
+
+
+def test_shares_of_hidden_and_lost_frames(spark):
+    zones = spark.createDataFrame([(0, "Dark", [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)]), (1, "Light", [(50.0, 0.0), (100.0, 0.0), (100.0, 50.0), (50.0, 50.0)]), (2, "Slit", [(0.0, 0.0), (9.0, 0.0), (9.0, 2.0), (0.0, 2.0)])], "place int, zone string, polygon array<struct<x:double,y:double>>")
+    rows = [(1, 0, 0.0, 50.0, 25.0, "Tracked", None), (1, 1, 1.0, 50.0, 25.0, "Hidden", "Dark"), (1, 2, 2.0, 50.0, 25.0, "Hidden", None), (1, 3, 3.0, None, None, "Lost", None)]
+    df = spark.createDataFrame(rows, "session int, frame int, time_s double, x double, y double, status string, hidden_zone string")
+    shares = geometry.body_shares(df, zones, 10.0)
+    assert {(r.frame, r.zone): r.share if r.share is None else round(r.share, 9) for r in shares.collect()} == {
+        (0, "Dark"): 0.5, (0, "Light"): 0.5, (1, "Dark"): 1.0, (1, "Light"): 0.0, (2, "Dark"): None, (2, "Light"): None, (3, "Dark"): None, (3, "Light"): None
+    }
+    assert [tuple(r) for r in geometry.covered_zones(shares).collect()] == [(1, "Dark")]
+
+
+@pytest.mark.parametrize("bins,sigma", [(12, 1.2), (3, 1.2), (2, 3.0), (7, 0.4)])
+def test_smoothed_counts_against_a_mirrored_grid(spark, bins, sigma):
+    rng = np.random.default_rng(bins)
+    grid = rng.integers(0, 5, (bins, bins)) * (rng.random((bins, bins)) < 0.5)
+    grid[0, 0] = 3
+    reach = int(4 * sigma + 0.5)
+    k = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * sigma**2))
+    want = np.pad(grid.astype(float), reach, mode="symmetric")
+    for axis in (0, 1):
+        want = np.apply_along_axis(lambda v: np.convolve(v, k / k.sum(), "valid"), axis, want)
+    cells = spark.createDataFrame([(i, j, int(grid[i, j])) for i in range(bins) for j in range(bins) if grid[i, j]], "bin_x long, bin_y long, frames long")
+    got = np.zeros((bins, bins))
+    for r in geometry.smoothed_counts(cells, bins, sigma).collect():
+        got[r.bin_x, r.bin_y] = r.heat
+        assert math.isclose(r.share, r.heat / want.max(), rel_tol=1e-9)
+    assert np.allclose(got, want)
+    assert geometry.smoothed_counts(cells.limit(0), bins, sigma).count() == 0

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vivarium.operators import advanced as adv
+from vivarium.operators import geometry as geo
 from vivarium.operators import identities as ids
-from vivarium.plans.catalogue import FPS, MIN_FRAMES, ORACLES, T, query, rounded, with_
+from vivarium.operators import trajectory as tr
+from vivarium.plans.catalogue import FPS, MIN_FRAMES, ORACLES, T, Z, query, rounded, with_
 from vivarium.plans.tracks import _tracks
 from vivarium.sources import tables as tb
 
@@ -67,3 +69,46 @@ def litter_effects(spark: SparkSession, d: str) -> DataFrame:
 def group_results(spark: SparkSession, d: str) -> DataFrame:
     """Two segments compared, with the bootstrap interval of the effect; compared with a loop in the tests."""
     return rounded(adv.between_groups(_design(spark, d).filter("Group IN ('BUILDING', 'MACHINERY')"), ["price"]))
+
+
+# --- discs and smoothed maps ----------------------------------------------------------------------------------------
+
+#: The signed area, within a disc of radius 20, of the triangle of the centre and the side from a to b.
+DISC = """dc AS (SELECT t.*, place, zone, unnest([{'ax': x0, 'ay': y0, 'ex': x1, 'ey': y0}, {'ax': x1, 'ay': y0, 'ex': x1, 'ey': y1}, {'ax': x1, 'ay': y1, 'ex': x0, 'ey': y1}, {'ax': x0, 'ay': y1, 'ex': x0, 'ey': y0}]) AS s FROM t, z),
+d1 AS (SELECT session, frame, status, place, zone, x, s.ax - x AS ax, s.ay - y AS ay, s.ex - x AS ex, s.ey - y AS ey FROM dc),
+d2 AS (SELECT *, (ex - ax) ** 2 + (ey - ay) ** 2 AS qa, ax * (ex - ax) + ay * (ey - ay) AS qb, ax ** 2 + ay ** 2 - 400 AS qc FROM d1),
+d3 AS (SELECT *, qb ** 2 - qa * qc AS root, least(greatest((-qb - sqrt(greatest(qb ** 2 - qa * qc, 0))) / qa, 0), 1) AS u, least(greatest((-qb + sqrt(greatest(qb ** 2 - qa * qc, 0))) / qa, 0), 1) AS v FROM d2),
+d4 AS (SELECT *, ax + u * (ex - ax) AS px, ay + u * (ey - ay) AS py, ax + v * (ex - ax) AS qx, ay + v * (ey - ay) AS qy FROM d3),
+d5 AS (SELECT *, CASE WHEN root > 0 AND u < v THEN 200 * atan2(ax * py - ay * px, ax * px + ay * py) + (px * qy - py * qx) / 2 + 200 * atan2(qx * ey - qy * ex, qx * ex + qy * ey) ELSE 200 * atan2(ax * ey - ay * ex, ax * ex + ay * ey) END AS part FROM d4),
+df AS (SELECT session, frame, any_value(status) AS status, place, zone, CASE WHEN any_value(x) IS NOT NULL THEN least(abs(sum(part)) / (pi() * 400), 1) END AS fraction FROM d5 GROUP BY session, frame, place, zone)"""
+
+
+@query(with_(T, Z, DISC) + "SELECT session, frame, zone, round(fraction, 6) + 0 AS fraction FROM df")
+def disc_fractions(spark: SparkSession, d: str) -> DataFrame:
+    found = geo.disc_fractions(tb.trajectory(spark, d), tb.zones(spark), tb.BODY)
+    return rounded(found.select("session", "frame", "zone", "fraction")).withColumn("fraction", F.col("fraction") + 0)
+
+
+@query(
+    with_(T, Z, DISC)
+    + "SELECT session, frame, zone, round(CASE status WHEN 'Tracked' THEN fraction WHEN 'Hidden' THEN (zone = 'Center')::INT END, 6) + 0 AS share FROM df"
+)
+def body_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden frames are taken to be hidden in the centre."""
+    rows = tb.trajectory(spark, d).withColumn("hidden_zone", F.when(F.col("status") == "Hidden", "Center"))
+    found = geo.body_shares(rows, tb.zones(spark), tb.BODY)
+    return rounded(found.select("session", "frame", "zone", "share")).withColumn("share", F.col("share") + 0)
+
+
+@query(
+    with_(T)
+    + """, hc AS (SELECT least(floor(x / 500 * 50), 49)::BIGINT AS i, least(floor(y / 100 * 50), 49)::BIGINT AS j, count(*) AS n FROM t WHERE x IS NOT NULL GROUP BY ALL),
+kr AS (SELECT k, exp(-k * k / 2.88) / (SELECT sum(exp(-r * r / 2.88)) FROM range(-5, 6) q(r)) AS w FROM range(-5, 6) s(k)),
+im AS (SELECT i, m, CASE WHEN m < 0 THEN -1 - m WHEN m > 49 THEN 99 - m ELSE m END AS back FROM (SELECT i, i + k AS m FROM range(0, 50) t(i), range(-5, 6) s(k))),
+hx AS (SELECT im.i, j, sum(n * w) AS h FROM im JOIN kr ON kr.k = m - im.i JOIN hc ON hc.i = back GROUP BY ALL),
+hy AS (SELECT hx.i AS bin_x, im.i AS bin_y, sum(h * w) AS heat FROM im JOIN kr ON kr.k = m - im.i JOIN hx ON hx.j = back GROUP BY ALL)
+SELECT bin_x, bin_y, round(heat, 6) AS heat, round(heat / (SELECT max(heat) FROM hy), 6) AS share FROM hy"""
+)
+def smoothed_heat_map(spark: SparkSession, d: str) -> DataFrame:
+    cells = tr.heat_map(tb.trajectory(spark, d), tb.WIDTH, tb.HEIGHT)
+    return rounded(geo.smoothed_counts(cells, 50))
