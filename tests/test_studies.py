@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vivarium.operators import advanced, animals, comparison, geometry, identities, mixed, resampling, statistics
+from vivarium.operators import advanced, animals, comparison, geometry, glossary, identities, mixed, resampling, statistics
 from vivarium.operators.assignment import least_cost
 
 
@@ -360,3 +360,36 @@ def test_smoothed_counts_against_a_mirrored_grid(spark, bins, sigma):
         assert math.isclose(r.share, r.heat / want.max(), rel_tol=1e-9)
     assert np.allclose(got, want)
     assert geometry.smoothed_counts(cells.limit(0), bins, sigma).count() == 0
+
+
+# --- names of measures ----------------------------------------------------------------------------------------------
+
+
+def described(spark, names, test=None):
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "measure string, seq int")
+    return {r.measure: r for r in glossary.describe(df, test).collect()}
+
+
+def test_zones_told_by_names(spark):
+    names = ["Arm_time_s", "Arm_percent", "Arm_A_time_s", "Arm_A_percent", "Arm_A_entries", "Arm_entries", "Arm_latency_s", "Light_time_s", "Thigmotaxis_border_time_s", "Thigmotaxis_border_percent", "Arm_A_latency_s", "Lone_time_s", "A_time_s_time_s", "A_time_s_percent"]
+    got = described(spark, names)
+    of = {n: (r.zone, r.field) for n, r in got.items()}
+    assert of["Arm_A_entries"] == ("Arm_A", "entries") and of["Arm_entries"] == ("Arm", "entries") and of["Arm_latency_s"] == ("Arm", "latency_s")
+    assert of["Lone_time_s"] == (None, None) and of["Thigmotaxis_border_time_s"] == (None, None) and of["A_time_s_time_s"] == ("A_time_s", "time_s") and of["A_time_s_percent"] == ("A_time_s", "percent")
+    assert got["Light_time_s"].label == "Time in light (s)" and got["Light_time_s"].zone is None and got["Lone_time_s"].label == "Lone time (s)"
+    times = sorted((r.place, n) for n, r in got.items() if r.sheet == "time")
+    assert [n for _, n in times] == ["Arm_time_s", "Arm_A_time_s", "A_time_s_time_s", "Arm_percent", "Arm_A_percent", "A_time_s_percent", "Light_time_s"]
+    assert got["Arm_A_latency_s"].sheet == "distance" and got["Arm_A_entries"].label == "Arm A – entries"
+
+
+def test_families_of_names(spark):
+    names = ["Trans_None_to_A", "Trans_A_to_B_c", "Trans_A_to_None", "North_arm_entries", "South_arm_entries", "South_time_s", "South_percent", "South_entries", "Cup_exploration_s", "Preference_index_A_vs_B_1", "Discrimination_ratio_A_vs_B", "Anxiety_index", "My_value_cm", "plain", "Total_transitions"]
+    got = described(spark, names, "epm")
+    assert got["Trans_None_to_A"].label == "(start / outside the zones) → A" and got["Trans_None_to_A"].sheet is None and got["Trans_A_to_None"].place is None
+    assert got["Trans_A_to_B_c"].label == "A → B c" and got["Trans_A_to_B_c"].sheet == "entries"
+    assert got["South_arm_entries"].sheet is None and got["North_arm_entries"].sheet == "entries" and got["North_arm_entries"].label == "North arm entries"
+    assert got["Cup_exploration_s"].label == "Cup exploration (s)" and got["Cup_exploration_s"].sheet == "time"
+    assert got["Preference_index_A_vs_B_1"].formula == "(A time - B 1 time) / (sum of both)" and got["Discrimination_ratio_A_vs_B"].formula == "A / (A + B)"
+    assert "open arms" in got["Anxiety_index"].formula and "exposed" in described(spark, ["Anxiety_index"])["Anxiety_index"].formula
+    assert (got["My_value_cm"].label, got["My_value_cm"].sheet, got["plain"].meaning) == ("My value (cm)", "other", "")
+    assert described(spark, []) == {}

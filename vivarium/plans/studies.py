@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vivarium.operators import advanced as adv
 from vivarium.operators import geometry as geo
+from vivarium.operators import glossary as gl
 from vivarium.operators import identities as ids
 from vivarium.operators import trajectory as tr
+from vivarium.operators import zones as zn
 from vivarium.plans.catalogue import FPS, MIN_FRAMES, ORACLES, T, Z, query, rounded, with_
 from vivarium.plans.tracks import _tracks
 from vivarium.sources import tables as tb
@@ -112,3 +114,25 @@ SELECT bin_x, bin_y, round(heat, 6) AS heat, round(heat / (SELECT max(heat) FROM
 def smoothed_heat_map(spark: SparkSession, d: str) -> DataFrame:
     cells = tr.heat_map(tb.trajectory(spark, d), tb.WIDTH, tb.HEIGHT)
     return rounded(geo.smoothed_counts(cells, 50))
+
+
+# --- names of measures ----------------------------------------------------------------------------------------------
+
+
+@query(
+    with_(Z, "f(field, i, sheet, label, meaning, formula) AS (VALUES " + ", ".join(f"('{a}', {i}, '{b}', '{c}', '{e}', '{g}')" for i, (a, b, c, e, g) in enumerate(gl.FIELDS)) + ")")
+    + ", mv AS (SELECT from_zone AS a, to_zone AS b FROM (" + ORACLES["transitions_from_to"] + """)),
+al AS (SELECT replace(zone, ' ', '_') || '_' || field AS measure, replace(zone, ' ', '_') AS zone, field, sheet, zone || ' – ' || label AS label, CASE WHEN zone = 'Center' AND field = 'time_s' THEN 'Seconds in the centre.' ELSE meaning END AS meaning, formula, 0 AS block, i, place AS j FROM z, f
+ UNION ALL SELECT 'Trans_' || replace(a, ' ', '_') || '_to_' || replace(b, ' ', '_'), NULL, NULL, 'entries', a || ' → ' || b, 'Moves from the first zone straight into the second.', 'moves counted', 2, 0, row_number() OVER (ORDER BY a, b) FROM mv)
+SELECT measure, zone, field, sheet, row_number() OVER (PARTITION BY sheet ORDER BY CASE WHEN field = 'latency_s' THEN 1 ELSE block END, i, j, measure) AS place, label, meaning, formula FROM al"""
+)
+def measure_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names that a wide report of zones and moves between them has."""
+    zone = F.regexp_replace("zone", " ", "_")
+    fields = F.explode(F.array(*(F.lit(f) for f, *_ in gl.FIELDS))).alias("field")
+    table = zn.zone_flags(tb.trajectory(spark, d), tb.zones(spark)).groupBy("zone").agg(F.min("place").alias("seq"))
+    of_zones = table.select(zone.alias("zone"), "seq", fields).select(F.concat_ws("_", "zone", "field").alias("measure"), F.col("seq").cast("long").alias("seq"))
+    moved = zn.transition_counts(zn.moves(zn.labelled(zn.zone_flags(tb.trajectory(spark, d), tb.zones(spark))), MIN_FRAMES)).select("from_zone", "to_zone")
+    name = F.regexp_replace(F.concat(F.lit("Trans_"), "from_zone", F.lit("_to_"), "to_zone"), " ", "_")
+    numbered = moved.select(name.alias("measure"), (100 + F.row_number().over(Window.orderBy("from_zone", "to_zone"))).cast("long").alias("seq"))  # pairs of zones
+    return gl.describe(of_zones.unionByName(numbered)).withColumn("place", F.col("place").cast("long"))
