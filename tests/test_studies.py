@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vivarium.operators import advanced, animals, comparison, geometry, glossary, identities, mixed, resampling, statistics
+from vivarium.operators import advanced, animals, classifier, comparison, geometry, glossary, identities, mixed, resampling, statistics
 from vivarium.operators.assignment import least_cost
 
 
@@ -393,3 +393,37 @@ def test_families_of_names(spark):
     assert "open arms" in got["Anxiety_index"].formula and "exposed" in described(spark, ["Anxiety_index"])["Anxiety_index"].formula
     assert (got["My_value_cm"].label, got["My_value_cm"].sheet, got["plain"].meaning) == ("My value (cm)", "other", "")
     assert described(spark, []) == {}
+
+
+# --- classifiers ----------------------------------------------------------------------------------------------------
+
+
+def test_balanced_draw_does_not_depend_on_layout(spark):
+    df = spark.range(30_000).select((F.col("id") % 7).alias("session"), F.col("id").alias("frame"), (F.col("id") % 10 == 0).alias("truth"))
+    got = classifier.drawn(df, "truth", 1000).collect()
+    assert sum(r.truth for r in got) == 500 == sum(not r.truth for r in got)
+    again = classifier.drawn(df.repartition(9, "frame"), "truth", 1000).collect()
+    assert {r.frame for r in got} == {r.frame for r in again}
+    few = classifier.drawn(df.filter("frame < 40"), "truth", 1000)
+    assert few.count() == 40 and classifier.drawn(df.limit(0), "truth").count() == 0
+
+
+def test_fits_do_not_grow_with_sessions(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(s, f, [float(f % 2 + rng.normal(0, 0.3)), float(rng.normal())], f % 2 == 1) for s in range(40) for f in range(12)]
+    df = spark.createDataFrame(rows, "session int, frame int, features array<double>, truth boolean")
+    folds = {}
+    for r in classifier.with_folds(df, 10.0).select("session", "fold").distinct().collect():
+        folds.setdefault(r.fold, []).append(r.session)
+    assert sorted(folds) == list("01234") and {len(v) for v in folds.values()} == {8}
+    fits, train = [], classifier.train
+    monkeypatch.setattr(classifier, "train", lambda *a, **k: fits.append(1) or train(*a, **k))
+    found = classifier.cross_validate(df, "truth", 10.0, trees=5).first()
+    assert len(fits) == 5 == found.folds and found.f1 > 0.9
+
+
+def test_behaviours_by_session(spark):
+    bouts = spark.createDataFrame([(1, "rear", 2.0, 3.5), (1, "rear", 5.0, 5.5), (2, "groom", 1.25, 2.0)], "session int, behaviour string, start double, stop double")
+    sessions = spark.createDataFrame([(1, 1.0, 10.0), (2, 0.0, 0.0), (3, 0.0, 4.0)], "session int, begin double, length double")
+    got = {(r.session, r.behaviour): tuple(r)[2:] for r in classifier.behaviour_summary(bouts, sessions, ["rear", "groom"]).collect()}
+    assert got[1, "rear"] == (10.0, 2.0, 20.0, 2, 1.0) and got[3, "groom"] == (4.0, 0.0, 0.0, 0, None) and got[2, "groom"][3:] == (1, 1.25) and len(got) == 6

@@ -7,13 +7,15 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vivarium.operators.statistics import binary_scores
 
-#: Frames within so many seconds of a tested block aren't trained on; blocks; rows of each class that a fold needs.
+#: Frames within so many seconds of a tested block aren't trained on; folds; rows of each class that a fold needs.
 GUARD_S, BLOCKS, LEAST = 3.0, 5, 5
+#: A forest is grown on at most so many rows, half of them (20,000) of either class.
+DRAWN = 40_000
 #: Frames of a behaviour below which it gets no model.
 FEWEST = 10
 
@@ -25,9 +27,25 @@ def weighted(df: DataFrame, truth: str) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(truth), F.lit(n["n"] / (2 * yes))).otherwise(n["n"] / (2 * no)))
 
 
-def train(df: DataFrame, truth: str, trees: int = 40, depth: int = 10, leaf: int = 15, seed: int = 3) -> RandomForestClassificationModel:
-    """A forest on `features` (array<double>) for the flag `truth`."""
-    rows = weighted(df.filter(F.col(truth).isNotNull()), truth).select(array_to_vector("features").alias("vector"), F.col(truth).cast("double").alias("label"), "weight")
+def drawn(df: DataFrame, truth: str, most: int = DRAWN, seed: int = 3) -> DataFrame:
+    """At most half of `most` rows of each class of df: those of the least hash of session and frame, however df is dealt.
+
+    Hashes below a share that leaves a little more than enough are kept first, so that only about `most` rows are ranked.
+    """
+    half = most // 2
+    n = df.groupBy(F.col(truth).alias("__class")).count().collect()  # two rows
+    span = 1 << 40
+    share = {bool(r["__class"]): (half + 8 * half**0.5 + 100) / r["count"] for r in n}
+    below = F.when(F.col(truth), F.lit(int(min(1.0, share.get(True, 1.0)) * span))).otherwise(F.lit(int(min(1.0, share.get(False, 1.0)) * span)))
+    rows = df.withColumn("__hash", F.pmod(F.xxhash64(F.lit(seed), "session", "frame"), F.lit(span))).filter(F.col("__hash") < below)
+    place = F.row_number().over(Window.partitionBy(truth).orderBy("__hash", "session", "frame"))  # about `most` rows
+    return rows.withColumn("__place", place).filter(F.col("__place") <= half).drop("__hash", "__place")
+
+
+def train(df: DataFrame, truth: str, trees: int = 40, depth: int = 10, leaf: int = 15, seed: int = 3, most: int = DRAWN) -> RandomForestClassificationModel:
+    """A forest on `features` (array<double>) for the flag `truth`, of a balanced draw of at most `most` rows by session and frame."""
+    known = drawn(df.filter(F.col(truth).isNotNull()), truth, most, seed)
+    rows = weighted(known, truth).select(array_to_vector("features").alias("vector"), F.col(truth).cast("double").alias("label"), "weight")
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, maxBins=33, featureSubsetStrategy="sqrt", seed=seed)
     return forest.fit(rows)
 
@@ -38,12 +56,25 @@ def predict(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
     return out.withColumn("p", vector_to_array("__probability")[1]).drop("vector", "__probability")
 
 
+def dealt(df: DataFrame, folds: int) -> DataFrame:
+    """(session, fold): sessions in the order of their hashes, dealt one after the other to so many folds.
+
+    They are numbered within 64 parts of the hashes' range, and the parts' sizes are added up.
+    """
+    hashed = df.select("session").distinct().withColumn("h", F.xxhash64("session")).withColumn("part", F.pmod("h", F.lit(64)))
+    sizes = hashed.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 64 rows
+    starts = sizes.select("part", before.alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("h", "session")) - 1
+    return hashed.join(F.broadcast(starts), "part").select("session", F.pmod(place, F.lit(folds)).cast("string").alias("fold"))
+
+
 def with_folds(df: DataFrame, fps: float, blocks: int = BLOCKS) -> DataFrame:
-    """Adds `fold` and `guards`: left-out sessions, or for one session blocks of frames with guards around them."""
+    """Adds `fold` and `guards`: whole sessions in at most so many folds, or for one session blocks of frames with guards around them."""
     ends = df.agg(F.count_distinct("session").alias("sessions"), F.min("frame").alias("a"), F.max("frame").alias("z")).first()
     none = F.array().cast("array<int>")
     if ends["sessions"] != 1:
-        return df.withColumn("fold", F.col("session").cast("string")).withColumn("guards", none.cast("array<string>"))
+        return df.join(dealt(df, blocks), "session").withColumn("guards", none.cast("array<string>"))
     width = (ends["z"] - ends["a"] + 1) / blocks
     of = lambda c: F.least(F.greatest(F.floor((c - ends["a"]) / width), F.lit(0)), F.lit(blocks - 1)).cast("int")
     gap = round(GUARD_S * fps)
@@ -51,25 +82,34 @@ def with_folds(df: DataFrame, fps: float, blocks: int = BLOCKS) -> DataFrame:
     return df.withColumn("fold", of(F.col("frame")).cast("string")).withColumn("guards", near)
 
 
-def cross_validate(df: DataFrame, truth: str, fps: float, trees: int = 20, level: float = 0.5) -> DataFrame:
+def cross_validate(df: DataFrame, truth: str, fps: float, trees: int = 20, level: float = 0.5, blocks: int = BLOCKS) -> DataFrame:
     """Scores over all tested folds of (session, frame, features, truth): precision, recall, f1, agreement, kappa, folds.
 
-    Folds that leave fewer than LEAST rows of a class for training are left out; without any fold all scores are null.
+    There are at most `blocks` folds and forests, however many sessions. Folds that leave fewer than LEAST rows of a class for
+    training are left out; without any fold all scores are null.
     """
-    rows = with_folds(df, fps)
-    per = rows.groupBy("fold").agg(F.count("*").alias("n")).collect()  # a row for each session or block
-    tested = None
-    folds = 0
-    for r in per:
-        rest = rows.filter((F.col("fold") != r["fold"]) & ~F.array_contains("guards", F.lit(r["fold"])))
-        n = rest.agg(F.count(F.when(F.col(truth), 1)).alias("yes"), F.count(F.when(~F.col(truth), 1)).alias("no")).first()
-        if n["yes"] < LEAST or n["no"] < LEAST:
-            continue
-        found = predict(train(rest, truth, trees), rows.filter(F.col("fold") == r["fold"])).select(truth, "p")
-        tested, folds = found if tested is None else tested.unionByName(found), folds + 1
-    if tested is None:
-        tested = rows.filter(F.lit(False)).select(truth, F.lit(0.0).alias("p"))
-    return binary_scores(tested, F.col(truth), F.col("p") >= level).withColumn("folds", F.lit(folds))
+    rows = with_folds(df, fps, blocks).persist()
+    names = [str(k) for k in range(blocks)]
+    rest = {k: (F.col("fold") != k) & ~F.array_contains("guards", F.lit(k)) for k in names}
+    n = rows.agg(*(F.count(F.when(c & (F.col(truth) == v), 1)).alias(f"{k}{v}") for k, c in rest.items() for v in (True, False)), *(F.count(F.when(F.col("fold") == k, 1)).alias(k) for k in names)).first()
+    used = [k for k in names if n[k] and n[f"{k}True"] >= LEAST and n[f"{k}False"] >= LEAST]
+    tested = rows.filter(F.lit(False)).select(truth, F.lit(0.0).alias("p"))
+    for k in used:  # a forest each
+        tested = tested.unionByName(predict(train(rows.filter(rest[k]), truth, trees), rows.filter(F.col("fold") == k)).select(truth, "p"))
+    return binary_scores(tested, F.col(truth), F.col("p") >= level).withColumn("folds", F.lit(len(used)))
+
+
+def behaviour_summary(bouts: DataFrame, sessions: DataFrame, behaviours: list[str]) -> DataFrame:
+    """A row for each session and behaviour: analysed_s, time_s, percent, bouts and latency_s, from (session, behaviour, start, stop)
+    and (session, begin, length), all in seconds. Sessions without bouts have zeros and no latency."""
+    each = sessions.withColumn("behaviour", F.explode(F.array(*(F.lit(b) for b in behaviours))))
+    sums = bouts.groupBy("session", "behaviour").agg(F.sum(F.col("stop") - F.col("start")).alias("time"), F.count("*").alias("n"), F.min("start").alias("first"))
+    rows = each.join(sums, ["session", "behaviour"], "left")
+    time = F.coalesce("time", F.lit(0.0))
+    return rows.select(
+        "session", "behaviour", F.round("length", 1).alias("analysed_s"), F.round(time, 2).alias("time_s"), F.round(100 * time / F.greatest(F.col("length"), F.lit(1e-9)), 2).alias("percent"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("bouts"), F.round(F.col("first") - F.col("begin"), 2).alias("latency_s"),
+    )
 
 
 def important(model: RandomForestClassificationModel, names: list[str], n: int = 5) -> list[tuple[str, float]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vivarium.operators import advanced as adv
+from vivarium.operators import classifier as cl
 from vivarium.operators import geometry as geo
 from vivarium.operators import glossary as gl
 from vivarium.operators import identities as ids
@@ -136,3 +137,26 @@ def measure_names(spark: SparkSession, d: str) -> DataFrame:
     name = F.regexp_replace(F.concat(F.lit("Trans_"), "from_zone", F.lit("_to_"), "to_zone"), " ", "_")
     numbered = moved.select(name.alias("measure"), (100 + F.row_number().over(Window.orderBy("from_zone", "to_zone"))).cast("long").alias("seq"))  # pairs of zones
     return gl.describe(of_zones.unionByName(numbered)).withColumn("place", F.col("place").cast("long"))
+
+
+# --- behaviours by session ------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH bo AS ("
+    + ORACLES["zone_visits"]
+    + "), "
+    + T
+    + ", "
+    + Z
+    + """, se AS (SELECT session, min(time_s) AS a, count(*) / 1.0 AS n FROM t GROUP BY session),
+su AS (SELECT session, zone, sum(stop - start) AS s, count(*) AS k, min(start) AS f FROM bo GROUP BY ALL)
+SELECT se.session, z.zone AS behaviour, round(se.n, 1) AS analysed_s, round(coalesce(s, 0), 2) AS time_s, round(100 * coalesce(s, 0) / se.n, 2) AS percent, coalesce(k, 0) AS bouts, round(f - a, 2) AS latency_s
+FROM se CROSS JOIN z LEFT JOIN su ON su.session = se.session AND su.zone = z.zone"""
+)
+def behaviour_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Visits of zones as bouts of behaviours."""
+    df = tb.trajectory(spark, d)
+    bouts = zn.zone_visits(zn.zone_flags(df, tb.zones(spark)), MIN_FRAMES, FPS).withColumnRenamed("zone", "behaviour")
+    sessions = df.groupBy("session").agg(F.min("time_s").alias("begin"), (F.count("*") / FPS).alias("length"))
+    return cl.behaviour_summary(bouts, sessions, [n for n, *_ in tb.ZONES])
