@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vivarium.operators import advanced, animals, classifier, comparison, geometry, glossary, identities, mixed, resampling, statistics
 from vivarium.operators.assignment import least_cost
+from vivarium.streaming import delayed, sessions
 
 
 def every_order(cost):
@@ -427,3 +429,83 @@ def test_behaviours_by_session(spark):
     sessions = spark.createDataFrame([(1, 1.0, 10.0), (2, 0.0, 0.0), (3, 0.0, 4.0)], "session int, begin double, length double")
     got = {(r.session, r.behaviour): tuple(r)[2:] for r in classifier.behaviour_summary(bouts, sessions, ["rear", "groom"]).collect()}
     assert got[1, "rear"] == (10.0, 2.0, 20.0, 2, 1.0) and got[3, "groom"] == (4.0, 0.0, 0.0, 0, None) and got[2, "groom"][3:] == (1, 1.25) and len(got) == 6
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+LIVE = "session long, frame long, time_s double, x double, y double, zone string, command string"
+
+
+def live_rows(n, session, start=0):
+    return [(session, f, f * 0.5, float(f * 10), 0.0, "AB"[f // 4 % 2], None) for f in range(start, n)]
+
+
+def test_sessions_with_timers_and_stop_rules(spark, tmp_path):
+    sessions.use_rocksdb(spark)
+    steps = [
+        live_rows(6, 1) + live_rows(3, 2),
+        live_rows(10, 1, 5) + [(2, 3, 1.5, None, None, None, "stop")] + [(3, f, float(f), float(f), 0.0, "A", None) for f in range(30)],  # frame 5 of 1 comes twice
+        [(2, 9, 9.0, 1.0, 1.0, "A", None)] + live_rows(2, 4),
+    ]
+    for rows in steps:  # a batch each, in the order of writing
+        spark.createDataFrame(rows, LIVE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LIVE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rules = sessions.StopRules(seconds=20.0, zone="A", entries=1, together=True)
+    seen = []
+    out = sessions.live_sessions(stream, 5.0, 8.0, rules)
+    q = out.writeStream.foreachBatch(lambda b, i: seen.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).start()
+    ends = {(1, "expired"), (2, "gone"), (3, "gone"), (4, "expired")}
+    deadline = time.time() + 60
+    while time.time() < deadline and not ends <= {(r.session, r.phase) for r in seen} and q.isActive:
+        time.sleep(0.5)
+    time.sleep(1)
+    q.stop()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = {(r.session, r.phase, r.zone): r for r in seen}
+    one = last[1, "expired", "A"]
+    assert (one.frames, one.late, one.entries, one.distance) == (10, 1, 2, 90.0) and last[1, "expired", "B"].seconds == 2.0 and one.seconds == 2.5
+    assert last[2, "stopped", "A"].frames == 3 and last[2, "gone", None].late == 1
+    stopped = last[3, "stopped", "A"]
+    assert stopped.frames == 21 and stopped.seconds == 20.0 and last[3, "gone", None].late == 9
+    for name in ("walk", "ended"):
+        assert spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "ck")).count() == 0
+
+
+def test_delayed_tracker_with_replayed_batches(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for s in (1, 2):
+        x = y = 50.0
+        for f in range(100 + 30 * s):
+            x, y = min(99.0, max(1.0, x + rng.uniform(-9, 9))), min(99.0, max(1.0, y + rng.uniform(-9, 9)))
+            lost = rng.random() < 0.1
+            rows.append((s, f, f / 10, None if lost else x, None if lost else y, "Lost" if lost else "Tracked"))
+    places = spark.createDataFrame([(0, "Left", [(0.0, 0.0), (50.0, 0.0), (50.0, 100.0), (0.0, 100.0)]), (1, "Right", [(50.0, 0.0), (100.0, 0.0), (100.0, 100.0), (50.0, 100.0)])], "place int, zone string, polygon array<struct<x:double,y:double>>")
+    analysis = delayed.Analysis(places, 10.0)
+    tracker = delayed.DelayedTracker(str(tmp_path / "live"), analysis, 10.0, piece_s=2.0, pause=0.0)
+    df = spark.createDataFrame(rows, delayed.FRAMES)
+    key = lambda d: sorted((r.session, r.zone, r.entries, *(round(v, 6) for v in (r.time_s, r.percent, r.distance, r.tracked))) for r in d.collect())
+    parts = [df.filter(F.col("frame").between(a, a + 39)) for a in (0, 40, 80, 120)]
+    for i in (0, 1, 1, 0, 2, 3, 3):  # batches that run again
+        tracker.keep(parts[i], i)
+    tracker.keep(parts[2].filter("frame < 90"), 4)  # frames that come again
+    assert key(tracker.final(spark)) == key(analysis(df))
+    assert tracker.frames(spark).count() == len(rows)
+    want = analysis(df.filter("(session = 1 AND frame < 120) OR (session = 2 AND frame < 140)"))  # the last frame begins no whole piece
+    assert key(tracker.numbers(spark)) == key(want)
+    assert key(spark.read.parquet(str(tmp_path / "live/numbers")).filter("batch = 4")) == key(want)
+    assert {r.session: (r.recorded_s, r.processed_s, round(r.remaining_s, 6)) for r in tracker.status(spark).collect()} == {1: (13.0, 12.0, 1.0), 2: (16.0, 14.0, 2.0)}
+
+
+def test_delayed_tracker_as_a_stream(spark, tmp_path):
+    rows = [(1, f, f / 10, float(f % 60), 5.0, "Tracked") for f in range(90)]
+    places = spark.createDataFrame([(0, "Left", [(0.0, 0.0), (30.0, 0.0), (30.0, 10.0), (0.0, 10.0)])], "place int, zone string, polygon array<struct<x:double,y:double>>")
+    df = spark.createDataFrame(rows, delayed.FRAMES)
+    for part in ("frame < 30", "frame BETWEEN 30 AND 59", "frame >= 60"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    analysis = delayed.Analysis(places, 10.0)
+    tracker = delayed.DelayedTracker(str(tmp_path / "live"), analysis, 10.0, piece_s=1.0, pause=0.0)
+    stream = spark.readStream.schema(delayed.FRAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    tracker.start(stream, str(tmp_path / "ck"), availableNow=True).awaitTermination(120)
+    assert tracker.final(spark).collect() == analysis(df).collect()
+    assert sorted(r.batch for r in spark.read.parquet(str(tmp_path / "live/numbers")).select("batch").distinct().collect()) == [0, 1, 2]
