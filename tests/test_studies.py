@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vivarium.operators import advanced, animals, classifier, comparison, geometry, glossary, identities, mixed, resampling, statistics
+from vivarium.operators import advanced, animals, body, classifier, comparison, geometry, glossary, identities, mixed, resampling, statistics
 from vivarium.operators.assignment import least_cost
 from vivarium.streaming import delayed, sessions
 
@@ -509,3 +509,65 @@ def test_delayed_tracker_as_a_stream(spark, tmp_path):
     tracker.start(stream, str(tmp_path / "ck"), availableNow=True).awaitTermination(120)
     assert tracker.final(spark).collect() == analysis(df).collect()
     assert sorted(r.batch for r in spark.read.parquet(str(tmp_path / "live/numbers")).select("batch").distinct().collect()) == [0, 1, 2]
+
+
+# --- head and tail --------------------------------------------------------------------------------------------------
+
+
+def whole_path(rows, fps):
+    """The cheapest orientations of a session by one pass over all of its frames."""
+    at = [i for i, r in enumerate(rows) if r[4] is not None]
+    size = max(float(np.median([math.dist(rows[i][4:6], rows[i][6:8]) for i in at])), 4.0)
+    k, n = max(1, round(0.2 * fps)), len(rows)
+    cost, came, last = None, [], None
+    for i in at:
+        ends, lo, hi = rows[i][4:8], max(i - k, 0), min(i + k, n - 1)
+        evidence = -1.5 * rows[i][8] + 0.5 * rows[i][9]
+        if rows[lo][2] is not None and rows[hi][2] is not None:
+            v = [(rows[hi][c] - rows[lo][c]) / ((hi - lo) / fps) for c in (2, 3)]
+            along, speed = (ends[0] - ends[2], ends[1] - ends[3]), math.hypot(*v)
+            if speed > 0:
+                evidence += 1.2 * (along[0] * v[0] + along[1] * v[1]) / (math.hypot(*along) * speed) * min(1, speed / (1.5 * size))
+        own = (-evidence, evidence)
+        if cost is None:
+            cost, here = list(own), [0, 1]
+        else:
+            a, b = rows[last][4:8], ends
+            link = 2.0 / (1 + 0.5 * max(i - last - 1, 0)) / size
+            kept = link * (math.dist(a[:2], b[:2]) + math.dist(a[2:], b[2:]))
+            swapped = link * (math.dist(a[:2], b[2:]) + math.dist(a[2:], b[:2]))
+            steps = [[cost[0] + kept, cost[1] + swapped], [cost[0] + swapped, cost[1] + kept]]
+            here = [min((0, 1), key=lambda s: steps[t][s]) for t in (0, 1)]  # noqa: B023
+            cost = [min(steps[t]) + own[t] for t in (0, 1)]
+        came.append(here)
+        last = i
+    state, out = min((0, 1), key=lambda s: cost[s]), {}
+    for i, here in zip(reversed(at), reversed(came)):
+        e = rows[i][4:8]
+        out[rows[i][1]] = e if state == 0 else (*e[2:], *e[:2])
+        state = here[state]
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 10_000])
+def test_head_and_tail_by_blocks_is_that_of_the_whole_session(spark, block):
+    rng = np.random.default_rng(17)
+    rows = {}
+    for s in (1, 2):
+        centre, turn = rng.normal(0, 3, (200, 2)).cumsum(axis=0), rng.normal(0, 0.4, 200).cumsum()
+        for i in range(200):
+            half = np.array([math.cos(turn[i]), math.sin(turn[i])]) * 8 * (1 if rng.random() < 0.7 else -1)
+            a, b = centre[i] + half, centre[i] - half
+            gone = rng.random() < 0.15
+            place = (None, None) if rng.random() < 0.05 else tuple(map(float, centre[i]))
+            rows.setdefault(s, []).append((s, i, *place, *((None,) * 4 if gone else map(float, (*a, *b))), float(rng.normal(0, 0.3)), float(rng.normal())))
+    ddl = "session long, frame long, x double, y double, ax double, ay double, bx double, by double, tail_ev double, shape_ev double"
+    df = spark.createDataFrame([r for s in rows.values() for r in s], ddl)
+    got = {(r.session, r.frame): tuple(r)[2:] for r in body.head_and_tail(df, 10.0, block=block).collect()}
+    assert len(got) == 400
+    for s, listed in rows.items():
+        want = whole_path(listed, 10.0)
+        assert sum(listed[f][4:8] != e for f, e in want.items()) > 10  # some are the other way round
+        for r in listed:
+            assert got[s, r[1]] == tuple(want.get(r[1], (None,) * 4))
+    assert body.head_and_tail(df.limit(0), 10.0).count() == 0

@@ -7,12 +7,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vivarium.operators.ranks import medians
 from vivarium.operators.runs import ordered, with_runs
+from vivarium.operators.walks import along_sessions
 from vivarium.operators.zones import in_polygon
 
 KEY = ["session"]
 #: Weights of the evidence for the head (tail shape, outline, direction of walking), and of the link between frames.
 TAIL, SHAPE, WALK, LINK = -1.5, 0.5, 1.2, 2.0
+#: Frames of a session that one task traces; results don't depend on it.
+BLOCK = 10_000
 
 
 def polygon_distance(x: Column, y: Column, polygon: Column) -> Column:
@@ -54,50 +58,117 @@ def hidden_in_covered(df: DataFrame, covered: DataFrame, near: float) -> DataFra
     return sided.withColumn("hidden_zone", F.when(~seen, zone)).drop("__near", "__a", "__b", "run")
 
 
-def head_and_tail(df: DataFrame, fps: float, body_length: float | None = None) -> DataFrame:
+class Forward:
+    """Along a session's blocks: the costs of both orientations before each, from the blocks' matrices."""
+
+    def __init__(self):
+        self.cost = np.zeros(2)
+
+    def step(self, block: int, m: list[float]) -> list[tuple]:
+        before = self.cost
+        self.cost = (before[:, None] + np.array(m).reshape(2, 2)).min(axis=0)
+        return [(block, before.tolist(), m, int(self.cost.argmin()))]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+class Backward:
+    """Along the blocks from the last to the first: the orientation at the end of each."""
+
+    def __init__(self):
+        self.state: int | None = None
+
+    def step(self, block: int, before: list[float], m: list[float], best: int) -> list[tuple]:
+        state = best if self.state is None else self.state
+        self.state = int((np.array(before) + np.array(m).reshape(2, 2)[:, state]).argmin())
+        return [(block, before, state)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def _moves(pdf: pd.DataFrame) -> np.ndarray:
+    """For each frame the 2 x 2 costs of going on from an orientation to one, its own evidence with it."""
+    kept, swapped, evidence = (pdf[c].to_numpy(float) for c in ("kept", "swapped", "evidence"))
+    return np.stack([kept - evidence, swapped + evidence, swapped - evidence, kept + evidence], axis=1).reshape(-1, 2, 2)
+
+
+def _frames_with_ends(df: DataFrame, fps: float, body_length: float | None, block: int) -> DataFrame:
+    """Frames that have both ends: their places, evidence that b is the head's end, and costs of keeping or swapping since the one before."""
+    w = Window.partitionBy("session").orderBy("frame")
+    k = max(1, round(0.2 * fps))
+    rows = df.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("session"))})
+    first, last = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    low = lambda c: F.when(F.col("i") >= k, F.lag(c, k).over(w)).otherwise(F.first(c).over(first))
+    high = lambda c: F.when(F.col("i") + k < F.col("n"), F.lead(c, k).over(w)).otherwise(F.last(c).over(last))
+    seconds = F.greatest((F.least(F.col("i") + k, F.col("n") - 1) - F.greatest(F.col("i") - k, F.lit(0))) / fps, F.lit(1e-9))
+    rows = rows.withColumns({"vx": (high("x") - low("x")) / seconds, "vy": (high("y") - low("y")) / seconds})
+    ends = ("ax", "ay", "bx", "by")
+    rows = rows.dropna(subset=list(ends)).withColumn("length", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
+    if body_length is None:
+        size = medians(rows.select("session", F.col("length").alias("value")), ["session"]).select(F.col("session").alias("whose"), F.greatest("median", F.lit(4.0)).alias("size"))
+        rows = rows.join(size, F.col("session").eqNullSafe(F.col("whose"))).drop("whose")
+    else:
+        rows = rows.withColumn("size", F.lit(max(float(body_length), 4.0)))
+    speed = F.hypot("vx", "vy")
+    along = F.try_divide((F.col("ax") - F.col("bx")) * F.col("vx") + (F.col("ay") - F.col("by")) * F.col("vy"), F.col("length") * speed)
+    walk = F.coalesce(along * F.least(F.lit(1.0), speed / (1.5 * F.col("size"))), F.lit(0.0))
+    known = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    evidence = TAIL * known("tail_ev") + SHAPE * known("shape_ev") + WALK * walk
+    was = {f"p{c}": F.lag(c).over(w) for c in (*ends, "i")}
+    rows = rows.withColumn("evidence", evidence).withColumns(was).withColumn("block", F.floor((F.row_number().over(w) - 1) / block))
+    gap = lambda a, b, c, d: F.hypot(F.col(a) - F.col(f"p{c}"), F.col(b) - F.col(f"p{d}"))
+    link = LINK / (1 + 0.5 * F.greatest(F.col("i") - F.col("pi") - 1, F.lit(0))) / F.col("size")
+    kept = F.coalesce(link * (gap("ax", "ay", "ax", "ay") + gap("bx", "by", "bx", "by")), F.lit(0.0))
+    swapped = F.coalesce(link * (gap("ax", "ay", "bx", "by") + gap("bx", "by", "ax", "ay")), F.lit(0.0))
+    return rows.select("session", "block", "frame", *ends, "evidence", kept.alias("kept"), swapped.alias("swapped"))
+
+
+def head_and_tail(df: DataFrame, fps: float, body_length: float | None = None, block: int = BLOCK) -> DataFrame:
     """(session, frame, head_x, head_y, tail_x, tail_y) from frames with two ends a, b and evidence columns.
 
-    df: session, frame, x, y (centre), ax, ay, bx, by, tail_ev, shape_ev; rows without ends get nulls. The orientation
-    that costs least over a session: evidence that an end is the head, and jumps of the ends between frames in body
-    lengths (linked weaker over missing frames). A session comes to a task in one Arrow group, as the path is sequential.
-    """
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame").reset_index(drop=True)
-        ends = pdf[["ax", "ay", "bx", "by"]].to_numpy(float)
-        has = np.isfinite(ends).all(axis=1)
-        out = np.full((len(pdf), 4), np.nan)
-        at = np.flatnonzero(has)
-        if len(at):
-            e = ends[at]
-            along = e[:, :2] - e[:, 2:]
-            lengths = np.hypot(*along.T)
-            size = max(body_length or float(np.median(lengths)), 4.0)
-            k, n = max(1, round(0.2 * fps)), len(pdf)
-            low, high = np.maximum(at - k, 0), np.minimum(at + k, n - 1)
-            centre = pdf[["x", "y"]].to_numpy(float)
-            v = (centre[high] - centre[low]) / np.maximum((high - low) / fps, 1e-9)[:, None]
-            speed = np.hypot(*v.T)
-            moving = np.isfinite(speed) & (speed > 0) & (lengths > 0)
-            cos = np.where(moving, (along * np.where(moving[:, None], v, 0)).sum(axis=1) / np.where(moving, lengths * speed, 1), 0)
-            walk = cos * np.minimum(1.0, np.where(moving, speed, 0) / (1.5 * size))
-            evidence = TAIL * pdf["tail_ev"].to_numpy(float)[at] + SHAPE * pdf["shape_ev"].to_numpy(float)[at] + WALK * walk
-            own = np.stack([-evidence, evidence], axis=1)
-            kept = np.hypot(*(e[1:, :2] - e[:-1, :2]).T) + np.hypot(*(e[1:, 2:] - e[:-1, 2:]).T)
-            swapped = np.hypot(*(e[1:, :2] - e[:-1, 2:]).T) + np.hypot(*(e[1:, 2:] - e[:-1, :2]).T)
-            link = LINK / (1 + 0.5 * np.maximum(np.diff(at) - 1, 0)) / size
-            cost, came = own[0], np.zeros((len(at), 2), int)
-            for j in range(1, len(at)):
-                step = cost[None, :] + link[j - 1] * np.array([[kept[j - 1], swapped[j - 1]], [swapped[j - 1], kept[j - 1]]])
-                came[j] = step.argmin(axis=1)
-                cost = step.min(axis=1) + own[j]
-            state = int(np.argmin(cost))
-            for j in range(len(at) - 1, -1, -1):
-                out[at[j]] = e[j] if state == 0 else e[j][[2, 3, 0, 1]]
-                state = came[j, state]
-        return pd.DataFrame({"session": key[0], "frame": pdf["frame"], **{c: pd.Series(out[:, i]) for i, c in enumerate(("head_x", "head_y", "tail_x", "tail_y"))}})
+    df: session, frame, x, y (centre), ax, ay, bx, by, tail_ev, shape_ev; rows without ends get nulls, null evidence counts as none. The
+    orientation that costs least over a session: evidence that an end is the head, and jumps of the ends between frames in body
+    lengths (linked weaker over missing frames).
 
+    A block of frames is one matrix of least costs from an orientation before it to one at its end. Blocks become matrices side by
+    side; these are added up along each session, a row a block, forward for the costs before each block and
+    back for the orientation at its end; with both, blocks are traced side by side. No task holds more frames than a block.
+    """
     columns = ("session", "frame", "x", "y", "ax", "ay", "bx", "by", "tail_ev", "shape_ev")
     kind = dict(df.dtypes)["session"]
-    found = df.select(*columns).groupBy("session").applyInPandas(solve, f"session {kind}, frame long, head_x double, head_y double, tail_x double, tail_y double")
-    return found.select("session", "frame", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("head_x", "head_y", "tail_x", "tail_y")))
+    rows = df.select(*(F.col(c) if c in columns[:2] else F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns))
+    framed = _frames_with_ends(rows, fps, body_length, block).persist()
+
+    def matrix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.array([[0.0, np.inf], [np.inf, 0.0]])
+        for m in _moves(pdf.sort_values("frame")):
+            total = (total[:, :, None] + m[None, :, :]).min(axis=1)
+        return pd.DataFrame({"session": [key[0]], "block": [key[1]], "m": [total.ravel().tolist()]})
+
+    matrices = framed.groupBy("session", "block").applyInPandas(matrix, f"session {kind}, block long, m array<double>")
+    onward = along_sessions(matrices, ["block", "m"], Forward, "block long, before array<double>, m array<double>, best int", order="block")
+    back = along_sessions(onward.withColumn("turn", -F.col("block")), ["block", "before", "m", "best"], Backward, "block long, before array<double>, state int", order="turn")
+
+    def trace(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("frame")
+        moves, cost = _moves(left), np.array(right["before"].iloc[0])
+        came = np.zeros((len(left), 2), int)
+        for j, m in enumerate(moves):
+            step = cost[:, None] + m
+            came[j] = step.argmin(axis=0)
+            cost = step.min(axis=0)
+        state, states = int(right["state"].iloc[0]), np.zeros(len(left), int)
+        for j in range(len(left) - 1, -1, -1):
+            states[j] = state
+            state = came[j, state]
+        e = left[["ax", "ay", "bx", "by"]].to_numpy(float)
+        e = np.where(states[:, None] == 0, e, e[:, [2, 3, 0, 1]])
+        return pd.DataFrame({"session": key[0], "frame": left["frame"].to_numpy(), **{c: e[:, i] for i, c in enumerate(("head_x", "head_y", "tail_x", "tail_y"))}})
+
+    ddl = f"session {kind}, frame long, head_x double, head_y double, tail_x double, tail_y double"
+    solved = framed.groupBy("session", "block").cogroup(back.groupBy("session", "block")).applyInPandas(trace, ddl)
+    none = [F.lit(None).cast("double").alias(c) for c in ("head_x", "head_y", "tail_x", "tail_y")]
+    bare = rows.filter("ax IS NULL OR ay IS NULL OR bx IS NULL OR by IS NULL").select("session", F.col("frame").cast("long").alias("frame"), *none)
+    return solved.unionByName(bare)
