@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vivarium.functions import text as tx
 from vivarium.operators import advanced as adv
 from vivarium.operators import classifier as cl
+from vivarium.operators import freezing_result as fr
 from vivarium.operators import geometry as geo
 from vivarium.operators import glossary as gl
 from vivarium.operators import identities as ids
 from vivarium.operators import trajectory as tr
 from vivarium.operators import zones as zn
-from vivarium.plans.catalogue import FPS, MIN_FRAMES, ORACLES, T, Z, query, rounded, with_
+from vivarium.plans.catalogue import FPS, MIN_FRAMES, ORACLES, T, Z, _motion, query, rounded, with_
+from vivarium.plans.measures import EPOCHS, _epochs
 from vivarium.plans.tracks import _tracks
+from vivarium.sources import freezing_tables as ft
 from vivarium.sources import tables as tb
 
 # --- several animals ------------------------------------------------------------------------------------------------
@@ -160,3 +164,56 @@ def behaviour_summary(spark: SparkSession, d: str) -> DataFrame:
     bouts = zn.zone_visits(zn.zone_flags(df, tb.zones(spark)), MIN_FRAMES, FPS).withColumnRenamed("zone", "behaviour")
     sessions = df.groupBy("session").agg(F.min("time_s").alias("begin"), (F.count("*") / FPS).alias("length"))
     return cl.behaviour_summary(bouts, sessions, [n for n, *_ in tb.ZONES])
+
+
+# --- freezing as a whole --------------------------------------------------------------------------------------------
+
+
+def _analysed(spark: SparkSession, d: str) -> fr.Result:
+    rows = _motion(spark, d).withColumn("usable", F.lit(True))
+    return fr.analyse(rows, _epochs(spark, d), FPS, 80.0, 3 / FPS, 1 / FPS, 25.0, 33.2, 100.0)
+
+
+def _tidied(source: str, period: str, name: str, skip: str) -> str:
+    columns = f"* EXCLUDE ({skip})"
+    return f"""SELECT session, '{period}' AS period, {name} AS name, measure, value FROM (UNPIVOT (SELECT session, {name} AS name, COLUMNS({columns})::DOUBLE FROM ({ORACLES[source]})) ON COLUMNS(* EXCLUDE (session, name)) INTO NAME measure VALUE value)"""
+
+
+@query(
+    "SELECT session, period, name::VARCHAR AS name, measure, round(value, 6) AS value FROM ("
+    + _tidied("freezing_summary", "whole", "'whole'", "session").replace("'whole' AS name, measure", "name, measure")
+    + " UNION ALL "
+    + _tidied("pre_epoch", "epoch", "epoch", "session, epoch").replace("epoch AS name, measure", "name, measure")
+    + " UNION ALL "
+    + _tidied("freezing_bins", "bin", "bin::VARCHAR", "session, bin").replace("bin::VARCHAR AS name, measure", "name, measure")
+    + ")"
+)
+def freezing_result(spark: SparkSession, d: str) -> DataFrame:
+    """All measures of sessions, epochs and bins that one analysis gives."""
+    return rounded(ft.study_tables(_analysed(spark, d))["tidy"])
+
+
+def _wide(name: str, columns) -> str:
+    return ", ".join(f"""max({c}) FILTER (epoch = '{name}') AS "{name} – {text}" """ for c, text in columns)
+
+
+@query("SELECT session, " + ", ".join(_wide(n, ft.EPOCH) for n, *_ in sorted(EPOCHS, key=lambda e: e[1])) + " FROM (" + ORACLES["pre_epoch"] + ") GROUP BY session")
+def freezing_batch(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ft.study_tables(_analysed(spark, d))["epochs"])
+
+
+#: A view with a vanishing point: u = (1.2 x + 0.1 y + 10) / w, v = (0.9 y - 0.05 x + 5) / w, w = 0.001 x + 0.002 y + 1.
+SEEN = (1.2, 0.1, 10.0, -0.05, 0.9, 5.0, 0.001, 0.002)
+
+
+@query(
+    with_(T)
+    + "SELECT session, frame, round((1.2 * x + 0.1 * y + 10) / (0.001 * x + 0.002 * y + 1), 6) AS u, round((0.9 * y - 0.05 * x + 5) / (0.001 * x + 0.002 * y + 1), 6) AS v FROM t"
+)
+def seen_in_perspective(spark: SparkSession, d: str) -> DataFrame:
+    """The view is known by where it takes the arena's corners."""
+    a, b, c, p, q, r, g, h = SEEN
+    source = tx.corners([(500.0, 100.0), (0.0, 0.0), (500.0, 0.0), (0.0, 100.0)])
+    target = [((a * x + b * y + c) / (g * x + h * y + 1), (p * x + q * y + r) / (g * x + h * y + 1)) for x, y in source]
+    u, v = tx.warped(F.col("x"), F.col("y"), tx.homography(source, target))
+    return rounded(tb.trajectory(spark, d).select("session", "frame", u.alias("u"), v.alias("v")))
