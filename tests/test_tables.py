@@ -132,3 +132,46 @@ def test_too_many_names_are_refused(spark):
     df = spark.range(300).select(F.lit(1).alias("session"), F.col("id").cast("string").alias("epoch"), F.col("id").alias("start_s"))
     with pytest.raises(ValueError):
         freezing_tables.names_of(df, "epoch", "start_s")
+
+
+def test_pose_tracks(spark):
+    points = [("s", f, part, x, y, p) for f, rows in enumerate([
+        [("nose", 10.0, 0.0, 0.9), ("tail_base", 0.0, 0.0, 0.9), ("left ear", 8.0, 2.0, 0.9), ("tail_tip", -9.0, 0.0, 0.9)],
+        [("nose", 10.0, 0.0, 0.2), ("tail_base", 0.0, 4.0, 0.9), ("left ear", 8.0, 2.0, 0.9), ("tail_tip", -9.0, 0.0, 0.9)],
+        [("nose", 10.0, 0.0, 0.9), ("tail_base", 4.0, 0.0, 0.9), ("left ear", math.nan, 2.0, 0.9), ("tail_tip", None, None, None)],
+        [("nose", 10.0, 0.0, 0.1), ("tail_base", 0.0, 0.0, None), ("left ear", 8.0, 2.0, 0.1), ("tail_tip", -9.0, 0.0, 0.9)],
+    ]) for part, x, y, p in rows]
+    df = spark.createDataFrame(points, "session string, frame long, part string, x double, y double, p double")
+    track = imports.pose_track(df, 2.0)
+    got = [tuple(r)[1:] for r in track.orderBy("frame").collect()]
+    assert got[0] == (0, 0.0, 8.0, 2.0, "Tracked", 10.0, 0.0, 0.0, 0.0, -1.0, 1.0) and got[1][2:9] == (8.0, 2.0, "Tracked", None, None, None, None)
+    assert got[2][2:9] == (None, None, "Lost", 10.0, 0.0, 4.0, 0.0) and got[3][2:5] == (None, None, "Lost") and got[3][9] is None
+    assert tuple(imports.pose_body(track).first()) == ("s", 8.0, 64 / 2.4)
+    view = text.homography([(0, 0), (10, 0), (10, 10), (0, 10)], [(0, 0), (20, 0), (20, 30), (0, 30)])
+    seen = imports.pose_track(df, 2.0, view=view, start_s=0.5, end_s=1.0).orderBy("frame").collect()
+    assert [r.frame for r in seen] == [1, 2] and seen[0].x == pytest.approx(16.0) and seen[0].y == pytest.approx(6.0) and seen[1].ax == pytest.approx(20.0)
+    bare = imports.pose_track(df.filter("part = 'left ear'"), 2.0)
+    assert bare.filter("ax IS NULL AND tail_ev IS NULL").count() == 4
+    with pytest.raises(ValueError):
+        imports.pose_track(df.limit(0), 2.0)
+
+
+def test_interactions(spark):
+    from vivarium.operators import interactions
+
+    box = lambda a, b: [(a, 0.0), (b, 0.0), (b, 10.0), (a, 10.0)]
+    zones = spark.createDataFrame([(0, "Left side", box(0.0, 50.0)), (1, "Whole", box(0.0, 100.0))], "place int, zone string, polygon array<struct<x:double,y:double>>")
+    cup = spark.createDataFrame([(0, "Cup 1", box(60.0, 70.0))], zones.schema)
+    xs = [10.0, 40.0, 55.0, 58.0, None, 62.0, 75.0, 20.0]
+    df = spark.createDataFrame([(1, f, float(f), x, None if x is None else 5.0, "Lost" if x is None else "Tracked") for f, x in enumerate(xs)], "session int, frame int, time_s double, x double, y double, status string")
+    stats, bouts = interactions.interaction_stats(df, zones, cup, 1.0, 2.0, 5.0, 0.1, "mm")
+    got = {r.measure: round(r.value, 9) for r in stats.collect()}
+    assert got == {
+        "Total_distance_pixels": 116.0, "Total_distance_mm": 11.6, "Left_side_time_s": 3.0, "Left_side_percent": 37.5, "Whole_time_s": 7.0, "Whole_percent": 87.5,
+        "Cup_1_near_time_s": 4.0, "Cup_1_bout_count": 2.0,
+    }
+    assert sorted((r.first, r.last) for r in bouts.collect()) == [(2, 3), (5, 6)]
+    strict, _ = interactions.interaction_stats(df, zones, cup, 1.0, 2.0)
+    assert {r.measure: r.value for r in strict.collect()}["Cup_1_near_time_s"] == 1.0 and strict.filter("measure LIKE '%mm'").count() == 0
+    flags = interactions.zone_flags(df, zones)
+    assert {r.frame: r.roi for r in interactions.joined_labels(flags).collect()} == {0: "Left side_Whole", 1: "Left side_Whole", 2: "Whole", 3: "Whole", 4: "None", 5: "Whole", 6: "Whole", 7: "Left side_Whole"}

@@ -12,9 +12,10 @@ from vivarium.operators import freezing_result as fr
 from vivarium.operators import geometry as geo
 from vivarium.operators import glossary as gl
 from vivarium.operators import identities as ids
+from vivarium.operators import interactions as ia
 from vivarium.operators import trajectory as tr
 from vivarium.operators import zones as zn
-from vivarium.plans.catalogue import FPS, MIN_FRAMES, ORACLES, T, Z, _motion, query, rounded, with_
+from vivarium.plans.catalogue import FL, FPS, MIN_FRAMES, ORACLES, T, Z, _motion, query, rounded, with_
 from vivarium.plans.measures import EPOCHS, _epochs
 from vivarium.plans.tracks import _tracks
 from vivarium.sources import freezing_tables as ft
@@ -217,3 +218,29 @@ def seen_in_perspective(spark: SparkSession, d: str) -> DataFrame:
     target = [((a * x + b * y + c) / (g * x + h * y + 1), (p * x + q * y + r) / (g * x + h * y + 1)) for x, y in source]
     u, v = tx.warped(F.col("x"), F.col("y"), tx.homography(source, target))
     return rounded(tb.trajectory(spark, d).select("session", "frame", u.alias("u"), v.alias("v")))
+
+
+# --- zones and objects ----------------------------------------------------------------------------------------------
+
+
+@query(with_(T, Z, FL) + "SELECT session, frame, coalesce(string_agg(zone, '_' ORDER BY place) FILTER (inside), 'None') AS roi FROM fl GROUP BY session, frame")
+def joined_zones(spark: SparkSession, d: str) -> DataFrame:
+    return ia.joined_labels(zn.zone_flags(tb.trajectory(spark, d), tb.zones(spark)))
+
+
+@query(
+    with_(T, Z, FL)
+    + """, st AS (SELECT session, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM t WINDOW w AS (PARTITION BY session ORDER BY frame)),
+zs AS (SELECT session, replace(zone, ' ', '_') AS zone, count(*) FILTER (inside) AS n, count(*) AS m FROM fl GROUP BY ALL),
+dd AS (SELECT session, frame, zone, x IS NOT NULL AND greatest(x0 - round_even(x, 0), round_even(x, 0) - x1, 0) ** 2 + greatest(y0 - round_even(y, 0), round_even(y, 0) - y1, 0) ** 2 <= 64 AS near FROM fl JOIN z USING (zone) WHERE zone LIKE 'Open%'),
+di AS (SELECT *, frame - row_number() OVER (PARTITION BY session, zone ORDER BY frame) AS island FROM dd WHERE near),
+db AS (SELECT session, zone, count(*) AS n FROM di GROUP BY session, zone, island HAVING count(*) >= 2),
+ds AS (SELECT dd.session, replace(dd.zone, ' ', '_') AS zone, count(*) FILTER (near) AS s, (SELECT count(*) FROM db WHERE db.session = dd.session AND db.zone = dd.zone) AS n FROM dd GROUP BY dd.session, dd.zone)
+SELECT session, 'Total_distance_pixels' AS measure, round(coalesce(sum(step), 0), 6) AS value FROM st GROUP BY session UNION ALL SELECT session, 'Total_distance_cm', round(coalesce(sum(step), 0) * 0.25, 6) FROM st GROUP BY session
+UNION ALL SELECT session, zone || '_time_s', n FROM zs UNION ALL SELECT session, zone || '_percent', round(100 * n / m, 6) FROM zs UNION ALL SELECT session, zone || '_near_time_s', s FROM ds UNION ALL SELECT session, zone || '_bout_count', n FROM ds"""
+)
+def zone_interactions(spark: SparkSession, d: str) -> DataFrame:
+    """The open arms as objects, with 8 pixels around them."""
+    zones = tb.zones(spark)
+    found, _ = ia.interaction_stats(tb.trajectory(spark, d), zones, zones.filter("zone LIKE 'Open%'"), FPS, 2.0, 8.0, 0.25)
+    return rounded(found)
