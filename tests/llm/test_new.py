@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vivarium.llm import queries, repeats, spelling, whitening
+from vivarium.llm import packing, queries, repeats, spelling, url_filter, warc, whitening
+from vivarium.llm.common import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,3 +227,31 @@ def test_each_pair_of_a_block_comes_once():
                 found.update(tuple(sorted(p)) for p in spelling.pairs_of(block, s, front, back, tail))
     assert set(found.values()) == {1}
     assert set(found) == {(a, b) for a in words for b in words if a < b and one_edit(a, b)}
+
+
+def test_equal_rows_go_to_different_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 500)
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")).repartition(3)
+    cut = stage(packing.pieces(rows), "pieces")
+    sizes = sorted(r["count"] for r in packing.in_parts(cut, {1: 5000}).groupBy("part").count().collect())
+    assert len(sizes) == 10 and sizes[0] > 350 and sizes[-1] < 650
+    got = packing.pack(rows).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 5000 and {r.sequence_id for r in got} == {got[0].sequence_id, *(r.sequence_id for r in got)} and len({r.sequence_id for r in got}) == 2
+
+
+def test_inflation_is_bounded():
+    import gzip
+    import io
+
+    data = b"a" * 30_000_000 + b"end"
+    packed = gzip.compress(data) + gzip.compress(b"") + gzip.compress(b"more" * 500_000)
+    blocks = list(warc.inflated(io.BytesIO(packed)))
+    assert max(map(len, blocks)) <= 1 << 20 and b"".join(blocks) == data + b"more" * 500_000
+
+
+def test_url_sample_does_not_depend_on_files(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(pages.filter("page_id % 5 = 0"))
+    score = lambda df: sorted(((r.page_id, r.url_, r.block_score) for r in url_filter.judge(df, train_rows=150).withColumn("url_", F.col("path")).collect()), key=str)
+    one, many = score(pages.coalesce(1)), score(pages.repartition(7))
+    assert one == many and any(r[2] is not None for r in one)

@@ -179,6 +179,15 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> list[tuple[int, int,
     return slots
 
 
+def in_parts(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Staged pieces with `part`: of each length as many parts as its PART rows need. Rows are dealt by where they are staged, so
+    equal ones part too."""
+    sizes = pa.table({"length": pa.array(list(counts), pa.int64()), "parts": pa.array([-(-n // PART) for n in counts.values()], pa.int64())})
+    places = cut.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("at"))
+    parts = F.broadcast(cut.sparkSession.createDataFrame(sizes))  # a row for each length
+    return places.join(parts, "length").withColumn("part", F.pmod("at", F.col("parts"))).drop("at")
+
+
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -195,8 +204,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     runs = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)}))
     runs = runs.withColumn("block", F.explode(F.expr(f"sequence(rank_from div {BLOCK}, (rank_to - 1) div {BLOCK})")))
 
-    sizes = pa.table({"length": pa.array(list(counts), pa.int64()), "parts": pa.array([-(-n // PART) for n in counts.values()], pa.int64())})
-    dealt = cut.join(F.broadcast(spark.createDataFrame(sizes)), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")))
+    dealt = in_parts(cut, counts)
     before = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1)

@@ -102,17 +102,24 @@ def with_suffix_statistics(rows: DataFrame, statistics: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, statistics: DataFrame, train_rows: int = TRAIN_ROWS):
-    """(assembler, model) from rows of lexical features and verdicts, or the only verdict there is, or None without rows."""
+    """(assembler, model) from rows of lexical features and verdicts, or the only verdict there is, or None without rows.
+
+    About train_rows rows are drawn by a hash of page_id and url; rows that have both alike count as one of their number's
+    weight. The sample lies in the same order however the files are cut, and so do the trees' bins.
+    """
     sizes = {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}
     if len(sizes) < 2:
         return next(iter(sizes), None)
     share = min(1.0, train_rows / sum(sizes.values()))
-    place = F.xxhash64("page_id", "url", F.monotonically_increasing_id())  # rows of one URL are told apart
-    chosen = labelled.filter(F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
+    place = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
+    chosen = labelled.filter(place < int(share * (1 << 30))) if share < 1 else labelled
+    others = [F.first(c).alias(c) for c in labelled.columns if c not in ("page_id", "url")]
+    chosen = chosen.groupBy("page_id", "url").agg(F.count("*").cast("double").alias("weight"), *others)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     rows = with_suffix_statistics(chosen, statistics).withColumn("label", (F.col("verdict") == "block").cast("double"))
-    sample = stage(rows.select("label", *FEATURES).coalesce(4), "labelled-urls")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(assembler.transform(sample))
+    dealt = rows.repartition(4, "page_id", "url").sortWithinPartitions("page_id", "url")
+    sample = stage(dealt.select("label", "weight", *FEATURES), "labelled-urls")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", weightCol="weight").fit(assembler.transform(sample))
     return assembler, model
 
 

@@ -28,7 +28,7 @@ ARCHIVE_BYTES = 16 << 20
 LEAST_REVISIT = 100
 #: The pages carry no date of their own.
 DATE = "2024-01-01T00:00:00Z"
-BLOCK = 1 << 20
+BLOCK = INFLATED = 1 << 20
 #: Index entries of a batch, bytes of html that a reader holds before it passes them on, and the most tasks that archives are dealt to.
 ENTRIES, READ_BYTES, MOST_TASKS = 1000, 4 << 20, 4096
 
@@ -71,14 +71,14 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """What a gzip file holds, block by block; the file may also have several members."""
+    """What a gzip file holds, in blocks of at most INFLATED bytes, however well it is packed; the file may have several members."""
     z = zlib.decompressobj(31)
     while block := stream.read(BLOCK):
         while block:
-            yield z.decompress(block)
-            block = z.unused_data
-            if block:
+            if z.eof:
                 z = zlib.decompressobj(31)
+            yield z.decompress(block, INFLATED)
+            block = z.unused_data if z.eof else z.unconsumed_tail
     yield z.flush()
 
 
