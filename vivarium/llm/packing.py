@@ -43,8 +43,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder:
-    """Ids of texts by one tokenizer, as little-endian unsigned 32-bit numbers; words that occur again are looked up.
+class Encoder(dict):
+    """Ids of texts by one tokenizer, as little-endian unsigned 32-bit numbers; a word's are worked out when it is first looked up.
 
     The tokenizer drops white space and merges within runs of letters only, so a text's ids are those of its words
     between spaces, and a word's ids are those of its letters and of the signs behind them. Runs of letters go to the
@@ -52,63 +52,58 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(TAIL)
+        ids = self._core(core) if core.isalpha() else None
+        if ids is None:
+            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        elif len(core) < len(word):
+            ids += self._tail(word[len(core) :])
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def _core(self, core: str) -> bytes | None:
         """Ids of a run of letters, if lower-casing leaves it one and it is in composed form."""
-        if core.isascii():
-            low = core.lower()
-        else:
-            low = "".join([c.lower() for c in core])
+        low = core.lower()
+        if not core.isascii():
+            if len(low) != len(core) or "Σ" in core:  # letters by themselves, as the tokenizer lower-cases
+                low = "".join([c.lower() for c in core])
             if not low.isalpha() or not unicodedata.is_normalized("NFC", core):
                 return None
         found = self.cores.get(low)
         if found is None:
             spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-            found = self.cores[low] = self._packed([t.id for t in self.model.tokenize(spelled)])
+            found = _packed([t.id for t in self.tokenize(spelled)])
+            if len(self.cores) >= REMEMBERED:
+                self.cores.clear()
+            self.cores[low] = found
         return found
 
-    def _learn(self, new: set[str]) -> None:
-        rest = []
-        for w in new:
-            core = w.rstrip(TAIL)
-            ids = self._core(core) if core.isalpha() else None
-            if ids is None:
-                rest.append(w)
-            else:
-                self.words[w] = ids if len(core) == len(w) else ids + self._tail(w[len(core) :])
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[w] = self._packed(e.ids)
-
     def _tail(self, tail: str) -> bytes:
         found = self.cores.get(tail)
         if found is None:
-            found = self.cores[tail] = self._packed(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+            found = self.cores[tail] = _packed(self.tokenizer.encode(tail, add_special_tokens=False).ids)
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id."""
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*words)
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = every
-        if len(self.cores) > REMEMBERED:
-            self.cores.clear()
-        self._learn(new)
-        end = END.to_bytes(4, "little")
-        return [b"".join(map(self.words.__getitem__, ws)) + end for ws in words]
+        end, look = END.to_bytes(4, "little"), self.__getitem__
+        return [b"".join(map(look, (t or "").replace("\n", " ").split(" "))) + end for t in texts]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str, Encoder] = {}
