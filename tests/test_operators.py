@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vivarium.functions.custom import add_variables, parse_lines
 from vivarium.operators import events, freezing, ranks, runs, statistics, summary, trajectory, zones
-from vivarium.plans import catalogue, measures, records, tracks  # noqa: F401
+from vivarium.plans import catalogue, measures, records, studies, tracks  # noqa: F401
 from vivarium.sources import tables
 
 SF = "/root/testdata/sf0.001"
