@@ -242,10 +242,11 @@ def compare_scoring(frames: DataFrame, bouts: DataFrame, fps: float, bin_s: floa
     whole = s.select("session", "frames", (F.col("a") * 100).alias("auto_percent"), (F.col("h") * 100).alias("hand_percent"), (F.col("same") * 100).alias("agreement"), kappa(F.col("same"), pe, None).alias("kappa"))
     bins = both.join(s.select("session", "t0"), "session").groupBy("session", F.floor((F.col("time_s") - F.col("t0")) / bin_s).alias("bin")).agg(F.count("*").alias("n"), (F.avg(a) * 100).alias("a"), (F.avg(h) * 100).alias("h"))
     d = F.col("a") - F.col("h")
-    # no spread, no correlation
+    # no spread, no correlation; F.corr would divide by zero there, whatever stands around it
     spread = (F.count("*") >= 3) & (F.max("a") > F.min("a")) & (F.max("h") > F.min("h"))
+    r = F.try_divide(F.covar_pop("a", "h"), F.stddev_pop("a") * F.stddev_pop("h"))
     by_bin = bins.filter(F.col("n") >= max(2.0, 0.5 * bin_s * fps)).groupBy("session").agg(
-        F.count("*").alias("bins"), F.when(spread, F.corr("a", "h")).alias("bin_r"), F.avg(d).alias("bin_bias"),
+        F.count("*").alias("bins"), F.when(spread, r).alias("bin_r"), F.avg(d).alias("bin_bias"),
         (F.avg(d) - 1.96 * F.stddev_samp(d)).alias("bin_lower"), (F.avg(d) + 1.96 * F.stddev_samp(d)).alias("bin_upper"),
     )
     return whole.join(by_bin, "session", "left").withColumn("bins", F.coalesce("bins", F.lit(0)))
