@@ -2,7 +2,12 @@
 
 import math
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
+from vivarium.operators import ranks
 from vivarium.operators import statistics as st
+from vivarium.sources import tables as tb
 
 
 def test_scoring_of_sessions_without_spread(spark):
@@ -17,3 +22,33 @@ def test_scoring_of_sessions_without_spread(spark):
     ma, mh = sum(a) / 6, sum(h) / 6
     r = sum((x - ma) * (y - mh) for x, y in zip(a, h)) / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mh) ** 2 for y in h))
     assert abs(got[2].bin_r - r) < 1e-9
+
+
+def test_equal_sets_of_values_have_equal_means_and_ranks(spark):
+    """Copies of subjects whose rows come in other orders are tied, and no row is lost."""
+    values = [0.1, 0.7, 0.2, 1e9, 0.3, 0.6]
+    rows = [(10 * c + g, "ab"[g], v + g) for c in range(6) for g in (0, 1) for v in values[c:] + values[:c]]
+    df = spark.createDataFrame(rows, "subject long, group string, price double").coalesce(1)
+    long = st.subject_means(df, ["price"])
+    assert [(r.tied, r["rank"]) for r in ranks.value_ranks(long, ["metric"]).orderBy("value").collect()] == [(6, 3.5), (6, 9.5)]
+    assert ranks.mann_whitney(long, "a", "b").first().u == 0
+    sums = {r.group: (r.n, r["sum"]) for r in ranks.rank_sums(long).collect()}
+    assert sums == {"a": (6, 21), "b": (6, 57)}
+
+
+def test_raters_add_up_in_the_order_of_the_file(spark, tmp_path):
+    """Means are those of a plain loop over the file, however it is split."""
+    n = 4000
+    discount = [(7 * i * i + i // 3) % 11 / 100 for i in range(n)]
+    table = pa.table({"l_suppkey": [i % 3 for i in range(n)], "l_shipdate": pa.array([0] * n, pa.timestamp("us")), "l_quantity": [float(i % 50) for i in range(n)], "l_discount": discount})
+    pq.write_table(table, tmp_path / "lineitem.parquet", row_group_size=100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.subject: r.b for r in tb.raters(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for s in range(3):
+        total = 0.0
+        for v in discount[s::3]:
+            total += v
+        assert got[s] == total / len(discount[s::3]) * 500

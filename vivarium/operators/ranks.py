@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vivarium.operators.statistics import bh_of_metrics, gamma_share, p_column, t_p
+from vivarium.operators.statistics import bh_of_metrics, gamma_share, p_column, steady_means, t_p
 
 #: Least and most ranges of values by metric. Shapiro-Wilk is only defined for samples of 3 to 5,000 values.
 RANGES, MOST_RANGES, SHAPIRO_MOST = 64, 4096, 5000
@@ -39,13 +39,18 @@ def value_ranks(df: DataFrame, keys: list[str], value: str = "value") -> DataFra
     it is exact whatever the ranges are.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("tied"))
+    return counts_ranked(counts, keys, value)
+
+
+def counts_ranked(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds rank to distinct values and how often each occurs, `tied`; other columns of counts are kept."""
     placed = in_ranges(counts, keys, value)
     sums = placed.groupBy(*keys, "__range").agg(F.sum("tied").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*keys, "__range", before.alias("__before"))
     inside = F.sum("tied").over(Window.partitionBy(*keys, "__range").orderBy(value))
     rank = F.col("__before") + inside - (F.col("tied") - 1) / 2
-    return placed.join(starts, [*keys, "__range"]).select(*keys, value, "tied", rank.alias("rank"))
+    return placed.join(starts, [*keys, "__range"]).select(*counts.columns, rank.alias("rank"))
 
 
 def medians(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -83,9 +88,9 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
     p is exact for at most EXACT_PAIRED pairs without ties, else by the normal curve with the correction for ties.
     """
     rows = pairs.filter("d IS NOT NULL AND d <> 0").withColumn("value", F.abs("d"))
-    own = rows.groupBy("metric", "value").agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"))
+    own = rows.groupBy("metric", "value").agg(F.count("*").alias("tied"), F.count(F.when(F.col("d") > 0, 1)).alias("up"))
     t = F.col("tied").cast("double")
-    s = own.join(value_ranks(rows, ["metric"]), ["metric", "value"]).groupBy("metric").agg(F.sum("tied").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(t**3 - t).alias("ties"))
+    s = counts_ranked(own, ["metric"], "value").groupBy("metric").agg(F.sum("tied").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(t**3 - t).alias("ties"))
     n = F.col("n")
     w = F.least("plus", n * (n + 1) / 2 - F.col("plus"))
     z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
@@ -127,8 +132,9 @@ def change_over_time(means: DataFrame, first: str, second: str) -> DataFrame:
     A paired t; Wilcoxon's signed ranks with fewer than three pairs or where t isn't defined. Metrics with fewer than two
     pairs have no row.
     """
-    at = lambda t: F.avg(F.when(F.col("timepoint").cast("string") == t, F.col("value")))
-    pairs = means.groupBy("metric", "subject").agg(at(first).alias("a"), at(second).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").select("metric", (F.col("b") - F.col("a")).alias("d"))
+    at = lambda t: F.max(F.when(F.col("timepoint") == t, F.col("value")))
+    times = means.withColumn("timepoint", F.col("timepoint").cast("string")).filter(F.col("timepoint").isin(first, second))
+    pairs = steady_means(times, ["metric", "subject", "timepoint"], ["value"]).groupBy("metric", "subject").agg(at(first).alias("a"), at(second).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").select("metric", (F.col("b") - F.col("a")).alias("d"))
     s = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("d").alias("change"), F.stddev_samp("d").alias("sd")).filter("n > 1")
     se = F.col("sd") / F.sqrt("n")
 
@@ -150,7 +156,9 @@ def change_over_time(means: DataFrame, first: str, second: str) -> DataFrame:
 def rank_sums(long: DataFrame) -> DataFrame:
     """(metric, group, n, sum, ties): rows, sum of ranks, and sum of t**3 - t shared out over the groups' rows."""
     own = long.filter("value IS NOT NULL").groupBy("metric", "group", "value").agg(F.count("*").alias("own"))
-    rows = own.join(value_ranks(long, ["metric"]), ["metric", "value"])
+    # groups go along with the values they share: no value is looked up again, as computed doubles can come out otherwise
+    counts = own.groupBy("metric", "value").agg(F.sum("own").alias("tied"), F.collect_list(F.struct("group", "own")).alias("groups"))
+    rows = counts_ranked(counts, ["metric"], "value").select("tied", "rank", "metric", F.inline("groups"))
     t = F.col("tied").cast("double")
     return rows.groupBy("metric", "group").agg(F.sum("own").cast("double").alias("n"), F.sum(F.col("own") * F.col("rank")).alias("sum"), F.sum(F.col("own") * (t * t - 1)).alias("ties"))
 

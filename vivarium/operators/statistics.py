@@ -89,11 +89,20 @@ def conflicts(df: DataFrame) -> DataFrame:
     return df.groupBy("subject").agg(F.count_distinct("group").alias("groups")).filter("groups > 1").select("subject")
 
 
+def steady_means(df: DataFrame, keys: list[str], values: list[str], order: list[str] | None = None) -> DataFrame:
+    """(*keys, *values): means added up in a fixed order of rows, so that the last digits of a mean, and with them ties and
+    thresholds, don't depend on how rows are dealt to tasks. Without an order, there is one column of values, in its own order."""
+    w = Window.partitionBy(*keys).orderBy(*(order or values))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.select(*keys, *(F.avg(v).over(whole).alias(v) for v in values), F.row_number().over(w).alias("__row"))
+    return rows.filter("__row = 1").drop("__row")
+
+
 def subject_means(df: DataFrame, metrics: list[str]) -> DataFrame:
     """One row per subject and group, long: (metric, subject, group, value); subjects in several groups are left out."""
-    kept = df.join(conflicts(df), "subject", "left_anti")
-    wide = kept.groupBy("subject", "group").agg(*(F.avg(m).alias(m) for m in metrics))
-    return wide.unpivot(["subject", "group"], metrics, "metric", "value").filter("value IS NOT NULL")
+    kept = df.join(conflicts(df), "subject", "left_anti").select("subject", "group", *(F.col(m).cast("double").alias(m) for m in metrics))
+    long = kept.unpivot(["subject", "group"], metrics, "metric", "value").filter("value IS NOT NULL")
+    return steady_means(long, ["subject", "group", "metric"], ["value"])
 
 
 def descriptives(long: DataFrame) -> DataFrame:
