@@ -13,6 +13,7 @@ from vivarium.operators import features as ft
 from vivarium.operators import freezing_result as fr
 from vivarium.operators import ranks as rk
 from vivarium.operators import stops as st
+from vivarium.operators.statistics import steady_means
 from vivarium.operators import zones as zn
 from vivarium.plans.catalogue import E_, FL, FPS, FS, L, H, M, SU, T, Z, _moves, _states, flags, query, rounded, with_
 from vivarium.plans.measures import EPOCHS, _epochs, _flags, _period_sql
@@ -256,8 +257,9 @@ def signed_ranks(spark: SparkSession, d: str) -> DataFrame:
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     s = tb.subjects(spark, d)
     both = s.withColumn("m", F.explode(F.array(F.struct(F.lit("price").alias("metric"), F.col("price").alias("value")), F.struct(F.lit("cents").alias("metric"), (F.col("price") * 100 % 97).alias("value")))))
-    at = lambda t: F.avg(F.when(F.col("timepoint") == t, F.col("m.value")))
-    return both.groupBy("subject", F.col("m.metric").alias("metric")).agg((at(1996) - at(1995)).alias("d"))
+    times = both.filter(F.col("timepoint").isin(1995, 1996)).select("subject", "timepoint", "m.metric", "m.value")
+    at = lambda t: F.max(F.when(F.col("timepoint") == t, F.col("value")))
+    return steady_means(times, ["subject", "metric", "timepoint"], ["value"]).groupBy("subject", "metric").agg((at(1996) - at(1995)).alias("d"))
 
 
 @query(
