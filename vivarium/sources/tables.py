@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vivarium.operators.statistics import steady_means
+
 FPS, WIDTH, HEIGHT = 1.0, 500, 100
 #: name, x0, y0, x1, y1 of rectangular zones in the 500 x 100 arena; the first of overlapping zones names a frame.
 ZONES = (
@@ -66,9 +68,13 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject, month, a, b: two measurements of the same thing."""
+    """subject, month, a, b: two measurements of the same thing; means are added up in the order of the file's rows."""
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("subject"), F.month("l_shipdate").alias("month")).agg(F.avg(F.col("l_quantity").cast("double")).alias("a"), (F.avg(F.col("l_discount").cast("double")) * 500).alias("b"))
+    rows = li.select(
+        F.col("l_suppkey").alias("subject"), F.month("l_shipdate").alias("month"), F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"),
+    )
+    return steady_means(rows, ["subject", "month"], ["a", "b"], ["path", "place"]).withColumn("b", F.col("b") * 500)
 
 
 def motion_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
