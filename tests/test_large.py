@@ -1,11 +1,13 @@
 """Faults that came up on larger tables, in small."""
 
+import itertools
 import math
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from vivarium.operators import ranks
+from vivarium.operators import geometry, interactions, mazes, ranks, runs, zones
 from vivarium.operators import statistics as st
 from vivarium.sources import tables as tb
 
@@ -52,3 +54,46 @@ def test_raters_add_up_in_the_order_of_the_file(spark, tmp_path):
         for v in discount[s::3]:
             total += v
         assert got[s] == total / len(discount[s::3]) * 500
+
+
+def test_outlines_are_judged_in_batches_as_column_by_column(spark):
+    """No expression by row and side in the plan, the same answers, nulls and NaN too."""
+    shapes = [(0, "L", [(0.0, 0.0), (9.0, 0.0), (9.0, 3.0), (4.0, 3.0), (4.0, 9.0), (0.0, 9.0)]), (1, "kite", [(5.0, 1.0), (9.0, 5.0), (5.0, 9.0), (5.0, 9.0), (2.0, 5.0)])]
+    places = spark.createDataFrame(shapes, "place int, zone string, polygon array<struct<x:double,y:double>>")
+    rows = [(x, y) for x in range(-1, 11) for y in range(-1, 11)] + [(None, 1), (1, None)]
+    df = spark.createDataFrame([(None if x is None else float(x), None if y is None else float(y)) for x, y in rows] + [(math.nan, 1.0)], "x double, y double")
+    flags = zones.zone_flags(df, places)
+    got = sorted((str(r.x), str(r.y), r.zone, r.inside) for r in flags.collect())
+    at = zones.in_polygon(F.col("x"), F.col("y"), F.col("polygon"))
+    want = df.join(places).select("x", "y", "zone", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), at).alias("inside"))
+    assert got == sorted((str(r.x), str(r.y), r.zone, r.inside) for r in want.collect())
+    assert "lambda" not in flags._jdf.queryExecution().toString()
+    assert "lambda" not in geometry.disc_fractions(df, places, 3.0)._jdf.queryExecution().toString()
+    near = interactions.near_objects(df.withColumns({"session": F.lit(1), "frame": F.lit(1)}), places, 2.0)
+    assert "lambda" not in near._jdf.queryExecution().toString()
+
+
+def test_debounced_states_need_one_order_of_rows(spark):
+    flags = [i % 7 < 3 or i % 11 == 0 for i in range(60)]
+    df = spark.createDataFrame([(1, i, f) for i, f in enumerate(flags)], "session int, frame int, flag boolean")
+    for least in (1, 2, 3, 4):
+        out = runs.debounced(df, ["session"], "frame", "flag", least)
+        state, want, at = None, [], 0
+        for value, run in itertools.groupby(flags):
+            n = len(list(run))
+            state = value if n >= least or at == 0 else state
+            want += [state] * n
+            at += n
+        assert [r.state for r in out.orderBy("frame").collect()] == want
+        assert out._jdf.queryExecution().executedPlan().toString().count("Sort [session") == 1
+
+
+def test_open_field_tells_zones_without_a_job(spark):
+    table = spark.createDataFrame([(1, "Center", 2.0, 1, 3.0, 0.5), (1, "Rim", 5.0, 2, 4.0, 1.0), (2, "Rim", 5.0, 2, 4.0, None)], "session int, zone string, time_s double, entries long, distance double, latency_s double")
+    parts = spark.createDataFrame([(1, 1, 2), (2, 0, 2)], "session int, a long, b long")
+    totals = spark.createDataFrame([(1, 10.0, 8.0, 7.0), (2, 10.0, 8.0, 7.0)], "session int, total_s double, present_s double, distance double")
+    spark.sparkContext.setJobGroup("open field", "")
+    out = mazes.open_field(table, parts, totals)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("open field")
+    got = {r.session: r for r in out.collect()}
+    assert (got[1].centre_s, got[1].periphery_s, got[1].latency_to_centre_s) == (2.0, 5.0, 0.5) and (got[2].centre_s, got[2].periphery_s, got[2].centre_entries) == (0.0, 5.0, 0)

@@ -1,12 +1,15 @@
-"""Discs and polygons, and maps smoothed on a grid, as Column arithmetic."""
+"""Discs and polygons, and maps smoothed on a grid."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vivarium.operators.outlines import by_outline, disc_area
+
 #: Least radius of a body in pixels, how many bodies a zone must hold for the body rule, and where a smoothing kernel ends, in sigmas (fixed values).
 LEAST_RADIUS, BODIES, TRUNCATE = 2, 1.25, 4.0
 
@@ -26,38 +29,15 @@ def polygon_area(polygon: Column) -> Column:
     return F.abs(added(cross)) / 2
 
 
-def disc_in_polygon(x: Column, y: Column, radius: Column, polygon: Column) -> Column:
-    """The area that a disc and a polygon share, exactly: each side adds the signed area, within the disc, of its triangle with the centre."""
-
-    def sector(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
-        return radius * radius / 2 * F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
-
-    def side(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"] - x, e["a"]["y"] - y, e["b"]["x"] - x, e["b"]["y"] - y
-        dx, dy = bx - ax, by - ay
-        long, along, out = dx * dx + dy * dy, ax * dx + ay * dy, ax * ax + ay * ay - radius * radius
-        root = along * along - long * out
-        reach = F.sqrt(F.greatest(root, F.lit(0.0)))
-        at = lambda t: F.least(F.greatest(F.try_divide(t, long), F.lit(0.0)), F.lit(1.0))
-        first, last = at(-along - reach), at(-along + reach)
-        px, py, qx, qy = ax + first * dx, ay + first * dy, ax + last * dx, ay + last * dy
-        cut = sector(ax, ay, px, py) + (px * qy - py * qx) / 2 + sector(qx, qy, bx, by)
-        return F.when(long == 0, 0.0).when((root > 0) & (first < last), cut).otherwise(sector(ax, ay, bx, by))
-
-    return F.abs(added(F.transform(edges(polygon), side)))
-
-
 def disc_fractions(df: DataFrame, zones: DataFrame, radius: float) -> DataFrame:
     """A row per frame and zone with `fraction`, the share of a disc around (x, y) that lies in the zone; null without a place.
 
     The disc stands for a body set by hand: its radius is rounded to whole pixels, LEAST_RADIUS at least.
     """
     r = max(LEAST_RADIUS, round(radius))
-    listed = zones.agg(F.array_sort(F.collect_list(F.struct("place", "zone", "polygon"))).alias("zones"))
-    rows = df.join(F.broadcast(listed)).withColumn("z", F.explode("zones"))  # one row: the zones of an arena
-    shared = disc_in_polygon(F.col("x"), F.col("y"), F.lit(float(r)), F.col("z.polygon")) / (math.pi * r * r)
+    rows = by_outline(df, zones, lambda x, y, polygon: np.minimum(disc_area(x, y, float(r), polygon) / (math.pi * r * r), 1.0), "double", F.col("x"), F.col("y"))
     known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    return rows.select(*df.columns, F.col("z.place").alias("place"), F.col("z.zone").alias("zone"), F.when(known, F.least(shared, F.lit(1.0))).alias("fraction"))
+    return rows.withColumn("fraction", F.when(known, F.col("__found"))).drop("__found")
 
 
 def body_zones(zones: DataFrame, radius: float) -> DataFrame:

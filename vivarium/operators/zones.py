@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vivarium.operators.outlines import by_outline, inside
 from vivarium.operators.runs import debounced, ordered, run_table, with_runs
 
 ZONE_KEY = ["session", "zone"]
@@ -36,9 +37,8 @@ def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
 def zone_flags(df: DataFrame, zones: DataFrame) -> DataFrame:
     """Long form: a row per frame and zone with `inside` (null position: null); zones are few and fixed by the arena."""
     pixel = lambda c: F.bround(F.col(c))
-    listed = zones.agg(F.array_sort(F.collect_list(F.struct("place", "zone", "polygon"))).alias("zones"))
-    rows = df.join(F.broadcast(listed)).withColumn("z", F.explode("zones"))  # one row of zones
-    return rows.select(*df.columns, F.col("z.place").alias("place"), F.col("z.zone").alias("zone"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), in_polygon(pixel("x"), pixel("y"), F.col("z.polygon"))).alias("inside"))
+    rows = by_outline(df, zones, inside, "boolean", pixel("x"), pixel("y"))
+    return rows.withColumn("inside", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("__found"))).drop("__found")
 
 
 def labelled(flags: DataFrame) -> DataFrame:
