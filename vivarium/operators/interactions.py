@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vivarium.functions.text import safe_name
 from vivarium.operators.animals import object_bouts
-from vivarium.operators.body import polygon_distance
+from vivarium.operators.outlines import by_outline, distance
 from vivarium.operators.trajectory import step_length
 from vivarium.operators.zones import zone_flags
 
@@ -20,10 +20,8 @@ def near_objects(df: DataFrame, objects: DataFrame, margin: float = 0.0) -> Data
     """(session, frame, object, near): within an object's outline, or `margin` pixels from it at most."""
     if margin <= 0:
         return zone_flags(df, objects).select("session", "frame", F.col("zone").alias("object"), F.coalesce("inside", F.lit(False)).alias("near"))
-    listed = objects.agg(F.array_sort(F.collect_list(F.struct("place", "zone", "polygon"))).alias("objects"))
-    rows = df.join(F.broadcast(listed)).withColumn("o", F.explode("objects"))  # one row: the objects of an arena
-    apart = polygon_distance(F.bround("x"), F.bround("y"), F.col("o.polygon"))
-    return rows.select("session", "frame", F.col("o.zone").alias("object"), F.coalesce(F.when(known_place(), apart <= margin), F.lit(False)).alias("near"))
+    rows = by_outline(df.select("session", "frame", "x", "y"), objects, distance, "double", F.bround("x"), F.bround("y"))
+    return rows.select("session", "frame", F.col("zone").alias("object"), F.coalesce(F.when(known_place(), F.col("__found") <= margin), F.lit(False)).alias("near"))
 
 
 def joined_labels(flags: DataFrame) -> DataFrame:
@@ -50,7 +48,12 @@ def interaction_stats(df: DataFrame, zones: DataFrame, objects: DataFrame, fps:
     <object>_near_time_s and <object>_bout_count; with a factor, distances in `unit` too. A zone's or an object's name is written
     as letters and digits.
     """
-    one = lambda rows, name, value: rows.select("session", name.alias("measure"), value.cast("double").alias("value"))
+
+    def listed(rows: DataFrame, *named: tuple[Column, Column]) -> DataFrame:
+        """One row for each named value, all from one pass over rows."""
+        each = F.array(*(F.struct(name.alias("measure"), value.cast("double").alias("value")) for name, value in named))
+        return rows.select("session", F.inline(each))
+
     way = df.withColumn("step", F.when(known_place(), step_length())).groupBy("session").agg(F.coalesce(F.sum(F.nanvl("step", F.lit(None))), F.lit(0.0)).alias("v"))
     inside = F.count(F.when(F.col("inside") & known_place(), 1))
     zoned = zone_flags(df, zones).groupBy("session", "zone").agg((inside / fps).alias("s"), (100 * inside / F.count("*")).alias("p"))
@@ -59,6 +62,7 @@ def interaction_stats(df: DataFrame, zones: DataFrame, objects: DataFrame, fps:
     close = near.groupBy("session", "object").agg((F.count(F.when(F.col("near"), 1)) / fps).alias("s"))
     counted = close.join(bouts.groupBy("session", "object").agg(F.count("*").alias("n")), ["session", "object"], "left")
     zone, thing = safe_name(F.col("zone")), safe_name(F.col("object"))
-    rows = one(way, F.lit("Total_distance_pixels"), F.col("v")).unionByName(one(zoned, F.concat(zone, F.lit("_time_s")), F.col("s"))).unionByName(one(zoned, F.concat(zone, F.lit("_percent")), F.col("p")))
-    rows = rows.unionByName(one(close, F.concat(thing, F.lit("_near_time_s")), F.col("s"))).unionByName(one(counted, F.concat(thing, F.lit("_bout_count")), F.coalesce("n", F.lit(0))))
-    return scaled(rows, "measure", factor, unit), bouts
+    rows = scaled(listed(way, (F.lit("Total_distance_pixels"), F.col("v"))), "measure", factor, unit)
+    rows = rows.unionByName(listed(zoned, (F.concat(zone, F.lit("_time_s")), F.col("s")), (F.concat(zone, F.lit("_percent")), F.col("p"))))
+    rows = rows.unionByName(listed(counted, (F.concat(thing, F.lit("_near_time_s")), F.col("s")), (F.concat(thing, F.lit("_bout_count")), F.coalesce("n", F.lit(0)))))
+    return rows, bouts
