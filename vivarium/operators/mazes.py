@@ -30,6 +30,11 @@ def named(names: Sequence[str], *words: str) -> list[str]:
     return [n for n in names if any(w in n.lower() for w in words)]
 
 
+def is_named(name: Column, *words: str) -> Column:
+    """The same of a column of names."""
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(name), w)), F.lit(False))
+
+
 def classify_test(key: str | None, names: Sequence[str]) -> str:
     """The given kind of test, else what the zones' names say."""
     if key:
@@ -160,12 +165,11 @@ def open_field(table: DataFrame, parts: DataFrame, totals: DataFrame) -> DataFra
 
     parts: two_part_entries of the centre; totals: (session, total_s, present_s, distance) with the distance of Tracked frames.
     """
-    names = [r.zone for r in table.select("zone").distinct().collect()]
-    hubs = named(names, *HUBS)
-    rest = [n for n in names if n not in hubs]
+    hub = is_named(F.col("zone"), *HUBS)  # by name, row by row: the table is worked out once
+    of = lambda rows, column: F.coalesce(F.sum(F.when(rows, F.col(column))), F.lit(0)).alias
     sums = table.groupBy("session").agg(
-        _sum(hubs, "time_s").alias("centre_s"), _sum(hubs, "entries").alias("centre_entries"), _sum(rest, "time_s").alias("periphery_s"), _sum(hubs, "distance").alias("centre_distance"),
-        F.min(F.when(F.col("zone").isin(*hubs), F.col("latency_s"))).alias("latency_to_centre_s"),
+        of(hub, "time_s")("centre_s"), of(hub, "entries")("centre_entries"), of(~hub, "time_s")("periphery_s"), of(hub, "distance")("centre_distance"),
+        F.min(F.when(hub, F.col("latency_s"))).alias("latency_to_centre_s"),
     )
     joined = sums.join(parts, "session").join(totals, "session")
     return joined.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,12 @@ def run_table(df: DataFrame, keys: list[str], order: str, value: str) -> DataFra
 def debounced(df: DataFrame, keys: list[str], order: str, flag: str, min_frames: int, out: str = "state") -> DataFrame:
     """Adds the state that changes only with a run of min_frames or more; the first run counts whatever its length."""
     named = with_runs(df, keys, order, flag)
-    size = F.count("*").over(Window.partitionBy(*keys, "run"))
-    kept = named.withColumn("__n", size).withColumn("__kept", F.when((F.col("__n") >= min_frames) | (F.col("run") == 1), F.col(flag)))
-    return kept.withColumn(out, F.last("__kept", ignorenulls=True).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))).drop("__n", "__kept", "run")
+    w = ordered(keys, order)
+    # a run is told by its first row, with a look ahead, so that all windows share one order of rows
+    first = ~F.col("run").eqNullSafe(F.lag("run").over(w))
+    long = F.lead("run", max(math.ceil(min_frames) - 1, 0)).over(w) == F.col("run")
+    kept = named.withColumns({"__first": first, "__long": long}).withColumn("__kept", F.when(F.col("__first") & (F.col("__long") | (F.col("run") == 1)), F.col(flag)))
+    return kept.withColumn(out, F.last("__kept", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__first", "__long", "__kept", "run")
 
 
 def ranges(df: DataFrame, keys: list[str], number: str) -> DataFrame:
