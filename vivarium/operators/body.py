@@ -142,10 +142,10 @@ def head_and_tail(df: DataFrame, fps: float, body_length: float | None = None, b
     framed = _frames_with_ends(rows, fps, body_length, block).persist()
 
     def matrix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.array([[0.0, np.inf], [np.inf, 0.0]])
-        for m in _moves(pdf.sort_values("frame")):
-            total = (total[:, :, None] + m[None, :, :]).min(axis=1)
-        return pd.DataFrame({"session": [key[0]], "block": [key[1]], "m": [total.ravel().tolist()]})
+        a, b, c, d = 0.0, np.inf, np.inf, 0.0  # from an orientation before the block to one at its end
+        for p, q, r, t in _moves(pdf.sort_values("frame")).reshape(-1, 4).tolist():
+            a, b, c, d = min(a + p, b + r), min(a + q, b + t), min(c + p, d + r), min(c + q, d + t)
+        return pd.DataFrame({"session": [key[0]], "block": [key[1]], "m": [[a, b, c, d]]})
 
     matrices = framed.groupBy("session", "block").applyInPandas(matrix, f"session {kind}, block long, m array<double>")
     onward = along_sessions(matrices, ["block", "m"], Forward, "block long, before array<double>, m array<double>, best int", order="block")
@@ -153,16 +153,14 @@ def head_and_tail(df: DataFrame, fps: float, body_length: float | None = None, b
 
     def trace(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("frame")
-        moves, cost = _moves(left), np.array(right["before"].iloc[0])
-        came = np.zeros((len(left), 2), int)
-        for j, m in enumerate(moves):
-            step = cost[:, None] + m
-            came[j] = step.argmin(axis=0)
-            cost = step.min(axis=0)
+        (first, second), came = map(float, right["before"].iloc[0]), []
+        for p, q, r, t in _moves(left).reshape(-1, 4).tolist():
+            came.append((int(second + r < first + p), int(second + t < first + q)))
+            first, second = min(first + p, second + r), min(first + q, second + t)
         state, states = int(right["state"].iloc[0]), np.zeros(len(left), int)
         for j in range(len(left) - 1, -1, -1):
             states[j] = state
-            state = came[j, state]
+            state = came[j][state]
         e = left[["ax", "ay", "bx", "by"]].to_numpy(float)
         e = np.where(states[:, None] == 0, e, e[:, [2, 3, 0, 1]])
         return pd.DataFrame({"session": key[0], "frame": left["frame"].to_numpy(), **{c: e[:, i] for i, c in enumerate(("head_x", "head_y", "tail_x", "tail_y"))}})
