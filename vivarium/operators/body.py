@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +87,47 @@ class Backward:
         return []
 
 
-def _moves(pdf: pd.DataFrame) -> np.ndarray:
-    """For each frame the 2 x 2 costs of going on from an orientation to one, its own evidence with it."""
-    kept, swapped, evidence = (pdf[c].to_numpy(float) for c in ("kept", "swapped", "evidence"))
-    return np.stack([kept - evidence, swapped + evidence, swapped - evidence, kept + evidence], axis=1).reshape(-1, 2, 2)
+def _moves(kept: float, swapped: float, evidence: float) -> tuple[float, float, float, float]:
+    """The 2 x 2 costs of going on from an orientation to one, its own evidence with it, by rows."""
+    return kept - evidence, swapped + evidence, swapped - evidence, kept + evidence
+
+
+class Matrix:
+    """Along a block's frames: the least costs from an orientation before the block to one at its end."""
+
+    def __init__(self):
+        self.m = 0.0, float("inf"), float("inf"), 0.0
+
+    def step(self, *costs: float) -> list[tuple]:
+        (a, b, c, d), (p, q, r, t) = self.m, _moves(*costs)
+        self.m = min(a + p, b + r), min(a + q, b + t), min(c + p, d + r), min(c + q, d + t)
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(list(self.m),)]
+
+
+class Trace:
+    """Along a block's frames, with the costs before it and the orientation at its end: the ends of each frame."""
+
+    def __init__(self):
+        self.cost: list[float] | None = None
+        self.rows: list[tuple] = []
+
+    def step(self, frame: int, kept: float, swapped: float, evidence: float, ax: float, ay: float, bx: float, by: float, before: list[float], state: int) -> list[tuple]:
+        first, second = before if self.cost is None else self.cost
+        p, q, r, t = _moves(kept, swapped, evidence)
+        came = int(second + r < first + p), int(second + t < first + q)
+        self.cost, self.state = [min(first + p, second + r), min(first + q, second + t)], state
+        self.rows.append((came, (frame, ax, ay, bx, by), (frame, bx, by, ax, ay)))
+        return []
+
+    def end(self) -> list[tuple]:
+        state, out = self.state, []
+        for came, *ends in reversed(self.rows):
+            out.append(ends[state])
+            state = came[state]
+        return out
 
 
 def _frames_with_ends(df: DataFrame, fps: float, body_length: float | None, block: int) -> DataFrame:
@@ -137,36 +173,19 @@ def head_and_tail(df: DataFrame, fps: float, body_length: float | None = None, b
     back for the orientation at its end; with both, blocks are traced side by side. No task holds more frames than a block.
     """
     columns = ("session", "frame", "x", "y", "ax", "ay", "bx", "by", "tail_ev", "shape_ev")
-    kind = dict(df.dtypes)["session"]
     rows = df.select(*(F.col(c) if c in columns[:2] else F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns))
     framed = _frames_with_ends(rows, fps, body_length, block).persist()
 
-    def matrix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, c, d = 0.0, np.inf, np.inf, 0.0  # from an orientation before the block to one at its end
-        for p, q, r, t in _moves(pdf.sort_values("frame")).reshape(-1, 4).tolist():
-            a, b, c, d = min(a + p, b + r), min(a + q, b + t), min(c + p, d + r), min(c + q, d + t)
-        return pd.DataFrame({"session": [key[0]], "block": [key[1]], "m": [[a, b, c, d]]})
-
-    matrices = framed.groupBy("session", "block").applyInPandas(matrix, f"session {kind}, block long, m array<double>")
+    framed = framed.withColumn("session", F.struct("session", "block"))  # blocks are walked side by side, many in one call
+    matrices = along_sessions(framed, ["kept", "swapped", "evidence"], Matrix, "m array<double>").select("session.session", "session.block", "m")
     onward = along_sessions(matrices, ["block", "m"], Forward, "block long, before array<double>, m array<double>, best int", order="block")
     back = along_sessions(onward.withColumn("turn", -F.col("block")), ["block", "before", "m", "best"], Backward, "block long, before array<double>, state int", order="turn")
 
-    def trace(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("frame")
-        (first, second), came = map(float, right["before"].iloc[0]), []
-        for p, q, r, t in _moves(left).reshape(-1, 4).tolist():
-            came.append((int(second + r < first + p), int(second + t < first + q)))
-            first, second = min(first + p, second + r), min(first + q, second + t)
-        state, states = int(right["state"].iloc[0]), np.zeros(len(left), int)
-        for j in range(len(left) - 1, -1, -1):
-            states[j] = state
-            state = came[j][state]
-        e = left[["ax", "ay", "bx", "by"]].to_numpy(float)
-        e = np.where(states[:, None] == 0, e, e[:, [2, 3, 0, 1]])
-        return pd.DataFrame({"session": key[0], "frame": left["frame"].to_numpy(), **{c: e[:, i] for i, c in enumerate(("head_x", "head_y", "tail_x", "tail_y"))}})
-
-    ddl = f"session {kind}, frame long, head_x double, head_y double, tail_x double, tail_y double"
-    solved = framed.groupBy("session", "block").cogroup(back.groupBy("session", "block")).applyInPandas(trace, ddl)
+    ends = back.select(F.struct("session", "block").alias("whose"), "before", F.col("state").alias("last"))
+    known = framed.join(ends, F.col("session").eqNullSafe(F.col("whose"))).withColumnRenamed("last", "state")
+    columns = ["frame", "kept", "swapped", "evidence", "ax", "ay", "bx", "by", "before", "state"]
+    solved = along_sessions(known, columns, Trace, "frame long, head_x double, head_y double, tail_x double, tail_y double")
+    solved = solved.select("session.session", "frame", "head_x", "head_y", "tail_x", "tail_y")
     none = [F.lit(None).cast("double").alias(c) for c in ("head_x", "head_y", "tail_x", "tail_y")]
     bare = rows.filter("ax IS NULL OR ay IS NULL OR bx IS NULL OR by IS NULL").select("session", F.col("frame").cast("long").alias("frame"), *none)
     return solved.unionByName(bare)
