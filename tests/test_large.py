@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from vivarium.operators import geometry, interactions, mazes, ranks, runs, zones
+from vivarium.operators import geometry, interactions, mazes, ranks, runs, summary, zones
 from vivarium.operators import statistics as st
 from vivarium.sources import tables as tb
 
@@ -97,3 +97,22 @@ def test_open_field_tells_zones_without_a_job(spark):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("open field")
     got = {r.session: r for r in out.collect()}
     assert (got[1].centre_s, got[1].periphery_s, got[1].latency_to_centre_s) == (2.0, 5.0, 0.5) and (got[2].centre_s, got[2].periphery_s, got[2].centre_entries) == (0.0, 5.0, 0)
+
+
+def test_wide_tables_rank_large_groups_in_all_tasks(spark, monkeypatch):
+    """Values of few groups aren't gathered by group before they are ranked, and ties are cut where a block of rows ends."""
+    monkeypatch.setattr(summary, "ROWS", 4)
+    values = {"a": [2.0] * 11 + [1.0, 5.0], "b": [0.5 * (i // 3) for i in range(20)], "c": [3.0], "unlisted": [float(i) for i in range(30)]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in [*vs, None]], "g string, v double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.row: (r.a, r.b, r.c) for r in summary.prism(df, "g", "v", ["a", "b", "c"]).collect()}
+        counts = df.dropna().groupBy("g", "v").agg(F.count("*").alias("tied"))
+        plan = ranks.in_ranges(counts, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+        joined = ranks.in_ranges(counts, ["g"], "v", few=False)
+        assert "SortMergeJoin" not in plan and "lambda" not in plan
+        assert sorted(joined.collect()) == sorted(ranks.in_ranges(counts, ["g"], "v").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = lambda g, k: sorted(values[g])[k - 1] if k <= len(values[g]) else None
+    assert got == {k: (at("a", k), at("b", k), at("c", k)) for k in range(1, 31)}

@@ -143,7 +143,7 @@ def _frames_with_ends(df: DataFrame, fps: float, body_length: float | None, bloc
     ends = ("ax", "ay", "bx", "by")
     rows = rows.dropna(subset=list(ends)).withColumn("length", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
     if body_length is None:
-        size = medians(rows.select("session", F.col("length").alias("value")), ["session"]).select(F.col("session").alias("whose"), F.greatest("median", F.lit(4.0)).alias("size"))
+        size = medians(rows.select("session", F.col("length").alias("value")), ["session"], few=False).select(F.col("session").alias("whose"), F.greatest("median", F.lit(4.0)).alias("size"))
         rows = rows.join(size, F.col("session").eqNullSafe(F.col("whose"))).drop("whose")
     else:
         rows = rows.withColumn("size", F.lit(max(float(body_length), 4.0)))

@@ -23,28 +23,37 @@ SMALL_G, SMALL_M, SMALL_S = (-2.273, 0.459), (0.544, -0.39978, 0.025054, -6.714e
 LARGE_M, LARGE_S = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
 
 
-def in_ranges(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+def in_ranges(counts: DataFrame, keys: list[str], value: str, few: bool = True) -> DataFrame:
     """Adds __range to distinct values: approximate quantiles deal them to as many ranges as there are shuffle partitions
-    (RANGES at least), so that what one task sorts stays the same size when data and partitions grow together."""
+    (RANGES at least), so that what one task sorts stays the same size when data and partitions grow together.
+
+    The cuts of few keys, a row for each metric or group, are broadcast, so that values stay spread as they are and don't
+    meet in a task for each key. Many keys (sessions) are joined.
+    """
     n = min(max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / n) for i in range(1, n))), max(1000, 10 * n)).alias("__cuts"))
+    each = F.when(F.col("tied") > 0, F.col(value)) if "tied" in counts.columns else value  # reads what the join reads: one shuffle of counts
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(each, F.array(*(F.lit(i / n) for i in range(1, n))), max(1000, 10 * n)).alias("__cuts"))
+    cuts = F.broadcast(cuts) if few else cuts
     placed = counts.join(cuts, keys) if keys else counts.join(cuts)  # without keys: one row of cuts
-    return placed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    placed = placed.withColumn("__range", F.lit(0))
+    for step in (2**b for b in reversed(range(n.bit_length()))):  # how many cuts are less, found by halves
+        placed = placed.withColumn("__range", F.col("__range") + F.when(F.get("__cuts", F.col("__range") + (step - 1)) < F.col(value), step).otherwise(0))
+    return placed.drop("__cuts")
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str = "value", few: bool = True) -> DataFrame:
     """(*keys, value, tied, rank): each distinct value with how often it occurs and the mean rank of its ties.
 
     Values are ranked within ranges; a rank is the number of rows in the ranges before plus the rank within the range, so
     it is exact whatever the ranges are.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("tied"))
-    return counts_ranked(counts, keys, value)
+    return counts_ranked(counts, keys, value, few)
 
 
-def counts_ranked(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+def counts_ranked(counts: DataFrame, keys: list[str], value: str, few: bool = True) -> DataFrame:
     """Adds rank to distinct values and how often each occurs, `tied`; other columns of counts are kept."""
-    placed = in_ranges(counts, keys, value)
+    placed = in_ranges(counts, keys, value, few)
     sums = placed.groupBy(*keys, "__range").agg(F.sum("tied").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*keys, "__range", before.alias("__before"))
@@ -53,9 +62,9 @@ def counts_ranked(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     return placed.join(starts, [*keys, "__range"]).select(*counts.columns, rank.alias("rank"))
 
 
-def medians(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def medians(long: DataFrame, keys: list[str], value: str = "value", few: bool = True) -> DataFrame:
     """(*keys, median): the mean of the values at the middle places."""
-    ranked = value_ranks(long, keys, value)
+    ranked = value_ranks(long, keys, value, few)
     n = long.groupBy(*keys).agg(F.count(value).alias("__n"))
     half = (F.col("tied") - 1) / 2
     holds = lambda place: place.between(F.col("rank") - half, F.col("rank") + half)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vivarium.operators.ranks import value_ranks
 
 UNIT = r"\(([^()]*)\)\s*$"
+#: Rows of a wide table that are put together in one place.
+ROWS = 4096
 
 
 def tidy(df: DataFrame, ids: list[str], measures: list[str]) -> DataFrame:
@@ -18,11 +20,18 @@ def tidy(df: DataFrame, ids: list[str], measures: list[str]) -> DataFrame:
 
 
 def prism(df: DataFrame, group: str, value: str, groups: list[str]) -> DataFrame:
-    """One column per group, the k-th value of a group on row k; null values are left out. Values are ranked by ranges."""
+    """One column per group, the k-th value of a group on row k; null values are left out. Values are ranked by ranges.
+
+    Equal values travel as one, cut where a block of ROWS rows ends, and become rows where their block is put together. The
+    number of parts is told, as a few values can stand for many rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranked = value_ranks(df, [group], value)
     first = (F.col("rank") - (F.col("tied") - 1) / 2).cast("long")
-    rows = ranked.withColumn("row", F.explode(F.sequence(first, first + F.col("tied") - 1)))
-    return rows.groupBy("row").pivot(group, groups).agg(F.first(value))
+    runs = ranked.select(group, value, first.alias("first"), (first + F.col("tied") - 1).alias("last"))
+    cut = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / ROWS), F.floor(F.col("last") / ROWS)))).repartition(parts, "block")
+    rows = cut.withColumn("row", F.explode(F.sequence(F.greatest("first", F.col("block") * ROWS), F.least("last", F.col("block") * ROWS + (ROWS - 1)))))
+    return rows.groupBy("block", "row").agg(*(F.max(F.when(F.col(group) == g, F.col(value))).alias(g) for g in groups)).drop("block")
 
 
 def merge_case_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -245,4 +245,4 @@ def pose_body(track: DataFrame) -> DataFrame:
     from vivarium.operators.ranks import medians
 
     long = track.filter("ax IS NOT NULL").select("session", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("value"))
-    return medians(long, ["session"]).select("session", F.col("median").alias("length"), (F.col("median") * F.col("median") * AREA_PER_LENGTH2).alias("area"))
+    return medians(long, ["session"], few=False).select("session", F.col("median").alias("length"), (F.col("median") * F.col("median") * AREA_PER_LENGTH2).alias("area"))
