@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from vivarium.operators import geometry, interactions, mazes, ranks, runs, summary, zones
+from vivarium.operators import geometry, interactions, mazes, mixed, ranks, runs, summary, zones
 from vivarium.operators import statistics as st
 from vivarium.sources import tables as tb
 
@@ -116,3 +116,28 @@ def test_wide_tables_rank_large_groups_in_all_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     at = lambda g, k: sorted(values[g])[k - 1] if k <= len(values[g]) else None
     assert got == {k: (at("a", k), at("b", k), at("c", k)) for k in range(1, 31)}
+
+
+def test_passes_of_mixed_models_read_few_parts(spark, monkeypatch):
+    """Sums by subject size are those of a plain loop, in one part however many the shuffle has, and so are litters."""
+    monkeypatch.setattr(mixed, "HELD", 40)  # a matrix or two at a time
+    rows = [(f"s{s}", f"d{s % 3}", "ab"[s % 2], str(t), float(s * 3 + t * t)) for s in range(25) for t in range(3) for _ in range((s + t) % 4)]
+    df = spark.createDataFrame(rows, "subject string, block string, group string, timepoint string, value double")
+    sums = mixed.design_sums(mixed.cell_sums(df), True)
+    assert sums.sizes.rdd.getNumPartitions() == sums.blocks.rdd.getNumPartitions() == 1
+    k, want = len(sums.cells), {}
+    for s in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == s]
+        n, total = [sum((r[2], r[3]) == c for r in own) for c in sums.cells], sum(r[4] for r in own)
+        for place, v in [*((i * k + j, n[i] * n[j]) for i in range(k) for j in range(k)), *((k * k + i, n[i] * total) for i in range(k)), (k * k + k, total * total), (k * k + k + 1, 1)]:
+            want[len(own), place] = want.get((len(own), place), 0) + v
+    got = {(r["size"], r.place): r.s for r in sums.sizes.collect()}
+    sums.release()
+    assert got == {key: v for key, v in want.items() if v}
+
+
+def test_rows_without_a_subject_do_not_mix_litters(spark):
+    rows = [(f"s{s}", f"d{s % 4}", "ab"[s % 2], t, float((7 * s + 5 * t) % 11 + s % 4)) for s in range(16) for t in range(2)] + [(None, "d0", "a", 0, 1.0), (None, "d1", "a", 0, 2.0)]
+    df = spark.createDataFrame(rows, "subject string, dam string, group string, timepoint int, value double")
+    a, b = ([r.asDict() for r in mixed.nested_effects(x, "dam").collect()] for x in (df, df.filter("subject IS NOT NULL")))
+    assert a == b and "several litters" not in a[0]["litters"]

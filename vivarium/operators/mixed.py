@@ -23,6 +23,8 @@ MOST_CELLS = 200
 SCHEMA = "term string, estimate double, se double, z double, p double"
 #: Ratios of variances searched, and numbers that one task adds up at once (pairs of ratios x cells x cells).
 LEAST, MOST, HELD = 1e-6, 1e6, 2_000_000
+#: Sums that one task of a pass reads, and tasks whose results the driver adds up itself.
+PASSED, TASKS = 500_000, 4
 
 
 @dataclass
@@ -47,11 +49,62 @@ class Sums:
             df.unpersist()
 
 
-def design_sums(df: DataFrame) -> Sums | None:
-    """Sums of (subject, block, group, timepoint, value) rows, block null or absent for no litter; None for fewer than four rows."""
+def cell_sums(df: DataFrame) -> DataFrame:
+    """n, y and yy by subject, block, group and timepoint of (subject, block, group, timepoint, value) rows, block null or absent
+    for no litter."""
     rows = df.withColumn("block", F.lit(None).cast("string")) if "block" not in df.columns else df
     rows = rows.dropna(subset=["subject", "group", "timepoint", "value"])
-    cells = rows.groupBy("subject", "block", "group", "timepoint").agg(F.count("*").alias("n"), F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy")).persist()
+    return rows.groupBy("subject", "block", "group", "timepoint").agg(F.count("*").alias("n"), F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy"))
+
+
+def without_blocks(cells: DataFrame) -> DataFrame:
+    sums = cells.groupBy("subject", "group", "timepoint").agg(*(F.sum(c).alias(c) for c in ("n", "y", "yy")))
+    return sums.withColumn("block", F.lit(None).cast("string"))
+
+
+def size_sums(subjects: DataFrame, k: int) -> DataFrame:
+    """(size, place, s): for subjects of a size the sums of n x n of each two cells (places i x k + j), of n x total, of
+    total squared, and of subjects. A task adds up whole batches as products of matrices and hands on a matrix by size."""
+    width = k * k + k + 2
+
+    def table(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        size = np.array(list(held), np.int64)
+        which, place = np.nonzero(np.array(list(held.values())).reshape(-1, width))
+        s = np.array([held[int(size[w])][c] for w, c in zip(which, place)], float) if len(held) else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(size[which], pa.int64()), pa.array(place, pa.int32()), pa.array(s, pa.float64())], names=["size", "place", "s"])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sizes, totals, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+            every, lengths = lists.flatten(), np.asarray(lists.value_lengths())
+            cell, n = np.asarray(every.field(0)), np.asarray(every.field(1)).astype(float)
+            order = np.argsort(sizes, kind="stable")
+            row = np.empty(len(order), np.int64)
+            row[order] = np.arange(len(order))
+            x = np.bincount(np.repeat(row, lengths) * k + cell, n, minlength=len(order) * k).reshape(-1, k)  # subjects x cells, by size
+            y = totals[order]
+            found, starts = np.unique(sizes[order], return_index=True)
+            for size, a, b in zip(found.tolist(), starts, [*starts[1:], len(order)]):
+                part = np.concatenate(((x[a:b].T @ x[a:b]).ravel(), x[a:b].T @ y[a:b], [y[a:b] @ y[a:b], b - a]))
+                held[size] = held[size] + part if size in held else part
+                if len(held) * width > HELD:
+                    yield table(held)
+                    held = {}
+        yield table(held)
+
+    return subjects.select("size", "total", "own").mapInArrow(products, "size long, place int, s double").groupBy("size", "place").agg(F.sum("s").alias("s"))
+
+
+def few_parts(df: DataFrame, weight) -> DataFrame:
+    """A persisted table in as many parts as its sums need: each of the many passes over it runs a task by part."""
+    n = df.agg(F.sum(weight)).first()[0] or 0
+    return df.coalesce(int(n // PASSED) + 1)
+
+
+def design_sums(cells: DataFrame, litters: bool) -> Sums | None:
+    """Sums of `cell_sums`, with those of litters if told; None for fewer than four rows."""
+    cells = cells.persist()
     found = cells.groupBy("group", "timepoint").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("yy").alias("yy")).limit(MOST_CELLS + 1).collect()
     if len(found) > MOST_CELLS:
         raise ValueError(f"group and time point make over {MOST_CELLS} cells")
@@ -60,24 +113,21 @@ def design_sums(df: DataFrame) -> Sums | None:
         return None
     found = sorted(found, key=lambda r: (r["group"], r["timepoint"]))
     names = [(r["group"], r["timepoint"]) for r in found]
-    index = df.sparkSession.createDataFrame([(g, t, i) for i, (g, t) in enumerate(names)], "group string, timepoint string, cell int")
+    index = cells.sparkSession.createDataFrame([(g, t, i) for i, (g, t) in enumerate(names)], "group string, timepoint string, cell int")
     own = F.collect_list(F.struct("cell", "n", "y")).alias("own")
     numbered = cells.join(F.broadcast(index), ["group", "timepoint"])  # at most MOST_CELLS rows
     subjects = numbered.groupBy("subject", "block").agg(F.sum("n").alias("size"), F.sum("y").alias("total"), own).persist()
-    left = subjects.select("size", "total", "own", F.explode("own").alias("a"))
-    pairs = left.select("size", "a", F.explode("own").alias("b")).groupBy("size", F.col("a.cell").alias("i"), F.col("b.cell").alias("j")).agg(F.sum((F.col("a.n") * F.col("b.n")).cast("double")).alias("s"))
-    first = left.groupBy("size", F.col("a.cell").alias("i"), F.lit(-1).alias("j")).agg(F.sum(F.col("a.n") * F.col("total")).alias("s"))
-    whole = subjects.groupBy("size").agg(F.count("*").cast("double").alias("m"), F.sum(F.col("total") * F.col("total")).alias("q"))
-    whole = whole.select("size", F.lit(-1).alias("i"), F.explode(F.array(F.struct(F.lit(-1).alias("j"), F.col("m").alias("s")), F.struct(F.lit(-2).alias("j"), F.col("q").alias("s")))).alias("x")).select("size", "i", "x.j", "x.s")
-    sizes = pairs.unionByName(first).unionByName(whole).persist()
+    sizes = size_sums(subjects, len(names)).persist()
     held, blocks = [cells, subjects, sizes], None
-    if "block" in df.columns:
+    if litters:
         littered = subjects.filter("block IS NOT NULL")
         by_cell = littered.select("block", "size", F.explode("own").alias("a")).groupBy("block", "size", F.col("a.cell").alias("cell")).agg(F.sum("a.n").cast("double").alias("x"))
         by_size = littered.groupBy("block", "size").agg(F.count("*").cast("double").alias("m"), F.sum("total").alias("y"))
         part = by_cell.select("block", "size", "cell", "x", F.lit(0.0).alias("y")).unionByName(by_size.select("block", "size", F.lit(-1).alias("cell"), F.col("m").alias("x"), "y"))
         blocks = part.groupBy("block").agg(F.collect_list(F.struct("size", "cell", "x", "y")).alias("parts")).persist()  # sizes x cells of a litter
         held.append(blocks)
+        blocks = few_parts(blocks, F.size("parts"))
+    sizes = few_parts(sizes, F.lit(1))
     at = lambda name: np.array([float(r[name]) for r in found])
     return Sums(names, at("n"), at("y"), float(at("yy").sum()), subjects, sizes, blocks, held)
 
@@ -99,7 +149,9 @@ def added_up(df: DataFrame, block, width: int) -> np.ndarray:
                 total += np.frombuffer(z)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
 
-    few = df.mapInArrow(part, "z binary").repartition(4).mapInArrow(merge, "z binary")
+    few = df.mapInArrow(part, "z binary")
+    if df.rdd.getNumPartitions() > TASKS:
+        few = few.repartition(TASKS).mapInArrow(merge, "z binary")
     return np.sum([np.frombuffer(r["z"]) for r in few.collect()] or [np.zeros(width)], axis=0)
 
 
@@ -113,8 +165,7 @@ def likelihoods(sums: Sums, ratios: list[tuple[float, float]]) -> list[tuple[flo
         some = ratios[cut : cut + step]
 
         def by_size(batch: pa.RecordBatch) -> np.ndarray:
-            size, i, j, s = (np.asarray(batch.column(c)).astype(float if c == 3 else np.int64) for c in range(4))
-            place = np.where(i < 0, np.where(j == -1, k * k + k + 1, k * k + k), np.where(j < 0, k * k + i, i * k + j))
+            size, place, s = (np.asarray(batch.column(c)) for c in range(3))
             total = np.zeros((len(some), width))
             for c, (r, _) in enumerate(some):  # noqa: B023
                 weight = np.where(place == k * k + k + 1, np.log1p(r * size), r / (1 + r * size))
@@ -138,7 +189,7 @@ def likelihoods(sums: Sums, ratios: list[tuple[float, float]]) -> list[tuple[flo
                 total[c] = np.concatenate((((u * h[:, None]).T @ u).ravel(), (u * h[:, None]).T @ v, [h @ (v * v), np.log1p(rb * s).sum()]))
             return total
 
-        taken = added_up(sums.sizes.select("size", "i", "j", "s"), by_size, len(some) * width).reshape(len(some), width)
+        taken = added_up(sums.sizes.select("size", "place", "s"), by_size, len(some) * width).reshape(len(some), width)
         if sums.blocks is not None and any(rb for _, rb in some):
             taken = taken + added_up(sums.blocks.select("parts"), by_block, len(some) * width).reshape(len(some), width)
         for t in taken:
@@ -234,7 +285,7 @@ def mixed_effects(df: DataFrame) -> DataFrame:
     rows more give the variances within and between subjects.
     """
     spark = df.sparkSession
-    sums = design_sums(texts(df))
+    sums = design_sums(cell_sums(texts(df)), False)
     if sums is None:
         return spark.createDataFrame([], SCHEMA)
     ratio, _ = best_ratios(sums, False)
@@ -264,12 +315,17 @@ def nested_effects(df: DataFrame, dam: str | None = None, cage: str | None = Non
     if names:
         block = F.concat_ws("::", *(F.col(c).cast("string") for c in names))
         rows = rows.dropna(subset=names).withColumn("block", block).drop(*names)
-        counts = rows.dropna().agg(F.count_distinct("block").alias("blocks")).first()
-        shared = rows.groupBy("subject").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a <> b").limit(1).count()
-        if counts["blocks"] < 2 or shared:
-            rows, names = rows.drop("block"), []
+    cells, held = cell_sums(rows), None
+    if names:
+        held = cells = cells.persist()
+        several = len(cells.select("block").distinct().limit(2).collect()) > 1
+        shared = cells.groupBy("subject").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a <> b").limit(1).count()
+        if not several or shared:
+            cells, names = without_blocks(cells), []
             none = "not modeled (a subject in several litters)" if shared else "not modeled (a single litter)"
-    sums = design_sums(rows)
+    sums = design_sums(cells, bool(names))
+    if held is not None and (sums is None or not names):
+        held.unpersist()  # design_sums holds its own
     if sums is None:
         return spark.createDataFrame([], NESTED)
     litters = none
