@@ -2,12 +2,14 @@
 
 import itertools
 import math
+import random
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from vivarium.operators import geometry, interactions, mazes, mixed, ranks, runs, summary, zones
+from vivarium.operators import animals, geometry, identities, interactions, mazes, mixed, ranks, runs, summary, zones
 from vivarium.operators import statistics as st
 from vivarium.sources import tables as tb
 
@@ -141,3 +143,18 @@ def test_rows_without_a_subject_do_not_mix_litters(spark):
     df = spark.createDataFrame(rows, "subject string, dam string, group string, timepoint int, value double")
     a, b = ([r.asDict() for r in mixed.nested_effects(x, "dam").collect()] for x in (df, df.filter("subject IS NOT NULL")))
     assert a == b and "several litters" not in a[0]["litters"]
+
+
+def test_frames_of_few_animals_take_little_time():
+    """20,000 frames of three animals that meet all the time, with looks that tell them apart."""
+    rng = random.Random(1)
+    frames = [[{"x": rng.random() * 500, "y": rng.random() * 100, "look": 40.0 * a + f % 7} for a in range(3)] for f in range(20_000)]
+    crew, began = identities.Crew(3, 60.0), time.process_time()
+    out = [crew.step(f, spots) for f, spots in enumerate(frames)]
+    assert time.process_time() - began < 5
+    assert {len(rows) for rows in out} == {3}
+    for kept, ordered in zip(crew.looks.seen, crew.looks.ordered):
+        assert len(kept) == animals.LOOK_FRAMES and sorted(kept) == ordered
+    spots = animals.Spots(2)
+    spots.step(0, [{"x": 1.0, "y": 1.0}, {"x": 9.0, "y": 9.0}, {"x": None, "y": 3.0}])
+    assert [r[-1] for r in spots.step(1, [{"x": 9.0, "y": 9.0}, {"x": math.nan, "y": 1.0}])] == ["lost", "ok"]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vivarium.operators.assignment import least_cost
+from vivarium.operators.assignment import matched
 from vivarium.operators.bins import bin_of, bin_table
 from vivarium.operators.walks import along_sessions
 
@@ -19,36 +19,48 @@ LOOK_FRAMES, LOOKS_NEEDED, LEAST_SPREAD, APART = 300, 15, 1.5, 4.0
 
 
 class Motion:
-    """Constant-velocity filters of all animals at once, each axis on its own; both axes have the same covariance."""
+    """Constant-velocity filters of all animals at once, each axis on its own; both axes have the same covariance. Plain numbers, as
+    a session has few animals and many frames."""
 
-    def __init__(self, places: np.ndarray):
-        self.at, self.speed = places.astype(float), np.zeros_like(places, float)
+    def __init__(self, places: list[tuple[float, float]]):
         n = len(places)
-        self.pp, self.pv, self.vv = np.full(n, START[0]), np.zeros(n), np.full(n, START[1])
-        self.lost = np.zeros(n, int)
-
-    def predict(self) -> np.ndarray:
-        self.speed[self.lost > COAST] = 0
-        self.at = self.at + self.speed
-        self.pp, self.pv, self.vv = self.pp + 2 * self.pv + self.vv, self.pv + self.vv, self.vv + PROCESS
+        self.at, self.speed = [(float(x), float(y)) for x, y in places], [(0.0, 0.0)] * n
+        self.pp, self.pv, self.vv = [START[0]] * n, [0.0] * n, [START[1]] * n
+        self.lost = [0] * n
+
+    def predict(self) -> list[tuple[float, float]]:
+        self.speed = [(0.0, 0.0) if lost > COAST else v for v, lost in zip(self.speed, self.lost)]
+        self.at = [(x + u, y + v) for (x, y), (u, v) in zip(self.at, self.speed)]
+        self.pp = [a + 2 * b + c for a, b, c in zip(self.pp, self.pv, self.vv)]
+        self.pv = [b + c for b, c in zip(self.pv, self.vv)]
+        self.vv = [c + PROCESS for c in self.vv]
         return self.at
 
-    def update(self, who: np.ndarray, seen: np.ndarray) -> None:
-        total = self.pp[who] + MEASURED
-        gain_p, gain_v = self.pp[who] / total, self.pv[who] / total
-        off = seen - self.at[who]
-        self.at[who] += gain_p[:, None] * off
-        self.speed[who] += gain_v[:, None] * off
-        pp, pv = self.pp[who], self.pv[who]
-        self.pp[who], self.pv[who], self.vv[who] = pp * (1 - gain_p), pv * (1 - gain_p), self.vv[who] - gain_v * pv
-        self.lost += 1
-        self.lost[who] = 0
-
-
-    def reorder(self, order: np.ndarray) -> None:
+    def update(self, who: list[int], seen: list[tuple[float, float]]) -> None:
+        self.at = list(self.at)
+        self.lost = [lost + 1 for lost in self.lost]
+        for a, (sx, sy) in zip(who, seen):
+            pp, pv = self.pp[a], self.pv[a]
+            gain_p, gain_v = pp / (pp + MEASURED), pv / (pp + MEASURED)
+            (x, y), (u, v) = self.at[a], self.speed[a]
+            dx, dy = sx - x, sy - y
+            self.at[a], self.speed[a] = (x + gain_p * dx, y + gain_p * dy), (u + gain_v * dx, v + gain_v * dy)
+            self.pp[a], self.pv[a], self.vv[a] = pp * (1 - gain_p), pv * (1 - gain_p), self.vv[a] - gain_v * pv
+            self.lost[a] = 0
+
+    def reorder(self, order: list[int]) -> None:
         """Animal a goes on with what animal order[a] had."""
         for name in ("at", "speed", "pp", "pv", "vv", "lost"):
-            setattr(self, name, getattr(self, name)[order])
+            kept = getattr(self, name)
+            setattr(self, name, [kept[a] for a in order])
+
+
+def distances(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> list[list[float]]:
+    return [[math.hypot(x - u, y - v) for u, v in b] for x, y in a]
+
+
+def placed(spots: list[dict] | None) -> list[dict]:
+    return [s for s in spots or [] if s["x"] is not None and s["y"] is not None and math.isfinite(s["x"]) and math.isfinite(s["y"])]
 
 
 class Spots:
@@ -58,18 +70,18 @@ class Spots:
         self.animals, self.motion = animals, None
 
     def step(self, frame: int, spots: list[dict] | None) -> list[tuple]:
-        seen = np.array([(s["x"], s["y"]) for s in spots or []], float).reshape(-1, 2)
+        seen = [(float(s["x"]), float(s["y"])) for s in placed(spots)]
         if self.motion is None:
             if len(seen) < self.animals:
                 return []
-            self.motion = Motion(seen[np.lexsort((seen[:, 1], seen[:, 0]))][: self.animals])
-            return [(frame, a, *place, "ok") for a, place in enumerate(self.motion.at.tolist())]
-        places = self.motion.predict().copy()
-        cost = np.hypot(*(places[:, None, :] - seen[None, :, :]).transpose(2, 0, 1))
-        who, which = least_cost(cost)
-        self.motion.update(who, seen[which])
-        places[who] = seen[which]
-        return [(frame, a, *place, "ok" if a in who else "lost") for a, place in enumerate(places.tolist())]
+            self.motion = Motion(sorted(seen)[: self.animals])
+            return [(frame, a, *place, "ok") for a, place in enumerate(self.motion.at)]
+        places = list(self.motion.predict())
+        who, which = matched(distances(places, seen))
+        self.motion.update(who, [seen[w] for w in which])
+        for a, w in zip(who, which):
+            places[a] = seen[w]
+        return [(frame, a, *place, "ok" if a in who else "lost") for a, place in enumerate(places)]
 
     def end(self) -> list[tuple]:
         return []
