@@ -145,6 +145,49 @@ def test_rows_without_a_subject_do_not_mix_litters(spark):
     assert a == b and "several litters" not in a[0]["litters"]
 
 
+def test_subjects_of_mixed_models_are_put_in_turn_once(spark, monkeypatch):
+    """Sums by litter are those of a plain loop where subjects are cut by batches, whatever their type, and tell subjects in several litters."""
+    rng = random.Random(3)
+    rows = [(s, f"d{s % 3}", "ab"[s % 2], str(t), rng.random()) for s in range(40) for t in range(3) for _ in range((s + t) % 4)]
+    kinds = {"long": int, "string": str, "double": lambda s: s / 4, "struct<a:int,b:string>": lambda s: (s // 5, str(s % 5))}
+    want = {}
+    for s in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == s]
+        for place, v in [*((("a0", "a1", "a2", "b0", "b1", "b2").index(r[2] + r[3]), 1) for r in own), (6, 1), (7, sum(r[4] for r in own))]:
+            key = (own[0][1], len(own), place)
+            want[key] = want.get(key, 0) + v
+    monkeypatch.setattr(mixed, "HELD", 40)
+    monkeypatch.setattr(mixed, "PART", 20, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for kind, f in kinds.items():
+            df = spark.createDataFrame([(f(r[0]), *r[1:]) for r in rows], f"subject {kind}, block string, group string, timepoint string, value double")
+            sums = mixed.design_sums(mixed.cell_sums(df), True)
+            got = {(r.block, p["size"], p.place): p.s for r in sums.blocks.collect() for p in r.parts}
+            sums.release()
+            assert not sums.shared and got.keys() == want.keys() and all(math.isclose(got[k], v) for k, v in want.items())
+            crossed = mixed.design_sums(mixed.cell_sums(df.unionByName(df.limit(1).withColumn("block", F.lit("other")))), True)
+            crossed.release()
+            assert crossed.shared
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_litters_take_few_jobs(spark, monkeypatch):
+    """Whether subjects nest in several litters comes with the sums, not from passes over all cells (13 jobs more before, now 5)."""
+    monkeypatch.setattr(mixed, "best_ratios", lambda sums, litters: (0.5, 0.5 * litters))
+    rows = [(f"s{s}", f"d{s % 4}", "ab"[s % 2], t, float((7 * s + 5 * t) % 11 + s % 4)) for s in range(16) for t in range(2)]
+    df = spark.createDataFrame(rows, "subject string, dam string, group string, timepoint int, value double")
+    jobs = []
+    for dam in (None, "dam"):
+        spark.sparkContext.setJobGroup(f"litters {dam}", "")
+        got = mixed.nested_effects(df, dam).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"litters {dam}")))
+        assert any(r.term == "variance of litters" for r in got) == bool(dam)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 6
+
+
 def test_frames_of_few_animals_take_little_time():
     """20,000 frames of three animals that meet all the time, with looks that tell them apart."""
     rng = random.Random(1)

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A design has at most so many cells of group x time point; more is refused.
@@ -23,13 +23,14 @@ MOST_CELLS = 200
 SCHEMA = "term string, estimate double, se double, z double, p double"
 #: Ratios of variances searched, and numbers that one task adds up at once (pairs of ratios x cells x cells).
 LEAST, MOST, HELD = 1e-6, 1e6, 2_000_000
-#: Sums that one task of a pass reads, and tasks whose results the driver adds up itself.
-PASSED, TASKS = 500_000, 4
+#: Sums that one task of a pass reads, tasks whose results the driver adds up itself, and rows whose subjects one task puts in turn.
+PASSED, TASKS, PART = 500_000, 4, 500_000
 
 
 @dataclass
 class Sums:
-    """What a model needs: cells in order, totals by cell, and Spark's tables of sums by subject size and by litter."""
+    """What a model needs: cells in order, totals by cell, `in_turn` rows, Spark's tables of sums by subject size and by litter, and
+    whether a subject is in several litters."""
 
     cells: list[tuple[str, str]]
     rows: np.ndarray
@@ -38,6 +39,7 @@ class Sums:
     subjects: DataFrame
     sizes: DataFrame
     blocks: DataFrame | None
+    shared: bool
     held: list[DataFrame] = field(default_factory=list)
 
     @property
@@ -57,43 +59,87 @@ def cell_sums(df: DataFrame) -> DataFrame:
     return rows.groupBy("subject", "block", "group", "timepoint").agg(F.count("*").alias("n"), F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy"))
 
 
-def without_blocks(cells: DataFrame) -> DataFrame:
-    sums = cells.groupBy("subject", "group", "timepoint").agg(*(F.sum(c).alias(c) for c in ("n", "y", "yy")))
-    return sums.withColumn("block", F.lit(None).cast("string"))
+def in_turn(numbered: DataFrame, n: float) -> DataFrame:
+    """(key, cell, n, y, block) of (subject, block, cell, n, y) rows, from n rows in all: each subject's rows stand together in one
+    part. Neighbours are told apart by key: the subject itself where it is a whole number, else its hash of 64 bits."""
+    whole = numbered.schema["subject"].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.col("subject").cast("long") if whole else F.xxhash64("subject")
+    sorted_rows = numbered.repartition(int(n // PART) + 1, "subject").sortWithinPartitions("subject")
+    return sorted_rows.select(key.alias("key"), "cell", "n", "y", "block")
 
 
-def size_sums(subjects: DataFrame, k: int) -> DataFrame:
-    """(size, place, s): for subjects of a size the sums of n x n of each two cells (places i x k + j), of n x total, of
-    total squared, and of subjects. A task adds up whole batches as products of matrices and hands on a matrix by size."""
+def whole_subjects(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray, int]]:
+    """Of `in_turn` rows, for some subjects at a time: n and y as matrices of subjects x cells, names of litters, each
+    subject's place among them, and rows with another litter than the row before. The last subject waits for the next batch."""
+    last, n_open, y_open, name = None, np.zeros(k), np.zeros(k), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell, n, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+        coded = batch.column(4).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        own = coded.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)  # the place after all: no litter
+        before = names.index(name) if name in names else len(names) + (name is not None)
+        names += [None, name]
+        first = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+        other = ~first & (own != np.append(before, own[:-1]))
+        who = np.cumsum(first)  # 0: the subject left open
+        m = int(who[-1]) + 1
+        x, v = (np.bincount(who * k + cell, w.astype(float), minlength=m * k).reshape(m, k) for w in (n, y))
+        x[0] += n_open
+        v[0] += y_open
+        code = np.append(before, own[first])
+        since = 1 if last is None else 0
+        last, n_open, y_open, name = key[-1], x[-1].copy(), v[-1].copy(), names[code[-1]]
+        yield x[since:-1], v[since:-1], names, code[since:-1], int(np.count_nonzero(other))
+    if last is not None:
+        yield n_open[None], y_open[None], [name], np.zeros(1, np.int64), 0
+
+
+def subject_sums(rows: DataFrame, k: int) -> DataFrame:
+    """(block, size, place, s) of `in_turn` rows. Without a block, for subjects of a size: the sums of n x n of each two cells
+    (places i x k + j), of n x total, of total squared, and of subjects; place -1 of size 0 counts rows with another litter.
+    With one, for its subjects of a size: the sums of n by cell (places below k), of subjects, and of totals. A task adds up whole
+    batches as products of matrices and hands on a matrix by size and a row by litter and size."""
     width = k * k + k + 2
 
-    def table(held: dict[int, np.ndarray]) -> pa.RecordBatch:
-        size = np.array(list(held), np.int64)
-        which, place = np.nonzero(np.array(list(held.values())).reshape(-1, width))
-        s = np.array([held[int(size[w])][c] for w, c in zip(which, place)], float) if len(held) else np.zeros(0)
-        return pa.RecordBatch.from_arrays([pa.array(size[which], pa.int64()), pa.array(place, pa.int32()), pa.array(s, pa.float64())], names=["size", "place", "s"])
+    def table(held: dict[tuple[str | None, int], np.ndarray], wide: int) -> pa.RecordBatch:
+        which, place = np.nonzero(np.array(list(held.values())).reshape(-1, wide))
+        keys, s = list(held), np.array(list(held.values())).reshape(-1, wide)[which, place]
+        block, size = pa.array([b for b, _ in keys], pa.string()).take(pa.array(which)), np.array([z for _, z in keys], np.int64)[which]
+        return pa.RecordBatch.from_arrays([block, pa.array(size), pa.array(place, pa.int32()), pa.array(s, pa.float64())], names=["block", "size", "place", "s"])
+
+    def add(held: dict, key: tuple[str | None, int], part: np.ndarray) -> None:
+        held[key] = held[key] + part if key in held else part
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            sizes, totals, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
-            every, lengths = lists.flatten(), np.asarray(lists.value_lengths())
-            cell, n = np.asarray(every.field(0)), np.asarray(every.field(1)).astype(float)
-            order = np.argsort(sizes, kind="stable")
-            row = np.empty(len(order), np.int64)
-            row[order] = np.arange(len(order))
-            x = np.bincount(np.repeat(row, lengths) * k + cell, n, minlength=len(order) * k).reshape(-1, k)  # subjects x cells, by size
-            y = totals[order]
-            found, starts = np.unique(sizes[order], return_index=True)
-            for size, a, b in zip(found.tolist(), starts, [*starts[1:], len(order)]):
-                part = np.concatenate(((x[a:b].T @ x[a:b]).ravel(), x[a:b].T @ y[a:b], [y[a:b] @ y[a:b], b - a]))
-                held[size] = held[size] + part if size in held else part
-                if len(held) * width > HELD:
-                    yield table(held)
-                    held = {}
-        yield table(held)
-
-    return subjects.select("size", "total", "own").mapInArrow(products, "size long, place int, s double").groupBy("size", "place").agg(F.sum("s").alias("s"))
+        by_size, by_litter, others = {}, {}, 0
+        for x, v, names, code, other in whole_subjects(batches, k):
+            others += other
+            if not len(x):
+                continue
+            order = np.lexsort((code, x.sum(axis=1)))
+            x, y, code = x[order], v.sum(axis=1)[order], code[order]
+            size = x.sum(axis=1).astype(np.int64)
+            found, starts = np.unique(size, return_index=True)
+            for z, a, b in zip(found.tolist(), starts, [*starts[1:], len(size)]):
+                add(by_size, (None, z), np.concatenate(((x[a:b].T @ x[a:b]).ravel(), x[a:b].T @ y[a:b], [y[a:b] @ y[a:b], b - a])))
+                if len(by_size) * width > HELD:
+                    yield table(by_size, width)
+                    by_size = {}
+            starts = np.flatnonzero(np.append(True, (size[1:] != size[:-1]) | (code[1:] != code[:-1])))
+            for c, z, part in zip(code[starts].tolist(), size[starts].tolist(), np.add.reduceat(np.column_stack((x, np.ones(len(x)), y)), starts)):
+                if names[c] is not None:
+                    add(by_litter, (names[c], z), part)
+            if len(by_litter) * (k + 2) > HELD:
+                yield table(by_litter, k + 2)
+                by_litter = {}
+        yield table(by_size, width)
+        yield table(by_litter, k + 2)
+        if others:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([float(others)])], names=["block", "size", "place", "s"])
+
+    return rows.mapInArrow(products, "block string, size long, place int, s double").groupBy("block", "size", "place").agg(F.sum("s").alias("s"))
 
 
 def few_parts(df: DataFrame, weight) -> DataFrame:
@@ -113,33 +159,31 @@ def design_sums(cells: DataFrame, litters: bool) -> Sums | None:
         return None
     found = sorted(found, key=lambda r: (r["group"], r["timepoint"]))
     names = [(r["group"], r["timepoint"]) for r in found]
-    index = cells.sparkSession.createDataFrame([(g, t, i) for i, (g, t) in enumerate(names)], "group string, timepoint string, cell int")
-    own = F.collect_list(F.struct("cell", "n", "y")).alias("own")
+    # an Arrow table needs no Python task to become a broadcast
+    index = cells.sparkSession.createDataFrame(pa.table({"group": [g for g, _ in names], "timepoint": [t for _, t in names], "cell": pa.array(range(len(names)), pa.int32())}))
     numbered = cells.join(F.broadcast(index), ["group", "timepoint"])  # at most MOST_CELLS rows
-    subjects = numbered.groupBy("subject", "block").agg(F.sum("n").alias("size"), F.sum("y").alias("total"), own).persist()
-    sizes = size_sums(subjects, len(names)).persist()
-    held, blocks = [cells, subjects, sizes], None
+    block = F.col("block") if litters else F.lit(None).cast("string")
+    subjects = in_turn(numbered.select("subject", block.alias("block"), "cell", "n", "y"), sum(r["n"] for r in found))
+    every = subject_sums(subjects, len(names)).persist()
+    sizes = every.filter("block IS NULL AND place >= 0").select("size", "place", "s").persist()
+    held, blocks, shared = [cells, every, sizes], None, False
     if litters:
-        littered = subjects.filter("block IS NOT NULL")
-        by_cell = littered.select("block", "size", F.explode("own").alias("a")).groupBy("block", "size", F.col("a.cell").alias("cell")).agg(F.sum("a.n").cast("double").alias("x"))
-        by_size = littered.groupBy("block", "size").agg(F.count("*").cast("double").alias("m"), F.sum("total").alias("y"))
-        part = by_cell.select("block", "size", "cell", "x", F.lit(0.0).alias("y")).unionByName(by_size.select("block", "size", F.lit(-1).alias("cell"), F.col("m").alias("x"), "y"))
-        blocks = part.groupBy("block").agg(F.collect_list(F.struct("size", "cell", "x", "y")).alias("parts")).persist()  # sizes x cells of a litter
+        shared = every.filter("place < 0").count() > 0
+        blocks = every.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("size", "place", "s")).alias("parts")).persist()  # sizes x cells of a litter
         held.append(blocks)
         blocks = few_parts(blocks, F.size("parts"))
     sizes = few_parts(sizes, F.lit(1))
     at = lambda name: np.array([float(r[name]) for r in found])
-    return Sums(names, at("n"), at("y"), float(at("yy").sum()), subjects, sizes, blocks, held)
+    return Sums(names, at("n"), at("y"), float(at("yy").sum()), subjects, sizes, blocks, shared, held)
 
 
-def added_up(df: DataFrame, block, width: int) -> np.ndarray:
-    """The sum over all batches of block(batch), an array of `width` doubles, added up by task and then by few tasks."""
+def added_up(df: DataFrame, block, width: int, pieces=iter) -> np.ndarray:
+    """The sum over all batches (or pieces(batches)) of block(batch), an array of `width` doubles, added up by task and then by few tasks."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
-        for batch in batches:
-            if batch.num_rows:
-                total += block(batch).ravel()
+        for piece in pieces(batch for batch in batches if batch.num_rows):
+            total += block(piece).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["z"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +220,15 @@ def likelihoods(sums: Sums, ratios: list[tuple[float, float]]) -> list[tuple[flo
             lists = batch.column(0)
             every = lists.flatten()
             owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-            size, cell, x, y = (np.asarray(every.field(c)) for c in range(4))
-            whole = cell < 0
+            size, place, x = (np.asarray(every.field(c)) for c in range(3))
+            cells, whole, totals = place < k, place == k, place == k + 1
             total = np.zeros((len(some), width))
             for c, (r, rb) in enumerate(some):  # noqa: B023
                 w = 1 / (1 + r * size)
                 n = len(lists)
                 s = np.bincount(owner[whole], (x * size * w)[whole], minlength=n)
-                v = np.bincount(owner[whole], (y * w)[whole], minlength=n)
-                u = np.bincount(owner[~whole] * k + cell[~whole], (x * w)[~whole], minlength=n * k).reshape(n, k)
+                v = np.bincount(owner[totals], (x * w)[totals], minlength=n)
+                u = np.bincount(owner[cells] * k + place[cells], (x * w)[cells], minlength=n * k).reshape(n, k)
                 h = rb / (1 + rb * s)
                 total[c] = np.concatenate((((u * h[:, None]).T @ u).ravel(), (u * h[:, None]).T @ v, [h @ (v * v), np.log1p(rb * s).sum()]))
             return total
@@ -224,16 +268,11 @@ def clustered(sums: Sums) -> tuple[np.ndarray, np.ndarray]:
     k = len(sums.cells)
     beta = sums.values / sums.rows
 
-    def outer(batch: pa.RecordBatch) -> np.ndarray:
-        lists = batch.column(0)
-        every = lists.flatten()
-        owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-        cell, n, y = (np.asarray(every.field(c)) for c in range(3))
-        score = np.bincount(owner * k + cell, y - n * beta[cell], minlength=len(lists) * k).reshape(len(lists), k)
-        return np.concatenate(((score.T @ score).ravel(), [len(lists)]))
+    def outer(piece) -> np.ndarray:
+        score = piece[1] - piece[0] * beta
+        return np.concatenate(((score.T @ score).ravel(), [len(score)]))
 
-    merged = sums.subjects.groupBy("subject").agg(F.flatten(F.collect_list("own")).alias("own")).select("own")
-    total = added_up(merged, outer, k * k + 1)
+    total = added_up(sums.subjects, outer, k * k + 1, lambda batches: whole_subjects(batches, k))
     g, n = total[-1], sums.n
     factor = g / (g - 1) * (n - 1) / (n - k) if g > 1 and n > k else 1.0
     bread = np.diag(1 / sums.rows)
@@ -277,6 +316,12 @@ def texts(df: DataFrame, *more: str) -> DataFrame:
     return df.select("subject", *more, *plain, F.col("value").cast("double").alias("value"))
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of a term and numbers, by Arrow: no Python task has to start for them."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array(c, pa.float64() if i else pa.string()) for i, c in enumerate(zip(*rows))], names=names))
+
+
 def mixed_effects(df: DataFrame) -> DataFrame:
     """(term, estimate, se, z, p) of value ~ group * timepoint + (1 | subject), by maximum likelihood.
 
@@ -293,7 +338,7 @@ def mixed_effects(df: DataFrame) -> DataFrame:
     sums.release()
     out = estimates(sums.cells, beta, s2 * np.linalg.inv(a))
     out += [("variance within", float(s2), None, None, None), ("variance between", float(ratio * s2), None, None, None)]
-    return spark.createDataFrame(out, SCHEMA)
+    return few_rows(spark, out, SCHEMA)
 
 
 NESTED = SCHEMA + ", low double, high double, q double, model string, estimation string, litters string"
@@ -315,19 +360,11 @@ def nested_effects(df: DataFrame, dam: str | None = None, cage: str | None = Non
     if names:
         block = F.concat_ws("::", *(F.col(c).cast("string") for c in names))
         rows = rows.dropna(subset=names).withColumn("block", block).drop(*names)
-    cells, held = cell_sums(rows), None
-    if names:
-        held = cells = cells.persist()
-        several = len(cells.select("block").distinct().limit(2).collect()) > 1
-        shared = cells.groupBy("subject").agg(F.min("block").alias("a"), F.max("block").alias("b")).filter("a <> b").limit(1).count()
-        if not several or shared:
-            cells, names = without_blocks(cells), []
-            none = "not modeled (a subject in several litters)" if shared else "not modeled (a single litter)"
-    sums = design_sums(cells, bool(names))
-    if held is not None and (sums is None or not names):
-        held.unpersist()  # design_sums holds its own
+    sums = design_sums(cell_sums(rows), bool(names))
     if sums is None:
         return spark.createDataFrame([], NESTED)
+    if names and (sums.shared or sums.blocks.limit(2).count() < 2):
+        names, none = [], "not modeled (a subject in several litters)" if sums.shared else "not modeled (a single litter)"
     litters = none
     ratio, block_ratio = best_ratios(sums, bool(names))
     if names and block_ratio == 0:
@@ -348,7 +385,7 @@ def nested_effects(df: DataFrame, dam: str | None = None, cage: str | None = Non
     sums.release()
     out = [(*e, None if e[2] is None else e[1] - 1.959963984540054 * e[2], None if e[2] is None else e[1] + 1.959963984540054 * e[2]) for e in estimates(sums.cells, beta, cov)]
     out += [(name, float(v), None, None, None, None, None) for name, v in variances]
-    found = spark.createDataFrame(out, SCHEMA + ", low double, high double").withColumn("counted", F.when(F.col("term") != "Intercept", F.col("p")))
+    found = few_rows(spark, out, SCHEMA + ", low double, high double").withColumn("counted", F.when(F.col("term") != "Intercept", F.col("p")))
     last = Window.orderBy(F.col("counted").desc_nulls_first())  # a row for each term
     ranked = found.withColumn("m", F.count("counted").over(Window.partitionBy())).withColumn("rank", F.row_number().over(Window.orderBy(F.col("counted").asc_nulls_last())))
     q = F.when(F.col("counted").isNotNull(), F.min(F.when(F.col("counted").isNotNull(), F.least(F.col("counted") * F.col("m") / F.col("rank"), F.lit(1.0)))).over(last))
